@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from vitrine.llm.common import table
 from vitrine.llm.encode import bpe_round_trip
 from vitrine.llm.fingerprints import edited_fingerprints
+from vitrine.llm.jaccard import near_duplicates
+from vitrine.llm.langid import identify
 from vitrine.llm.media import media_columns
 from vitrine.llm.packing import pack
 from vitrine.llm.shards import read_shards, write_shards
+from vitrine.llm.suffixes import remove_repeats
 from vitrine.llm.urls import judge_urls, weak_labels
+from vitrine.llm.wrappers import main_texts
 
 #: The rules of the URL query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -27,6 +31,15 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, weak_labels(pages), URL_RULES)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents")).drop("peak_pairs")
 
@@ -43,9 +56,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op4_media_columns, op5_document_fingerprints, op6_packing, op7_bpe, op9_token_shards)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_suffix_dedup, op3_ngram_jaccard, op4_media_columns, op5_document_fingerprints, op6_packing, op7_bpe, op8_html_wrappers, op9_token_shards, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
