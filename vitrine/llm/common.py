@@ -33,6 +33,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that it isn't computed twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # the finished job's shuffle files go as soon as the driver has forgotten its plan
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

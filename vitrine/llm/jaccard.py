@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = given.mapInPandas(crowds, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(CROWD)
     crowded = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in often.collect()], dtype=np.int64).view(np.uint64)))
 
-    nodes = sets(True).filter("n > 0").groupBy("a", "b").agg(F.first("text").alias("text"), F.min("id").alias("id"))
+    nodes = materialize(sets(True).filter("n > 0").groupBy("a", "b").agg(F.first("text").alias("text"), F.min("id").alias("id")), "sets")
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = crowded.value
@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = nodes.select("a", "b", "text").mapInPandas(heads, "a long, b int, s array<long>").select("a", "b", F.explode("s").alias("s"))
     pivots = parts.groupBy("s").agg(F.min(F.struct("a", "b")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("s", F.col("p.a").alias("pa"), F.col("p.b").alias("pb"))
     region = materialize(parts.join(pivots, "s").select("pa", "pb", "a", "b").distinct(), "regions")
-    links = _join_regions(_small_regions(region, nodes, k, num, den, cap), nodes, k, num, den)
+    small = materialize(_with_partners(_small_regions(region, nodes, k, num, den, cap), nodes, k, num, den), "partners")
+    links = _join_regions(small, nodes, k, num, den)
     named = components(materialize(links, "links"))
 
     each = sets(False)
@@ -280,11 +281,62 @@ def _small_regions(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
     return done
 
 
+def slice_counts(s: np.ndarray) -> np.ndarray:
+    return np.bincount((s & np.uint64(SLICES - 1)).astype(np.int64), minlength=SLICES).astype(np.int32)
+
+
+def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Members of regions that the triangle inequality leaves a partner for, by sizes and slice counts alone, so that few texts travel."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "counts": [slice_counts(shingles(t, k)).astype("<i4").tobytes() for t in batch["text"]]})
+
+    alone = region.groupBy("pa", "pb").agg(F.count("*").alias("m")).filter("m > 1").select("pa", "pb")
+    drawn = nodes.select("a", "b", "text").mapInPandas(sketch, "a long, b int, counts binary")
+    full = region.join(alone, ["pa", "pb"]).join(drawn, ["a", "b"])
+    dealt = full.select("pa", "pb", "a", "b", "counts").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, keys, held = None, [], []
+
+        def ended() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            counts = np.frombuffer(b"".join(held), dtype="<i4").reshape(-1, SLICES)
+            size = counts.sum(axis=1)
+            order = np.argsort(size, kind="stable")
+            size, counts = size[order], counts[order]
+            top = np.searchsorted(size, size * den // num, side="right")
+            keep = np.zeros(len(size), dtype=bool)
+            for i in range(len(size)):
+                rest = slice(i + 1, top[i])
+                fits = np.abs(counts[rest] - counts[i]).sum(axis=1) * (den + num) <= (den - num) * (size[rest] + size[i])
+                if fits.any():
+                    keep[i] = True
+                    keep[rest] |= fits
+            return [(*now, *keys[j]) for j in order[keep].tolist()]
+
+        for batch in batches:
+            out = []
+            for pa, pb, a, b, c in zip(batch["pa"].tolist(), batch["pb"].tolist(), batch["a"].tolist(), batch["b"].tolist(), batch["counts"], strict=True):
+                if (pa, pb) != now:
+                    out += ended()
+                    now, keys, held = (pa, pb), [], []
+                keys.append((a, b))
+                held.append(c)
+            if out:
+                yield pd.DataFrame(out, columns=["pa", "pb", "a", "b"])
+        if out := ended():
+            yield pd.DataFrame(out, columns=["pa", "pb", "a", "b"])
+
+    return dealt.mapInPandas(rows, "pa long, pb int, a long, b int")
+
+
 def _join_regions(region: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (u, v) that connect what each region connects: from the smallest id of a component to its others."""
     kind = dict(nodes.dtypes)["id"]
-    alone = region.groupBy("pa", "pb").agg(F.count("*").alias("m")).filter("m > 1").select("pa", "pb")
-    full = region.join(alone, ["pa", "pb"]).join(nodes.filter("id is not null"), ["a", "b"])
+    full = region.join(nodes.filter("id is not null"), ["a", "b"])
     dealt = full.select("pa", "pb", F.col("id").cast("string").alias("id"), "text").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

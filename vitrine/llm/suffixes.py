@@ -268,7 +268,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, tog
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER, keep_text: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, then n_bytes, n_removed, n_spans and kept_sha256; ``keep_text`` adds what is left, without the parts of letters that a cut has halved, in ``kept_text``."""
     given = keyed_texts(docs, text_col)
-    texts = given.groupBy(F.col("__k").alias("k")).agg(F.first("__text").alias("text"), F.count("*").alias("copies"))
+    texts = materialize(given.groupBy(F.col("__k").alias("k")).agg(F.first("__text").alias("text"), F.count("*").alias("copies")), "texts")
     spans = repeated_spans(texts, length, gram, together)
     schema = "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
 
