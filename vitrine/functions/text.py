@@ -100,7 +100,7 @@ def file_name(collection: Column, title: Column, url: Column) -> Column:
 
 
 def tags(c: Column) -> Column:
-    return F.filter(F.transform(F.split(blank(c), "[|,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(blank(c), "[|,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def title_tags(c: Column) -> Column:

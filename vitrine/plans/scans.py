@@ -35,7 +35,7 @@ def _(t):
 @query("s23_category_tree", "WITH RECURSIVE r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT 2 * node + k, depth + 1 FROM r, (VALUES (0), (1)) v(k) WHERE depth < 5) SELECT CAST(node AS VARCHAR) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE node <= (SELECT count(*) FROM supplier) GROUP BY node")
 def _(t):
     """A binary tree over supplier keys: the children of n are 2n and 2n + 1."""
-    edges = t.supplier.filter("s_suppkey > 1").select(F.floor(F.col("s_suppkey") / 2).cast("string").alias("parent"), F.col("s_suppkey").cast("string").alias("child"))
+    edges = t.supplier.select((F.col("s_suppkey") + 1).alias("n")).filter("n > 1").select(F.floor(F.col("n") / 2).cast("string").alias("parent"), F.col("n").cast("string").alias("child"))
     return O.reach(edges, "1", 5)
 
 
