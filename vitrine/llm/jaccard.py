@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = parts.groupBy("s").agg(F.min(F.struct("a", "b")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("s", F.col("p.a").alias("pa"), F.col("p.b").alias("pb"))
     region = materialize(parts.join(pivots, "s").select("pa", "pb", "a", "b").distinct(), "regions")
     small = materialize(_with_partners(_small_regions(region, nodes, k, num, den, cap), nodes, k, num, den), "partners")
-    links = _join_regions(small, nodes, k, num, den)
+    links = _join_regions(_small_regions(small, nodes, k, num, den, cap), nodes, k, num, den)
     named = components(materialize(links, "links"))
 
     each = sets(False)
@@ -286,7 +286,9 @@ def slice_counts(s: np.ndarray) -> np.ndarray:
 
 
 def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Members of regions that the triangle inequality leaves a partner for, by sizes and slice counts alone, so that few texts travel."""
+    """Regions cut to what the triangle inequality leaves together, by sizes and slice counts alone, so that few texts travel.
+
+    A group of members joined by pairs that may be near is named by its smallest member, so the same group found around several pivots is one."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -308,14 +310,16 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
             order = np.argsort(size, kind="stable")
             size, counts = size[order], counts[order]
             top = np.searchsorted(size, size * den // num, side="right")
-            keep = np.zeros(len(size), dtype=bool)
+            of = np.arange(len(size))
             for i in range(len(size)):
                 rest = slice(i + 1, top[i])
                 fits = np.abs(counts[rest] - counts[i]).sum(axis=1) * (den + num) <= (den - num) * (size[rest] + size[i])
-                if fits.any():
-                    keep[i] = True
-                    keep[rest] |= fits
-            return [(*now, *keys[j]) for j in order[keep].tolist()]
+                for x in set(of[rest][fits].tolist()) - {int(of[i])}:
+                    of[of == x] = of[i]
+            own: dict[int, list[tuple]] = {}
+            for j, x in zip(order.tolist(), of.tolist(), strict=True):
+                own.setdefault(x, []).append(keys[j])
+            return [(*low, *key) for group in own.values() if len(group) > 1 for low in (min(group),) for key in group]
 
         for batch in batches:
             out = []
@@ -330,7 +334,7 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
         if out := ended():
             yield pd.DataFrame(out, columns=["pa", "pb", "a", "b"])
 
-    return dealt.mapInPandas(rows, "pa long, pb int, a long, b int")
+    return dealt.mapInPandas(rows, "pa long, pb int, a long, b int").distinct()
 
 
 def _join_regions(region: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:

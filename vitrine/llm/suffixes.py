@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,20 +166,24 @@ def _spans(found: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return ctx, high - 1, low
 
 
+def unpacked(text: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(text)
+
+
 def keyed_texts(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select("*", F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("__k"), text.alias("__text"))
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER) -> DataFrame:
-    """(k, spans as arrays of starts and ends) of distinct texts (k, text, copies); spans may overlap."""
+    """(k, spans as arrays of starts and ends) of distinct texts (k, packed, copies); spans may overlap."""
     spark = texts.sparkSession
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, text, copies in zip(batch["k"], batch["text"], batch["copies"], strict=True):
-                h, n = np.unique(anchors(text.encode(), length, gram)[3].view(np.int64), return_counts=True)
+            for k, raw, copies in zip(batch["k"], batch["packed"], batch["copies"], strict=True):
+                h, n = np.unique(anchors(unpacked(raw), length, gram)[3].view(np.int64), return_counts=True)
                 if len(h):
                     out.append((k, h, n * copies))
             if out:
@@ -192,8 +197,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, tog
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, text, copies, hs, ns in zip(batch["k"], batch["text"], batch["copies"], batch["h"], batch["n"], strict=True):
-                raw = text.encode()
+            for k, packed, copies, hs, ns in zip(batch["k"], batch["packed"], batch["copies"], batch["h"], batch["n"], strict=True):
+                raw = unpacked(packed)
                 place, first, last, own = anchors(raw, length, gram)
                 own = own.view(np.int64)
                 known = np.argsort(hs)
@@ -268,15 +273,23 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, tog
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, together: int = TOGETHER, keep_text: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, then n_bytes, n_removed, n_spans and kept_sha256; ``keep_text`` adds what is left, without the parts of letters that a cut has halved, in ``kept_text``."""
     given = keyed_texts(docs, text_col)
-    texts = materialize(given.groupBy(F.col("__k").alias("k")).agg(F.first("__text").alias("text"), F.count("*").alias("copies")), "texts")
+
+    def press(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pd.DataFrame({"k": batch["k"], "packed": [pack(t.encode()) for t in batch["text"]]})
+
+    # texts travel compressed: they are shuffled three times
+    pressed = given.select(F.col("__k").alias("k"), F.col("__text").alias("text")).mapInPandas(press, "k binary, packed binary")
+    texts = materialize(pressed.groupBy("k").agg(F.first("packed").alias("packed"), F.count("*").alias("copies")), "texts")
     spans = repeated_spans(texts, length, gram, together)
     schema = "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for k, text, s, e in zip(batch["k"], batch["text"], batch["s"], batch["e"], strict=True):
-                raw, kept, at, removed, runs = text.encode(), [], 0, 0, 0
+            for k, packed, s, e in zip(batch["k"], batch["packed"], batch["s"], batch["e"], strict=True):
+                raw, kept, at, removed, runs = unpacked(packed), [], 0, 0, 0
                 end = -1
                 if s is not None and len(s):
                     order = np.argsort(s, kind="stable")
@@ -296,7 +309,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((*row, left.decode("utf-8", "ignore")) if keep_text else row)
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    done = texts.join(spans, "k", "left").select("k", "text", "s", "e").mapInPandas(cut, schema)
+    done = texts.join(spans, "k", "left").select("k", "packed", "s", "e").mapInPandas(cut, schema)
     clash = [c for c in docs.columns if c in {x.split()[0] for x in schema.split(", ")[1:]} | {text_col}]
     rest = given.drop("__text", *clash)
     return rest.join(done.withColumnRenamed("k", "__k"), "__k").drop("__k")
