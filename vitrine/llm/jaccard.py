@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import keyed, materialize, partitions
 from vitrine.llm.components import components
 
+FINE, LONG = 2048, 1500  # slices for sets of at least so many shingles, where 64 tell too little
 SLICES, LEAF, PIVOTS, CAP, CROWD, CROWDED = 64, 64, 8, 3000, 100_000, 8
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -281,8 +282,8 @@ def _small_regions(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
     return done
 
 
-def slice_counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(SLICES - 1)).astype(np.int64), minlength=SLICES).astype(np.int32)
+def slice_counts(s: np.ndarray, slices: int = SLICES) -> np.ndarray:
+    return np.bincount((s & np.uint64(slices - 1)).astype(np.int64), minlength=slices).astype(np.int32)
 
 
 def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -292,12 +293,14 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "counts": [slice_counts(shingles(t, k)).astype("<i4").tobytes() for t in batch["text"]]})
+            found = [shingles(t, k) for t in batch["text"]]
+            fine = [slice_counts(s, FINE).astype("<i4").tobytes() if len(s) >= LONG else None for s in found]
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "counts": [slice_counts(s).astype("<i4").tobytes() for s in found], "fine": fine})
 
     alone = region.groupBy("pa", "pb").agg(F.count("*").alias("m")).filter("m > 1").select("pa", "pb")
-    drawn = nodes.select("a", "b", "text").mapInPandas(sketch, "a long, b int, counts binary")
+    drawn = nodes.select("a", "b", "text").mapInPandas(sketch, "a long, b int, counts binary, fine binary")
     full = region.join(alone, ["pa", "pb"]).join(drawn, ["a", "b"])
-    dealt = full.select("pa", "pb", "a", "b", "counts").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
+    dealt = full.select("pa", "pb", "a", "b", "counts", "fine").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, keys, held = None, [], []
@@ -305,7 +308,7 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
         def ended() -> list[tuple]:
             if len(held) < 2:
                 return []
-            counts = np.frombuffer(b"".join(held), dtype="<i4").reshape(-1, SLICES)
+            counts = np.frombuffer(b"".join(c for c, _ in held), dtype="<i4").reshape(-1, SLICES)
             size = counts.sum(axis=1)
             order = np.argsort(size, kind="stable")
             size, counts = size[order], counts[order]
@@ -314,6 +317,13 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
             for i in range(len(size)):
                 rest = slice(i + 1, top[i])
                 fits = np.abs(counts[rest] - counts[i]).sum(axis=1) * (den + num) <= (den - num) * (size[rest] + size[i])
+                mine = held[order[i]][1]
+                if mine is not None:
+                    for j in np.flatnonzero(fits).tolist():
+                        # members ascend by size, so those after a long one are long
+                        theirs = held[order[i + 1 + j]][1]
+                        apart = np.abs(np.frombuffer(mine, dtype="<i4") - np.frombuffer(theirs, dtype="<i4")).sum()
+                        fits[j] = apart * (den + num) <= (den - num) * (size[i + 1 + j] + size[i])
                 for x in set(of[rest][fits].tolist()) - {int(of[i])}:
                     of[of == x] = of[i]
             own: dict[int, list[tuple]] = {}
@@ -323,12 +333,12 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
 
         for batch in batches:
             out = []
-            for pa, pb, a, b, c in zip(batch["pa"].tolist(), batch["pb"].tolist(), batch["a"].tolist(), batch["b"].tolist(), batch["counts"], strict=True):
+            for pa, pb, a, b, c, f in zip(batch["pa"].tolist(), batch["pb"].tolist(), batch["a"].tolist(), batch["b"].tolist(), batch["counts"], batch["fine"], strict=True):
                 if (pa, pb) != now:
                     out += ended()
                     now, keys, held = (pa, pb), [], []
                 keys.append((a, b))
-                held.append(c)
+                held.append((c, f))
             if out:
                 yield pd.DataFrame(out, columns=["pa", "pb", "a", "b"])
         if out := ended():
