@@ -1,0 +1,25 @@
+"""Streams and sources on small literal inputs."""
+
+import json
+
+from vitrine.sources.catalog import all_sources
+from vitrine.streaming.playback import affinity
+
+
+def test_sources(spark):
+    met = spark.createDataFrame([(json.dumps({"title": "T", "artistDisplayName": "A", "primaryImage": "//x/1.jpg"}),), (json.dumps({"title": "none"}),)], "payload string")
+    got = all_sources({"met": met, "other": met}, ["met", "gone"]).collect()
+    assert [(r.source_url, r.proposed_title, r.proposed_artist) for r in got] == [("https://x/1.jpg", "T", "A")]
+
+
+def test_affinity_stream(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", 30, False), (2, "2024-01-01 00:00:00", 45, True), (3, "2024-01-01 00:00:00", 3600, False)]
+    events = spark.createDataFrame(rows, "artwork_id long, ts string, display_time_sec int, skipped boolean").selectExpr("artwork_id", "cast(ts as timestamp) ts", "display_time_sec", "skipped")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = affinity(stream).writeStream.format("memory").queryName("affinity").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert {r.artwork_id: round(r.affinity, 4) for r in spark.table("affinity").collect()} == {1: 1.05, 2: 0.9, 3: 5.0}
