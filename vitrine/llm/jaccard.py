@@ -25,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import keyed, materialize, partitions
 from vitrine.llm.components import components
 
-FINE, LONG = 2048, 1500  # slices for sets of at least so many shingles, where 64 tell too little
+LONG = 1500  # sets of at least so many shingles have finer slices: 64 tell too little
 SLICES, LEAF, PIVOTS, CAP, CROWD, CROWDED = 64, 64, 8, 3000, 100_000, 8
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -80,14 +80,19 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qi", hashlib.blake2b(s.tobytes(), digest_size=12).digest())
 
 
+def among(s: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """Which of s stand in the ascending ``crowded``."""
+    if not len(crowded):
+        return np.zeros(len(s), dtype=bool)
+    return crowded[np.minimum(np.searchsorted(crowded, s), len(crowded) - 1)] == s
+
+
 def prefix(s: np.ndarray, crowded: np.ndarray, num: int, den: int) -> np.ndarray:
     """The first shingles in the common order (hash, crowded ones last), one of which any set near enough shares."""
     n = len(s)
     size = n - -(-num * n // den) + 1
-    if len(crowded):
-        last = crowded[np.minimum(np.searchsorted(crowded, s), len(crowded) - 1)] == s
-        s = np.concatenate([s[~last], s[last]])
-    return s[:size]
+    last = among(s, crowded)
+    return np.concatenate([s[~last], s[last]])[:size]
 
 
 def near(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -172,63 +177,78 @@ def region_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, cap: int = CAP) -> DataFrame:
-    """(id, n_shingles, component_id): documents are linked when den * intersection >= num * union."""
+    """(id, n_shingles, component_id): documents are linked when den * intersection >= num * union.
+
+    Two passes shingle all texts: one keeps a sketch of each, one its prefix. Texts travel only for sets that have partners."""
     given, kind = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
 
-    def sets(with_text: bool):
-        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [shingles(t, k) for t in batch["text"]]
-                keys = [set_key(s) for s in found]
-                out = pd.DataFrame({"id": batch["id"], "a": [x[0] for x in keys], "b": [x[1] for x in keys], "n": [len(s) for s in found]})
-                if with_text:
-                    out["text"] = batch["text"]
-                yield out
-
-        return given.mapInPandas(rows, "id string, a long, b int, n int" + ", text string" * with_text).withColumn("id", F.col("id").cast(kind))
-
-    def crowds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, total = set(), {}
         for batch in batches:
-            found = []
-            for t in batch["text"]:
-                s = shingles(t, k)
-                if (key := set_key(s)) not in seen:
-                    seen.add(key)
-                    found.append(s)
-            if found:
-                h, n = np.unique(np.concatenate(found), return_counts=True)
+            sets = [shingles(t, k) for t in batch["text"]]
+            keys = [set_key(s) for s in sets]
+            out = {"id": batch["id"], "a": [x[0] for x in keys], "b": [x[1] for x in keys], "n": [len(s) for s in sets]}
+            yield pd.DataFrame(out | {"counts": [coarse(s) for s in sets], "fine": [fine(s) for s in sets], "h": 0, "m": 0})
+            new = {key: s for key, s in zip(keys, sets, strict=True) if key not in seen}
+            seen.update(new)
+            if new:
+                h, n = np.unique(np.concatenate(list(new.values())), return_counts=True)
                 often = n >= CROWDED
                 for x, y in zip(h[often].view(np.int64).tolist(), n[often].tolist(), strict=True):
                     total[x] = total.get(x, 0) + y
-        yield pd.DataFrame({"h": list(total), "n": list(total.values())}, dtype="int64")
+        yield pd.DataFrame({"id": None, "a": 0, "b": 0, "n": 0, "counts": None, "fine": None, "h": pd.Series(list(total), dtype="int64"), "m": pd.Series(list(total.values()), dtype="int64")})
 
+    drawn = materialize(given.mapInPandas(sketches, "id string, a long, b int, n int, counts binary, fine binary, h long, m long"), "sketches")
     # at most CROWD shingles, the most frequent among those that stand often in one task's documents: only the order depends on them
-    often = given.mapInPandas(crowds, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(CROWD)
+    often = drawn.filter("m > 0").groupBy("h").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "h").limit(CROWD)
     crowded = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in often.collect()], dtype=np.int64).view(np.uint64)))
-
-    nodes = materialize(sets(True).filter("n > 0").groupBy("a", "b").agg(F.first("text").alias("text"), F.min("id").alias("id")), "sets")
+    each = drawn.filter("m = 0").withColumn("id", F.col("id").cast(kind))
+    nodes = materialize(each.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")), "sets")
+    texts = given.withColumn("id", F.col("id").cast(kind))
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = crowded.value
+        last, seen = crowded.value, set()
         for batch in batches:
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "s": [prefix(shingles(t, k), last, num, den).view(np.int64) for t in batch["text"]]})
-
-    parts = nodes.select("a", "b", "text").mapInPandas(heads, "a long, b int, s array<long>").select("a", "b", F.explode("s").alias("s"))
-    pivots = parts.groupBy("s").agg(F.min(F.struct("a", "b")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("s", F.col("p.a").alias("pa"), F.col("p.b").alias("pb"))
-    region = materialize(parts.join(pivots, "s").select("pa", "pb", "a", "b").distinct(), "regions")
-    small = materialize(_with_partners(_small_regions(region, nodes, k, num, den, cap), nodes, k, num, den), "partners")
-    links = _join_regions(_small_regions(small, nodes, k, num, den, cap), nodes, k, num, den)
+            out = []
+            for t in batch["text"]:
+                s = shingles(t, k)
+                key = set_key(s)
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    own = prefix(s, last, num, den)
+                    out.append((key[0], own[~among(own, last)].view(np.int64), own[among(own, last)].view(np.int64)))
+            yield pd.DataFrame(out, columns=["a", "rare", "common"])
+
+    # the first 64 bits of a set's key do here: sets that share them are told apart when regions are joined with the nodes
+    parts = materialize(given.select("text").mapInPandas(heads, "a long, rare array<long>, common array<long>"), "heads")
+    alike = Window.partitionBy("s")
+    rare = parts.select("a", F.explode("rare").alias("s")).select("a", F.min("a").over(alike).alias("pa"), F.max("a").over(alike).alias("za"), F.count("*").over(alike).alias("c"))
+    common = parts.select("a", F.explode("common").alias("s"))
+    pivots = common.groupBy("s").agg(F.min("a").alias("pa"), F.max("a").alias("za"), F.count("*").alias("c"))  # at most CROWD rows
+    met = rare.unionByName(common.join(F.broadcast(pivots), "s").drop("s")).filter("c > 1").select("pa", "a").distinct()
+    region = materialize(met.join(nodes.select("a", "b"), "a").select("pa", F.lit(0).alias("pb"), "a", "b"), "regions")
+    small = materialize(_with_partners(_small_regions(region, nodes, texts, k, num, den, cap), nodes, num, den), "partners")
+    links = _join_regions(_small_regions(small, nodes, texts, k, num, den, cap), nodes, texts, k, num, den)
     named = components(materialize(links, "links"))
 
-    each = sets(False)
-    of_set = each.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("node"))
-    of_set = of_set.join(named, "node", "left").select("a", "b", F.coalesce("component", "node").alias("found"))
-    told = each.join(of_set, ["a", "b"], "left")
+    of_set = nodes.select("a", "b", F.col("id").alias("node")).join(named, "node", "left").select("a", "b", F.coalesce("component", "node").alias("found"))
+    told = each.select("id", "n", "a", "b").join(of_set, ["a", "b"], "left")
     return told.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, id, text) of the nodes in ``wanted`` that have an id, found by their smallest id; of several texts with that id, the one with the node's set."""
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[set_key(shingles(t, k)) == key for t, key in zip(batch["text"], zip(batch["a"].tolist(), batch["b"].tolist(), strict=True), strict=True)]]
+
+    chosen = wanted.select("a", "b").distinct().join(nodes.select("a", "b", "id"), ["a", "b"])
+    met = texts.join(chosen, "id").select("a", "b", F.col("id").cast("string").alias("id"), "text").mapInPandas(own, "a long, b int, id string, text string")
+    return met.groupBy("a", "b").agg(F.first("id").cast(dict(nodes.dtypes)["id"]).alias("id"), F.first("text").alias("text"))
+
+
 def _tiles(over: DataFrame, cap: int) -> DataFrame:
     """Large regions (with their size m) as regions of two tiles each: every pair of tiles, so that each pair of sets meets."""
     tiles = F.ceil(F.col("m") * 2 / cap).cast("int")
@@ -237,7 +257,7 @@ def _tiles(over: DataFrame, cap: int) -> DataFrame:
     return cut.select(F.xxhash64("pa", "pb", low, high).alias("pa"), F.hash("pa", "pb", low, high).alias("pb"), "a", "b")
 
 
-def _small_regions(region: DataFrame, nodes: DataFrame, k: int, num: int, den: int, cap: int) -> DataFrame:
+def _small_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int, cap: int) -> DataFrame:
     """Regions of at most ``cap`` sets. Larger ones are cut into Voronoi cells, up to three times; what replication would more than treble, or stays large, into pairs of tiles."""
     done = None
 
@@ -256,8 +276,9 @@ def _small_regions(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
             break
         # about 32 candidates a region by hash, of which 8 become its pivots: one short row for each large region
         chance = F.pmod(F.xxhash64("a", "b", F.lit(depth)), F.lit(1 << 30)) < F.lit(float(32 << 30)) / F.col("m")
-        chosen = over.filter(chance).join(nodes.select("a", "b", "text"), ["a", "b"]).groupBy("pa", "pb").agg(F.slice(F.collect_list("text"), 1, PIVOTS).alias("pivots"))
-        meet = over.join(nodes.select("a", "b", "text"), ["a", "b"]).join(chosen, ["pa", "pb"], "left")
+        own_texts = materialize(_texts_of(over, nodes, texts, k).select("a", "b", "text"), "texts")
+        chosen = over.filter(chance).join(own_texts, ["a", "b"]).groupBy("pa", "pb").agg(F.slice(F.collect_list("text"), 1, PIVOTS).alias("pivots"))
+        meet = over.join(own_texts, ["a", "b"]).join(chosen, ["pa", "pb"], "left")
 
         def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             reach, now, own = 1 - num / den, None, []
@@ -283,24 +304,36 @@ def _small_regions(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
 
 
 def slice_counts(s: np.ndarray, slices: int = SLICES) -> np.ndarray:
-    return np.bincount((s & np.uint64(slices - 1)).astype(np.int64), minlength=slices).astype(np.int32)
+    return np.bincount((s & np.uint64(slices - 1)).astype(np.int64), minlength=slices)
 
 
-def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Regions cut to what the triangle inequality leaves together, by sizes and slice counts alone, so that few texts travel.
+def coarse(s: np.ndarray) -> bytes:
+    """Counts in SLICES slices, as bytes: those over 255 count as 255, which only brings sets nearer."""
+    return np.minimum(slice_counts(s), 255).astype(np.uint8).tobytes()
 
-    A group of members joined by pairs that may be near is named by its smallest member, so the same group found around several pivots is one."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingles(t, k) for t in batch["text"]]
-            fine = [slice_counts(s, FINE).astype("<i4").tobytes() if len(s) >= LONG else None for s in found]
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "counts": [slice_counts(s).astype("<i4").tobytes() for s in found], "fine": fine})
+def fine(s: np.ndarray) -> bytes | None:
+    """Of a long set, counts in a power of two of slices with 8 to 16 shingles each, as bytes; none if one is over 255."""
+    if len(s) < LONG:
+        return None
+    found = slice_counts(s, 1 << (len(s) // 16).bit_length())
+    return None if found.max() > 255 else found.astype(np.uint8).tobytes()
+
+
+def fine_distance(a: bytes, b: bytes) -> int:
+    """The least by which two long sets differ: wider counts fold to the narrower, as slices are the hash's low bits."""
+    width = min(len(a), len(b))
+    x, y = (np.frombuffer(v, dtype=np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for v in (a, b))
+    return int(np.abs(x - y).sum())
 
+
+def _with_partners(region: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Regions cut to what the triangle inequality leaves together, by sizes and slice counts alone, so that no texts travel.
+
+    A group of members joined by pairs that may be near is named by its smallest member, so the same group found around several pivots is one."""
     alone = region.groupBy("pa", "pb").agg(F.count("*").alias("m")).filter("m > 1").select("pa", "pb")
-    drawn = nodes.select("a", "b", "text").mapInPandas(sketch, "a long, b int, counts binary, fine binary")
-    full = region.join(alone, ["pa", "pb"]).join(drawn, ["a", "b"])
-    dealt = full.select("pa", "pb", "a", "b", "counts", "fine").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
+    full = region.join(alone, ["pa", "pb"]).join(nodes, ["a", "b"])
+    dealt = full.select("pa", "pb", "a", "b", "n", "counts", "fine").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, keys, held = None, [], []
@@ -308,8 +341,8 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
         def ended() -> list[tuple]:
             if len(held) < 2:
                 return []
-            counts = np.frombuffer(b"".join(c for c, _ in held), dtype="<i4").reshape(-1, SLICES)
-            size = counts.sum(axis=1)
+            counts = np.frombuffer(b"".join(c for _, c, _ in held), dtype=np.uint8).reshape(-1, SLICES).astype(np.int32)
+            size = np.array([n for n, _, _ in held])
             order = np.argsort(size, kind="stable")
             size, counts = size[order], counts[order]
             top = np.searchsorted(size, size * den // num, side="right")
@@ -317,13 +350,11 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
             for i in range(len(size)):
                 rest = slice(i + 1, top[i])
                 fits = np.abs(counts[rest] - counts[i]).sum(axis=1) * (den + num) <= (den - num) * (size[rest] + size[i])
-                mine = held[order[i]][1]
+                mine = held[order[i]][2]
                 if mine is not None:
                     for j in np.flatnonzero(fits).tolist():
-                        # members ascend by size, so those after a long one are long
-                        theirs = held[order[i + 1 + j]][1]
-                        apart = np.abs(np.frombuffer(mine, dtype="<i4") - np.frombuffer(theirs, dtype="<i4")).sum()
-                        fits[j] = apart * (den + num) <= (den - num) * (size[i + 1 + j] + size[i])
+                        theirs = held[order[i + 1 + j]][2]
+                        fits[j] = theirs is None or fine_distance(mine, theirs) * (den + num) <= (den - num) * (size[i + 1 + j] + size[i])
                 for x in set(of[rest][fits].tolist()) - {int(of[i])}:
                     of[of == x] = of[i]
             own: dict[int, list[tuple]] = {}
@@ -333,12 +364,12 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
 
         for batch in batches:
             out = []
-            for pa, pb, a, b, c, f in zip(batch["pa"].tolist(), batch["pb"].tolist(), batch["a"].tolist(), batch["b"].tolist(), batch["counts"], batch["fine"], strict=True):
+            for pa, pb, a, b, *own in zip(batch["pa"].tolist(), batch["pb"].tolist(), batch["a"].tolist(), batch["b"].tolist(), batch["n"].tolist(), batch["counts"], batch["fine"], strict=True):
                 if (pa, pb) != now:
                     out += ended()
                     now, keys, held = (pa, pb), [], []
                 keys.append((a, b))
-                held.append((c, f))
+                held.append(own)
             if out:
                 yield pd.DataFrame(out, columns=["pa", "pb", "a", "b"])
         if out := ended():
@@ -347,10 +378,10 @@ def _with_partners(region: DataFrame, nodes: DataFrame, k: int, num: int, den: i
     return dealt.mapInPandas(rows, "pa long, pb int, a long, b int").distinct()
 
 
-def _join_regions(region: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _join_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (u, v) that connect what each region connects: from the smallest id of a component to its others."""
     kind = dict(nodes.dtypes)["id"]
-    full = region.join(nodes.filter("id is not null"), ["a", "b"])
+    full = region.join(_texts_of(region, nodes, texts, k), ["a", "b"])
     dealt = full.select("pa", "pb", F.col("id").cast("string").alias("id"), "text").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
