@@ -66,3 +66,17 @@ def test_wrappers():
     w = align(a, b)
     assert any(t.endswith(")?") for t in w) and slots(w) == {"ul>li", "p", "h1"}
     assert extract("<script>var x = '</p>';</script><p>a<!-- no -->b</p><p>c") == "ab c"
+
+
+def test_article_text_is_no_template(spark):
+    rows = []
+    for i in range(8):
+        rows.append((i, "http://cook.net/a", f"<body class='with-sidebar'><nav>menu</nav><article><h2>Ingredients</h2><p>egg {i}</p><blockquote>as said</blockquote></article><div class=footer>end</div></body>"))
+    rows += [(10 + i, "http://copy.net/a", "<body><p>five copies</p></body>") for i in range(5)]
+    rows += [(20 + i, "http://copy.net/b", f"<body><div><p>one {i}</p></div></body>") for i in range(4)]
+    rows += [(30 + i, "http://bare.net/a", f"<body><div>All rights reserved</div><p>text {i}</p></body>") for i in range(6)]
+    rows += [(40, "http://lay.net/a", "<div class='page-sidebar-left'><main><p>long main text</p></main></div><div>go</div>"), (41, "http://lay.net/b", "<div class=content><p>the real text of the page</p></div><div class=related><article>teaser</article></div>")]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Ingredients egg {i} as said" for i in range(8)} | {10 + i: "five copies" for i in range(5)} | {20 + i: f"one {i}" for i in range(4)}
+    want |= {30 + i: f"text {i}" for i in range(6)} | {40: "long main text", 41: "the real text of the page"}
+    assert got == want

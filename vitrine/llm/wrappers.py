@@ -4,8 +4,9 @@ A page is read as a stream of tags and text slots; tandem repeats are folded int
 are aligned with its wrapper one after another: what only one side has becomes optional ``(...)?``, what both have
 stays, and texts become slots. Each slot of the wrapper is named by the sections around it. A slot is template if an
 element around it says so (navigation, header, footer, sidebar, advert, form, notice, comments, or a name of that
-kind), if it lies outside the page's article, or if it stands once in a page and reads the same on all pages of a host.
-All else is main text.
+kind), if it lies outside the page's article, or if, on a page without an article, it stands once in a page and reads the
+same on nearly all distinct pages of a host. All else is main text. Names of html and body say nothing, nor do those of
+elements around the article or around most of the page's text.
 
 A null or empty page has the empty text. Pages without a host form one host. Repeated rows stay; other columns are not
 carried along. Hosts of any size are folded in slices, each with no more in memory than one wrapper.
@@ -13,11 +14,13 @@ carried along. Hosts of any size are folded in slices, each with no more in memo
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,8 +39,11 @@ TEMPLATE = frozenset("head nav header footer aside form button dialog menu".spli
 MAIN = frozenset("article main".split())
 #: Words in the names of elements that aren't main text, and of those that are.
 TEMPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert warning popup modal overlay comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager form skip copyright legal disclaimer contentinfo complementary hidden".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 SLICES = 8
+#: A slot is the host's own text if it reads the same on as many distinct pages, and on this share of all of them.
+LEAST_PAGES, LEAST_SHARE = 5, 0.9
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -151,17 +157,28 @@ def slots(wrapper: list[str]) -> set[str]:
     return {m[1] for t in wrapper for m in re.finditer(r"#([^ )]*)", t)}
 
 
-def _words(label: str) -> set[str]:
-    return {w for name in label.split(".")[1:] for w in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", name) if w}
+@lru_cache(1 << 16)
+def _words(label: str) -> frozenset[str]:
+    return frozenset(w for name in label.split(".")[1:] for w in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", name) if w)
 
 
-def template_path(path: str) -> bool:
-    inside = False
+@lru_cache(1 << 16)
+def _named_template(path: str) -> tuple[str, ...]:
+    """The elements of a path, each by its own path, that only their names call template."""
+    labels = path.split(">")
+    tags = [x.split(".", 1)[0] for x in labels]
+    return tuple(">".join(labels[: i + 1]) for i, x in enumerate(labels) if tags[i] not in TEMPLATE and tags[i] not in ("html", "body") and _words(x) & TEMPLATE_WORDS)
+
+
+def template_path(path: str, free: frozenset[str] = frozenset()) -> bool:
+    """Whether an element of the path is template. The names of html, body and the elements in ``free`` don't count."""
+    inside, around = False, ""
     for label in path.split(">"):
         tag = label.split(".", 1)[0]
+        around = f"{around}>{label}" if around else label
         if tag == "header" and inside:
             continue
-        if tag in TEMPLATE or _words(label) & TEMPLATE_WORDS:
+        if tag in TEMPLATE or (tag not in ("html", "body") and around not in free and _words(label) & TEMPLATE_WORDS):
             return True
         inside |= tag in MAIN
     return False
@@ -175,12 +192,47 @@ def named_path(path: str) -> bool:
     return any(_words(label) & MAIN_WORDS for label in path.split(">"))
 
 
-def kept_slots(paths: set[str], same: set[str]) -> set[str]:
+def layout(found: list[tuple[str, str, str]]) -> frozenset[str]:
+    """Elements whose names tell of the layout (``with-sidebar``), as they are around the article or most of the page's text.
+
+    Each element counts alone, not all of its name. One around articles counts as such if these have more text than
+    the main text elsewhere (or than all text elsewhere that isn't template, if none is called main text); so teasers and comments don't."""
+    opened: dict[str, int] = {}
+    size: dict[tuple[str, int], int] = {}
+    articles: dict[tuple[str, int], int] = {}
+    strict = {path: template_path(path) for kind, _, path in found if kind == "#"}
+    total, left, called = 0, 0, 0
+    for kind, what, path in found:
+        if kind in "+~" and "." in what:
+            opened[what] = opened.get(what, 0) + 1
+        if kind != "#":
+            continue
+        n = len(what.strip())
+        total += n
+        if not strict[path]:
+            left += n
+            called += n if main_path(path) or named_path(path) else 0
+        for element in _named_template(path):
+            key = (element, opened.get(element.rsplit(">", 1)[-1], 0))
+            size[key] = size.get(key, 0) + n
+            below = path[element.rfind(">") + 1 :]
+            if any(x.split(".", 1)[0] in MAIN for x in below.split(">")):
+                articles[key] = articles.get(key, 0) + n
+    free = set()
+    for (element, i), n in size.items():
+        comments = bool(_words(element.rsplit(">", 1)[-1]) & COMMENT_WORDS)
+        if (2 * n > total and not (comments and called)) or articles.get((element, i), 0) > (called or left):
+            free.add(element)
+    return frozenset(free)
+
+
+def kept_slots(paths: set[str], same: set[str], free: frozenset[str] = frozenset()) -> set[str]:
     """Slots with main text: not template by name; in the article if there is one, else in an element named as content, else whatever isn't the same everywhere."""
-    left = {p for p in paths if not template_path(p)}
-    for inner in (main_path, named_path):
-        if found := {p for p in left if inner(p)}:
-            return found - {p for p in same if p.rsplit(">", 1)[-1].split(".", 1)[0] not in ("p", "h1", "article", "main")}
+    left = {p for p in paths if not template_path(p, free)}
+    if found := {p for p in left if main_path(p)}:
+        return found
+    if found := {p for p in left if named_path(p)}:
+        return found - {p for p in same if p.rsplit(">", 1)[-1].split(".", 1)[0] not in ("p", "h1")}
     return left - same
 
 
@@ -188,7 +240,8 @@ def extract(page: str, wrapper: set[str] | None = None, same: frozenset[str] = f
     """Main text of a page: text of kept slots, one space within and between blocks. The page's own slots count where the wrapper doesn't cover them."""
     found = list(read_page(page))
     own = {path for kind, _, path in found if kind == "#"}
-    keep = (kept_slots(wrapper | own, set(same)) & own if wrapper else set()) or kept_slots(own, set(same))
+    free = layout(found) if any(map(_named_template, own)) else frozenset()
+    keep = (kept_slots(wrapper | own, set(same), free) & own if wrapper else set()) or kept_slots(own, set(same), free)
     out: list[str] = []
     for kind, what, path in found:
         if kind in "# ":
@@ -200,7 +253,7 @@ def extract(page: str, wrapper: set[str] | None = None, same: frozenset[str] = f
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, slots, same) from (host, html): each host's wrapper slots, and those that read the same on all of at least five pages that have one and differ otherwise."""
+    """(host, slots, same) from (host, html): each host's wrapper slots, and those that stand once in nearly all of its distinct pages, at least five, and read the same on each. Exact copies are one page."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,10 +264,12 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                     if kind == "#":
                         texts.setdefault(path, []).append(what.strip())
                 single = {p: t[0] for p, t in texts.items() if len(t) == 1}
-                out.append((host, "\n".join(skeleton(page)), list(single), [zlib.crc32(t.encode()) for t in single.values()]))
-            yield pd.DataFrame(out, columns=["host", "skeleton", "path", "text"])
+                digest = hashlib.md5(page.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+                # the empty path stands for the page itself
+                out.append((host, "\n".join(skeleton(page)), digest, ["", *single], [0, *(zlib.crc32(t.encode()) for t in single.values())]))
+            yield pd.DataFrame(out, columns=["host", "skeleton", "page", "path", "text"])
 
-    seen = pages.mapInPandas(read, "host string, skeleton string, path array<string>, text array<long>")
+    seen = pages.mapInPandas(read, "host string, skeleton string, page binary, path array<string>, text array<long>")
     kinds = seen.groupBy("host", "skeleton").agg(F.count("*").alias("pages"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,8 +299,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"host": batch["host"], "slots": [sorted(slots(s.split("\n"))) for s in batch["skeleton"]]})
 
     wrappers = kinds.mapInPandas(listed, "host string, slots array<string>")
-    texts = seen.select("host", F.explode(F.arrays_zip("path", "text")).alias("x")).groupBy("host", "x.path").agg(F.count("*").alias("n"), F.min("x.text").alias("low"), F.max("x.text").alias("high"))
-    same = texts.groupBy("host").agg(F.max(F.col("low") != F.col("high")).alias("differ"), F.collect_list(F.when((F.col("n") >= 5) & (F.col("low") == F.col("high")), F.col("path"))).alias("same")).filter("differ").select("host", "same")
+    distinct = seen.groupBy("host", "page").agg(F.first(F.arrays_zip("path", "text")).alias("x")).select("host", F.explode("x").alias("x"))
+    texts = distinct.groupBy("host", "x.path").agg(F.count("*").alias("n"), F.min("x.text").alias("low"), F.max("x.text").alias("high"))
+    alike = F.when((F.col("n") >= LEAST_PAGES) & (F.col("low") == F.col("high")) & (F.col("path") != ""), F.struct("path", "n"))
+    hosts = texts.groupBy("host").agg(F.max(F.col("low") != F.col("high")).alias("differ"), F.max(F.when(F.col("path") == "", F.col("n"))).alias("pages"), F.collect_list(alike).alias("alike"))
+    same = hosts.filter("differ").select("host", F.filter("alike", lambda x: x.n >= LEAST_SHARE * F.col("pages")).path.alias("same"))
     return wrappers.join(same, "host", "left")
 
 
