@@ -45,3 +45,19 @@ def test_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(plans.QUERIES.keys() - plans.ORACLE_SQL.keys()))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, str(SF)).count() > 0
+
+
+def test_leader_dedup_covers_all_of_part(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    rows = [(i, f"{('red', 'blue', 'green')[i % 3]} {('box', 'boxes', 'lamp')[i // 3 % 3]} {i % 7}", f"Brand#{i % 2}", 1) for i in range(300, 2400, 9)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    kept, want = {}, set()
+    for i, name, brand, _ in rows:
+        key = f"{name}|{brand.lower().replace('#', ' ')}"
+        own = kept.setdefault((brand, i // 1000), [])
+        if not any(SequenceMatcher(None, key, x).ratio() >= 0.85 for x in own):
+            own.append(key)
+            want.add(i)
+    got = [r.id for r in plans.QUERIES["d02_leader_dedup"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and max(got) > 2000
