@@ -61,3 +61,33 @@ def test_leader_dedup_covers_all_of_part(spark, tmp_path):
             want.add(i)
     got = [r.id for r in plans.QUERIES["d02_leader_dedup"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and max(got) > 2000
+
+
+def test_whole_texts_and_rows(spark):
+    import re
+
+    from vitrine.functions.text import ACCENTED, ARTICLES, PLAIN
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(str(SF / "documents.parquet")).collect()}
+    to = str.maketrans(ACCENTED + "-–—", PLAIN + "   ")
+
+    def match(t):
+        out = t.strip(" ").lower().translate(str.maketrans(ACCENTED, PLAIN))
+        for a in ARTICLES:
+            out = out.removeprefix(a)
+        return out.strip(" ")
+
+    def loose(t):
+        return re.sub(" +", " ", re.sub("^(the|a|an) ", "", re.sub("[^a-z0-9 ]", "", t.lower().translate(to)).strip(" "))).strip(" ")
+
+    plain = {
+        "f04_match_form_whole": match,
+        "f05_loose_title_whole": loose,
+        "f08_work_key_whole": lambda t: t.split("(")[0].split(",")[0].strip(" ").lower(),
+        "f20_title_tags_whole": lambda t: " ".join([w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 3][:5]),
+    }
+    for name, f in plain.items():
+        assert {r[0]: r[1] for r in plans.QUERIES[name](spark, str(SF)).collect()} == {i: f(t) for i, t in docs.items()}, name
+    orders = spark.read.parquet(str(SF / "orders.parquet")).collect()
+    got = {r.o_orderkey: (r.label, r.year, r.day) for r in plans.QUERIES["f23_f24_case_and_cut_whole"](spark, str(SF)).collect()}
+    assert got == {r.o_orderkey: (" ".join(w.capitalize() for w in r.o_orderpriority[2:].split(" ")), f"{r.o_orderdate:%Y}", f"{r.o_orderdate:%Y-%m-%d}") for r in orders}

@@ -39,11 +39,22 @@ def _(t):
     return t.documents.filter(~foreign).select("doc_id", X.match_form(head).alias("form"))
 
 
+@query("f04_match_form_whole")
+def _(t):
+    """All documents and all of their text; no SQL, tests hold it against a plain version."""
+    return t.documents.select("doc_id", X.match_form(F.col("text")).alias("form"))
+
+
 @query("f05_loose_title", r"SELECT doc_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(translate(lower(substr(text, 1, 80)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ-–—', 'aaaaaaceeeeiiiinooooouuuuyy   '), '[^a-z0-9 ]', '', 'g')), '^(the|a|an) ', ''), ' +', ' ', 'g')) AS form FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.loose_title(F.substring("text", 1, 80)).alias("form"))
 
 
+@query("f05_loose_title_whole")
+def _(t):
+    return t.documents.select("doc_id", X.loose_title(F.col("text")).alias("form"))
+
+
 @query("f06_item_key", rf"SELECT p_partkey, trim(regexp_replace({N}, '[^a-z0-9]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(coalesce(p_brand,'')), '[^a-z0-9]+', ' ', 'g')) AS item_key FROM part")
 def _(t):
     return t.part.select("p_partkey", X.item_key(F.col("p_name"), F.col("p_brand")).alias("item_key"))
@@ -60,6 +71,11 @@ def _(t):
     return t.documents.filter(~head.contains("\n")).select("doc_id", X.work_key(head).alias("work"))
 
 
+@query("f08_work_key_whole")
+def _(t):
+    return t.documents.select("doc_id", X.work_key(F.col("text")).alias("work"))
+
+
 @query("f09_surname", r"SELECT s_suppkey, regexp_extract(trim(s_name), '(\S+)$', 1) AS surname FROM supplier")
 def _(t):
     return t.supplier.select("s_suppkey", X.surname(F.col("s_name")).alias("surname"))
@@ -125,6 +141,11 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(X.title_tags(F.substring("text", 1, 120)), " ").alias("tags"))
 
 
+@query("f20_title_tags_whole")
+def _(t):
+    return t.documents.select("doc_id", F.array_join(X.title_tags(F.col("text")), " ").alias("tags"))
+
+
 @query("f21_fenced_json", r"SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def _(t):
     fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
@@ -142,6 +163,12 @@ def _(t):
     return o.select("o_orderkey", F.initcap(F.substring("o_orderpriority", 3, 99)).alias("label"), F.substring(F.col("o_orderdate").cast("string"), 1, 4).alias("year"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("day"))
 
 
+@query("f23_f24_case_and_cut_whole")
+def _(t):
+    """All orders, those whose priority has several words too."""
+    return t.orders.select("o_orderkey", F.initcap(F.substring("o_orderpriority", 3, 1 << 30)).alias("label"), F.substring(F.col("o_orderdate").cast("string"), 1, 4).alias("year"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("day"))
+
+
 @query("f25_human_size", "SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN CAST(CAST(round(n_chars / 1048576, 1) AS DECIMAL(20,1)) AS VARCHAR) || ' MB' WHEN n_chars >= 1024 THEN CAST(CAST(round(n_chars / 1024, 1) AS DECIMAL(20,1)) AS VARCHAR) || ' KB' ELSE CAST(n_chars AS VARCHAR) || ' B' END AS size FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.human_size(F.col("n_chars")).alias("size"))
