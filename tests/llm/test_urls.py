@@ -1,9 +1,10 @@
 """Operator 1 against a plain reading of the rules."""
 
+import random
 import re
 
 from vitrine.llm.queries import URL_RULES
-from vitrine.llm.urls import judge_urls, weak_labels
+from vitrine.llm.urls import judge_urls, suffix_statistics, weak_labels
 
 
 def parts(url):
@@ -40,3 +41,20 @@ def test_rules_and_trees(spark):
         if r.page_id >= 100:
             assert r.verdict == ("block" if "casino" in host else "allow")
     assert judge_urls(pages.limit(0), weak_labels(pages.limit(0)), URL_RULES).count() == 0
+
+
+def test_statistics_of_all_labelled_urls(spark):
+    rng = random.Random(3)
+    rows, blocked = [], {}
+    for h in range(150):
+        host = "".join(rng.choice("abcdefgh") for _ in range(8)) + ".net"
+        for i in range(8):
+            rows.append((len(rows), f"http://{host}/{i}"))
+            blocked[rows[-1][1]] = h % 2
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = spark.createDataFrame(list(blocked.items()), "url string, blocked int")
+    got = judge_urls(pages, labelled, [], max_labelled=200).collect()
+    by = dict(rows)
+    right = sum((r.verdict == "block") == bool(blocked[by[r.page_id]]) for r in got)
+    assert len(got) == len(rows) and right == len(rows)
+    assert suffix_statistics(labelled).filter("k = 2").groupBy("suffix").agg({"n_all": "max"}).filter("`max(n_all)` = 8").count() == 150

@@ -3,7 +3,7 @@
 A rule is a host and a path, ``net/``. It fits a URL on its host or any subdomain whose path starts with
 the rule's; the longest fitting rule decides. Everything else is scored by trees trained from labelled
 URLs: length, depth, digit ratio, entropy, parameter counts, and how often URLs under the same one, two
-or three last host labels were blocked among the labelled ones (out of fold while training).
+or three last host labels were blocked among all labelled ones (out of fold while training).
 
 A null URL, or one without ``://``, has an empty host and path and is judged by the trees. Without
 labels of both kinds every URL gets the only kind there is (allow if there is none). Repeated rows stay.
@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLDS = 5
 #: Words in a host that mark a URL as blocked where no other labels are at hand.
@@ -75,16 +77,30 @@ def weak_labels(pages: DataFrame, url_col: str = "url", words: Sequence[str] = S
     return pages.select(F.col(url_col).alias("url"), host.rlike("|".join(words)).cast("int").alias("blocked")).filter("url is not null")
 
 
+def suffix_statistics(known: DataFrame) -> DataFrame:
+    """(k, suffix, fold, n_all, b_all, n_out, b_out): how many of all labelled distinct URLs (url, blocked) stand under each suffix and how many of them are blocked, in all folds and in all but one."""
+    host, _ = url_parts(F.col("url"))
+    suffix = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("suffix")) for k, c in enumerate(_suffixes(F.col("host")), 1)]))
+    by_fold = known.select("blocked", _fold().alias("fold"), host.alias("host")).select("blocked", "fold", suffix.alias("s")).select("blocked", "fold", "s.*").filter("suffix is not null").groupBy("k", "suffix", "fold").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+    # at most FOLDS rows a suffix
+    folds = by_fold.groupBy("k", "suffix").agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all"), F.collect_list(F.struct("fold", "n", "b")).alias("f"))
+    return folds.select("k", "suffix", "n_all", "b_all", F.explode("f").alias("f")).select("k", "suffix", "f.fold", "n_all", "b_all", (F.col("n_all") - F.col("f.n")).alias("n_out"), (F.col("b_all") - F.col("f.b")).alias("b_out"))
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+
+
 def _with_rates(df: DataFrame, stats: DataFrame, fold: bool) -> DataFrame:
-    """Joins the suffix statistics, which the bound on labelled rows keeps small. In training, a row's own fold is taken out."""
+    """Joins the suffix statistics, which grow with the labelled URLs, so by shuffles (or as Spark finds them small) and with common suffixes split by the skew join. In training, a row's own fold is taken out."""
     for k in (1, 2, 3):
         s = stats.filter(F.col("k") == k)
         if fold:
             s = s.select(F.col("suffix").alias(f"suffix_{k}"), "fold", F.col("n_out").alias("n"), F.col("b_out").alias("b"))
-            df = df.join(F.broadcast(s), [f"suffix_{k}", "fold"], "left")
+            df = df.join(s, [f"suffix_{k}", "fold"], "left")
         else:
             s = s.groupBy(F.col("suffix").alias(f"suffix_{k}")).agg(F.first("n_all").alias("n"), F.first("b_all").alias("b"))
-            df = df.join(F.broadcast(s), f"suffix_{k}", "left")
+            df = df.join(s, f"suffix_{k}", "left")
         n, b = F.coalesce("n", F.lit(0)), F.coalesce("b", F.lit(0))
         df = df.withColumns({f"rate_{k}": (b + 0.5) / (n + 1.0), f"seen_{k}": F.log1p(n)}).drop("n", "b")
     return df
@@ -94,20 +110,18 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
     """Every page's host, path, rule, verdict (``allow`` or ``block``) and the trees' score.
 
     ``labelled`` has (url, blocked 0/1). The trees learn from at most ``max_labelled`` of its distinct URLs,
-    those with the smallest hashes; all pages are judged."""
+    those with the smallest hashes; suffix statistics count all of them, and all pages are judged."""
     spark = pages.sparkSession
-    sample = labelled.groupBy("url").agg(F.max("blocked").alias("blocked")).orderBy(F.xxhash64("url"), "url").limit(max_labelled)
+    known = labelled.groupBy("url").agg(F.max("blocked").alias("blocked"))
+    sample = known.orderBy(F.xxhash64("url"), "url").limit(max_labelled)
     rows = [(r["url"], int(r["blocked"])) for r in sample.collect()]  # bounded by max_labelled
-    learned = lexical(spark.createDataFrame(rows, "url string, blocked int"), "url").withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS))).persist()
+    learned = lexical(spark.createDataFrame(rows, "url string, blocked int"), "url").withColumn("fold", _fold()).persist()
     base = lexical(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "url")
     kinds = {b for _, b in rows}
     if len(kinds) < 2:
         scored = base.withColumn("score", F.lit(float(kinds.pop() if kinds else 0)))
     else:
-        suffix = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"suffix_{k}").alias("suffix")) for k in (1, 2, 3)]))
-        by_fold = learned.select("blocked", "fold", suffix.alias("s")).select("blocked", "fold", "s.*").filter("suffix is not null").groupBy("k", "suffix", "fold").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
-        total = by_fold.groupBy("k", "suffix").agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all"))
-        stats = by_fold.join(total, ["k", "suffix"]).withColumns({"n_out": F.col("n_all") - F.col("n"), "b_out": F.col("b_all") - F.col("b")}).drop("n", "b").persist()
+        stats = materialize(suffix_statistics(known), "suffixes")
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
         train = vectors.transform(_with_rates(learned, stats, fold=True).withColumn("label", F.col("blocked").cast("double"))).select("features", "label")
         model = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, maxBins=64, seed=7, cacheNodeIds=False, checkpointInterval=-1).fit(train)
