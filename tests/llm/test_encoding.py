@@ -147,3 +147,15 @@ def test_grammar_compresses():
     same = np.zeros(9, dtype=np.uint32)
     symbols, rules, _ = sh.compress(same, np.arange(9) == 8, 10)
     assert (sh.expand(symbols, rules, 10) == same).all()
+
+
+def test_likeness_of_scattered_edits():
+    words = [f"{chr(97 + i * 7 % 26)}{i * i % 977}" for i in range(1200)]
+    text = " ".join(words)
+    ends = "X" + text[1:-1] + "Y"
+    scattered = " ".join("changed" if i % 120 == 60 else w for i, w in enumerate(words))
+    moved = "A new head line\n" + text[:-200] + "another tail"
+    for other, least in ((ends, 0.95), (scattered, 0.75), (moved, 0.9)):
+        assert least < fp.likeness(fp.fingerprint(text), fp.fingerprint(other)) < 1
+    assert fp.likeness(fp.fingerprint(text), fp.fingerprint(" ".join(w[::-1] for w in words))) < 0.1
+    assert len(fp.fingerprint("a" * 100_000)) < 3000

@@ -3,8 +3,11 @@
 ``PrefixHash`` keeps modular prefix sums of a text's code points for two primes. Any span's hash follows
 from two entries, so spans compare in constant time and the longest common extension of two places takes
 a binary search. A document's fingerprint holds its length and the hashes of up to 32 prefixes and 32
-suffixes whose lengths are multiples of one step, a power of two. Two fingerprints are alike by the
-share of the longer text that their longest common prefix and suffix cover, found by binary search.
+suffixes whose lengths are multiples of one step, a power of two. It also holds the length and hash of
+every span between cut points, which the text itself chooses: the ends of windows with a low hash, one
+in ``EVERY`` places on average. Two fingerprints are alike by the share of the longer text that their
+longest common prefix and suffix cover, found by binary search, or that lies in spans which both hold,
+whichever is larger. So edits anywhere cost only the spans that they touch.
 
 Null texts count as empty; two empty texts are alike by 1, an empty and another by 0. Repeated rows and
 equal ids are put in order by their texts. Documents without an id come first.
@@ -13,6 +16,7 @@ equal ids are put in order by their texts. Documents without an id come first.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ from vitrine.llm.common import bucket_bounds, bucket_of, partitions, unkeyed
 #: Two primes under 2**31 and a base for each.
 MODULI = ((2147483629, 911382323), (2147483587, 972663749))
 MARKS = 32
+#: A span ends after a window of so many code points if its hash is among the lowest of so many.
+WINDOW, EVERY = 12, 48
 
 
 class Powers:
@@ -74,6 +80,16 @@ class PrefixHash:
             out = out << np.uint64(32) | (s[j] + m - s[i]) % m * down[i] % m
         return out
 
+    def cuts(self) -> np.ndarray:
+        """Places after the start at which windows with a low hash end, and the end. A window like the one before it doesn't count."""
+        mod, m = MODULI[0][0], np.uint64(MODULI[0][0])
+        s, k = self.sums[0], max(0, self.n + 1 - WINDOW)
+        seen = (s[WINDOW:] + m - s[:k]) % m * self.down[0][:k] % m
+        low = seen < np.uint64(mod // EVERY)
+        low[1:] &= seen[1:] != seen[:-1]
+        at = np.flatnonzero(low) + WINDOW
+        return np.append(at[at < self.n], self.n) if self.n else at
+
     def span(self, i: int, j: int) -> int:
         return int(self.spans(np.array([i]), np.array([j]))[0])
 
@@ -88,7 +104,7 @@ def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
 
 
 def fingerprint(text: str) -> str:
-    """``length.step.prefix hashes.suffix hashes``, hexadecimal, sixteen letters a hash."""
+    """``length.step.prefix hashes.suffix hashes.spans``, hexadecimal, sixteen letters a hash; a span is its hash and length, and how often it stands there if more than once."""
     h = PrefixHash(text)
     step = 1
     while h.n // step > MARKS:
@@ -98,7 +114,15 @@ def fingerprint(text: str) -> str:
     to = np.concatenate([at, whole]).astype(np.int64)
     heads = h.spans(np.zeros(len(to), dtype=np.int64), to).astype(">u8").tobytes().hex()
     tails = h.spans(h.n - at, np.full(len(at), h.n)).astype(">u8").tobytes().hex()
-    return f"{h.n:x}.{step:x}.{heads}.{tails}"
+    ends = h.cuts()
+    starts = np.concatenate([ends[:0], [0], ends[:-1]])[: len(ends)].astype(np.int64)
+    held = Counter(zip(h.spans(starts, ends).tolist(), (ends - starts).tolist(), strict=True))
+    spans = ",".join(f"{x:016x}{n:x}" + f"*{k:x}" * (k > 1) for (x, n), k in held.items())
+    return f"{h.n:x}.{step:x}.{heads}.{tails}.{spans}"
+
+
+def _spans(text: str) -> dict[str, int]:
+    return {s: int(k or "1", 16) for s, _, k in (x.partition("*") for x in text.split(",") if x)}
 
 
 def _agree(a: str, b: str, step_a: int, step_b: int) -> int:
@@ -113,16 +137,18 @@ def _agree(a: str, b: str, step_a: int, step_b: int) -> int:
 
 
 def likeness(x: str, y: str) -> float:
-    """From 0 to 1: covered by the common prefix and suffix, as far as the marks tell, of the longer text."""
+    """From 0 to 1: covered by the common prefix and suffix, as far as the marks tell, or by common spans, of the longer text."""
     if x == y:
         return 1.0
-    nx, sx, hx, tx = x.split(".")
-    ny, sy, hy, ty = y.split(".")
+    nx, sx, hx, tx, px = x.split(".")
+    ny, sy, hy, ty, py = y.split(".")
     n, m, s, t = int(nx, 16), int(ny, 16), int(sx, 16), int(sy, 16)
     if not n or not m:
         return 0.0
     both = _agree(hx[: n // s * 16], hy[: m // t * 16], s, t) + _agree(tx, ty, s, t)
-    return min(both, min(n, m)) / max(n, m)
+    a, b = _spans(px), _spans(py)
+    shared = sum(min(k, b[x]) * int(x[16:], 16) for x, k in a.items() if x in b)
+    return min(max(both, shared), min(n, m)) / max(n, m)
 
 
 def edited(text: str, following: str) -> str:
