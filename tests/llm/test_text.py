@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from vitrine.llm.langid import identify, marginals
+from vitrine.llm.langid import identify, labelled_sample, marginals
 from vitrine.llm.wrappers import align, extract, fold_repeats, main_texts, skeleton, slots
 
 
@@ -80,3 +80,11 @@ def test_article_text_is_no_template(spark):
     want = {i: f"Ingredients egg {i} as said" for i in range(8)} | {10 + i: "five copies" for i in range(5)} | {20 + i: f"one {i}" for i in range(4)}
     want |= {30 + i: f"text {i}" for i in range(6)} | {40: "long main text", 41: "the real text of the page"}
     assert got == want
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i % 90}", f"l{i % 90:02}") for i in range(1800)] + [(5000 + i, "more", "l00") for i in range(300)]
+    texts, langs = labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 450)
+    assert {x: langs.count(x) for x in langs} == {f"l{k:02}": 5 for k in range(90)} and len(texts) == 450
+    _, few = labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 10)
+    assert sorted(few) == [f"l{k:02}" for k in range(90)]

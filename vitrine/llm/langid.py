@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import keyed, unkeyed
@@ -109,7 +109,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5,
     labels = sorted(set(langs))
     rng = np.random.default_rng(5)
     words: list[list[str]] = [[] for _ in labels]
-    share = max_words // max(1, len(labels))
+    share = max(1, max_words // max(1, len(labels)))
     for i in rng.permutation(len(texts)):
         k = labels.index(langs[i])
         if len(words[k]) < share:
@@ -158,18 +158,20 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5,
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> tuple[list[str], list[str]]:
-    """At most ``max_docs`` learnable documents, as many of each language as there may be, those with the smallest id hashes."""
-    can = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("out"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter("lang is not null and text is not null and not out and h is not null")
-    langs = sorted(r["lang"] for r in can.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect())
-    texts, of = [], []
-    for lang in langs:
-        own = can.filter(F.col("lang") == lang)
-        share = max(1, max_docs // len(langs))
-        last = own.select("h").orderBy("h").limit(share).agg(F.max("h").alias("h")).first()["h"]
-        for r in own.filter(F.col("h") <= last).limit(share).collect():  # bounded by max_docs
-            texts.append(r["text"])
-            of.append(lang)
-    return texts, of
+    """At most ``max_docs`` learnable documents, as many of each language as there may be, those with the smallest id hashes.
+
+    Every language has one at least, so more languages than ``max_docs`` give one document each. Counts by language and
+    the hash's leading bits name the last bits that each language needs; only documents up to these are ranked."""
+    can = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("out"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter("lang is not null and text is not null and not out and h is not null").withColumn("bits", F.shiftright("h", 48))
+    share = max(1, max_docs // max(1, can.select("lang").distinct().count()))
+    by_bits = can.groupBy("lang", "bits").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bits")) - F.col("n")
+    last = by_bits.withColumn("before", before).filter(F.col("before") < share).groupBy("lang").agg(F.max("bits").alias("last"))
+    near = can.join(F.broadcast(last), "lang").filter("bits <= last")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    found = near.withColumn("n", rank).filter(F.col("n") <= share).select("text", "lang", "n").collect()  # bounded by max_docs
+    found.sort(key=lambda r: (r["lang"], r["n"]))
+    return [r["text"] for r in found], [r["lang"] for r in found]
 
 
 def held_out(key):
