@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from vitrine.sources.catalog import all_sources
 from vitrine.streaming.playback import affinity
 
@@ -23,3 +25,21 @@ def test_affinity_stream(spark, tmp_path):
     finally:
         q.stop()
     assert {r.artwork_id: round(r.affinity, 4) for r in spark.table("affinity").collect()} == {1: 1.05, 2: 0.9, 3: 5.0}
+
+
+def test_museum_rules(spark):
+    def rows(source, *payloads):
+        given = spark.createDataFrame([(json.dumps(p),) for p in payloads], "payload string")
+        return [(r.source_url, r.thumbnail_url, r.proposed_title, r.proposed_artist) for r in all_sources({source: given}).collect()]
+
+    iiif = "https://i/x/full/max/0/d.jpg"
+    small = iiif.replace("max", "400,")
+    names = {"title": [{"@language": "nl", "@value": "N"}, {"@language": "en", "@value": "E"}]}
+    assert rows("rijksmuseum", {"title": "T", "creator": names, "relation": ["u", {"@id": iiif}]}, {"title": "S", "creator": "C", "relation": {"@id": iiif}}, {"title": "none"}) == [(iiif, small, "T", "E"), (iiif, small, "S", "C")]
+    media = [{"type": "3D", "content": "m"}, {"type": "Images", "content": "c", "thumbnail": "t"}]
+    assert rows("smithsonian", {"title": "T", "content": {"descriptiveNonRepeating": {"online_media": {"media": media}}, "freetext": {"name": [{"content": "A"}]}}}) == [("c", "t", "T", "A")]
+    assert rows("nasa", {"data": [{"title": "T"}], "links": [{"href": "a~thumb.jpg"}, {"href": "a~orig.jpg"}]}) == [("a~orig.jpg", "a~thumb.jpg", "T", "Unknown Artist")]
+    good = {"title": "T", "url": "u", "thumburl": "v", "mime": "image/png", "width": 9000, "height": 10, "extmetadata": {"License": {"value": "CC0"}}}
+    assert rows("wikimedia", good, good | {"mime": "image/svg+xml"}, good | {"width": 20}, good | {"extmetadata": {}}) == [("u", "v", "T", "Unknown Artist")]
+    with pytest.raises(ValueError):
+        rows("other", good)

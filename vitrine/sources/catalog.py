@@ -23,9 +23,14 @@ FIELDS = {
     "harvard": ("$.title", "$.people[0].name", "$.primaryimageurl", "$.primaryimageurl"),
     "europeana": ("$.title[0]", "$.dcCreator[0]", "$.edmIsShownBy[0]", "$.edmPreview[0]"),
     "nasa": ("$.data[0].title", "$.data[0].photographer", "$.links[0].href", "$.links[0].href"),
+    "rijksmuseum": ("$.title", "$.creator", "$.relation", "$.relation"),
+    "smithsonian": ("$.title", "$.content.freetext.name[0].content", "$.content.descriptiveNonRepeating.online_media.media", "$.content.descriptiveNonRepeating.online_media.media"),
     "wikimedia": ("$.title", "$.extmetadata.Artist.value", "$.url", "$.thumburl"),
 }
 
+#: Fixed value: the least long edge of a Wikimedia image.
+MIN_DISPLAY_EDGE = 2000
+
 
 def collections(spark: SparkSession, path: str) -> DataFrame:
     """Catalog collections of a folder, without index files and hidden ones: (collection, item_index, item fields)."""
@@ -39,11 +44,62 @@ def author_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+def _listed(text: Column) -> Column:
+    """The elements of a JSON array, each as its own text; null if it is no array."""
+    return F.from_json(text, "array<string>")
+
+
+def _linked_id(node: Column) -> Column:
+    """The id of a Linked-Art node, or the first id in a list of nodes."""
+    ids = F.filter(F.transform(_listed(node), lambda x: F.get_json_object(x, "$.@id")), lambda x: x.isNotNull())
+    return F.coalesce(F.get_json_object(node, "$.@id"), F.get(ids, F.lit(0)))
+
+
+def _linked_label(given: Column) -> Column:
+    """The label of a Linked-Art node (of the first in a list): its text, its English title, its first title, or its id."""
+    node = F.coalesce(F.get(_listed(given), F.lit(0)), given)
+    title = F.get_json_object(node, "$.title")
+    titles = _listed(title)
+    english = F.get(F.filter(titles, lambda x: F.get_json_object(x, "$.@language") == "en"), F.lit(0))
+    first = F.coalesce(english, F.get(titles, F.lit(0)))
+    of_title = F.coalesce(F.get_json_object(first, "$.@value"), first, title)
+    return F.when(node.startswith("{"), F.coalesce(first_filled(of_title), F.get_json_object(node, "$.@id"))).otherwise(node)
+
+
+def _images(source: str, column: str, image: Column, thumb: Column) -> tuple[Column, Column]:
+    """Addresses of image and thumbnail; sources that list several have a rule for which."""
+    if source == "rijksmuseum":
+        url = _linked_id(image)
+        return url, F.replace(url, F.lit("/full/max/"), F.lit("/full/400,/"))
+    if source == "smithsonian":
+        shown = F.get(F.filter(_listed(image), lambda x: F.get_json_object(x, "$.type") == "Images"), F.lit(0))
+        return F.get_json_object(shown, "$.content"), F.get_json_object(shown, "$.thumbnail")
+    if source == "nasa":
+        # the stored asset list if there is one, else the links of the answer
+        hrefs = F.transform(_listed(F.get_json_object(column, "$.links")), lambda x: F.get_json_object(x, "$.href"))
+        assets = F.coalesce(_listed(F.get_json_object(column, "$.assets")), hrefs)
+        return F.coalesce(best_asset(F.filter(assets, lambda u: F.lower(u).rlike(r"\.(jpg|jpeg|png)$"))), image), thumb
+    return image, thumb
+
+
+def _shown(source: str, column: str) -> Column:
+    """Wikimedia's gates: a raster image, a long edge for the display, public domain."""
+    if source != "wikimedia":
+        return F.lit(True)
+    at = lambda path: F.coalesce(F.get_json_object(column, path), F.lit(""))
+    edge = F.greatest(*[F.coalesce(at(f"$.{k}").try_cast("long"), F.lit(0)) for k in ("width", "height")])
+    terms = F.lower(F.concat_ws(" ", *[at(f"$.extmetadata.{k}.value") for k in ("LicenseShortName", "License", "UsageTerms")]))
+    free = terms.rlike("public domain|cc0|pd-") | F.lower(F.trim(at("$.extmetadata.Copyrighted.value"))).isin("false", "no")
+    return at("$.mime").startswith("image/") & ~at("$.mime").contains("svg") & (edge >= MIN_DISPLAY_EDGE) & free
+
+
 def normalised(payloads: DataFrame, source: str, column: str = "payload") -> DataFrame:
     """A source's payloads in the common shape. Rows without an image are left out, as they can't be shown."""
     title, artist, image, thumb = (F.get_json_object(column, p) for p in FIELDS[source])
+    image, thumb = _images(source, column, image, thumb)
+    artist = _linked_label(artist) if source == "rijksmuseum" else artist
     url = F.regexp_replace(image, "^//", "https://")
-    return payloads.select(
+    return payloads.filter(_shown(source, column)).select(
         url.alias("source_url"), F.coalesce(first_filled(thumb), url).alias("thumbnail_url"),
         F.coalesce(first_filled(title), F.lit("Unknown")).alias("proposed_title"),
         F.coalesce(first_filled(F.regexp_replace(artist, "<[^>]+>", "")), F.lit("Unknown Artist")).alias("proposed_artist"),
@@ -52,8 +108,10 @@ def normalised(payloads: DataFrame, source: str, column: str = "payload") -> Dat
 
 
 def all_sources(payloads: dict[str, DataFrame], wanted: list[str] | None = None) -> DataFrame:
-    """Fan-out and flatten; unknown sources are dropped, none wanted means all."""
-    chosen = [s for s in (wanted or payloads) if s in payloads and s in FIELDS] or [s for s in payloads if s in FIELDS]
+    """Fan-out and flatten; wanted sources without payloads are dropped, none of them left means all. Payloads to be read of an unknown source are an error."""
+    chosen = [s for s in (wanted or payloads) if s in payloads] or list(payloads)
+    if unknown := [s for s in chosen if s not in FIELDS]:
+        raise ValueError(f"unknown sources: {', '.join(unknown)}")
     return reduce(DataFrame.unionByName, [normalised(payloads[s], s) for s in chosen])
 
 
