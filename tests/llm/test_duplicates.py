@@ -89,13 +89,76 @@ def test_anchor_runs_cover_all_starts():
     assert ((place >= last) & (place <= first + 168)).all()
 
 
-@pytest.mark.parametrize(("k", "num", "cap"), [(4, 85, 3000), (5, 80, 3000), (4, 85, 6), (4, 60, 8)])
+@pytest.mark.parametrize(("k", "num", "cap"), [(4, 85, 3000), (5, 80, 3000), (4, 85, 6), (4, 60, 8)])  # small caps bring Spark's own cells and tiles in
 def test_groups(docs, k, num, cap):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = near_duplicates(docs, k=k, num=num, cap=cap)
     assert sorted(map(tuple, got.collect()), key=str) == plain_groups(rows, k, num, 100)
 
 
+def spelled(rng, n):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_groups_with_missing_and_repeated_ids(spark):
+    """A row without an id bridges two documents; a repeated id doesn't join what its texts don't join."""
+    rng = random.Random(9)
+    words = spelled(rng, 200).split()
+    bridge = [(1, " ".join(words[:180])), (None, " ".join(words[10:190])), (2, " ".join(words[20:200]))]
+    p, q = spelled(rng, 120), spelled(rng, 120)
+    twice = [(5, p), (5, q), (3, p + " end"), (9, q + " end"), (None, q), (None, spelled(rng, 9))]
+    rows = bridge + twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, near_duplicates(docs, k=4, num=85).collect()), key=str)
+    assert got == plain_groups(rows, 4, 85, 100)
+    by = defaultdict(set)
+    for i, _, c in got:
+        by[i].add(c)
+    assert by[1] == by[2] == {1} and by[9] == {5} and by[5] == {3, 5}
+
+
+def test_stage_judges_texts_of_one_id_apart(spark):
+    rng = random.Random(6)
+    p, q, r = spelled(rng, 120), spelled(rng, 120), spelled(rng, 120)
+    rows = [(5, p), (5, q), (3, p + " end"), (9, r), (9, r), (None, q + " end"), (None, spelled(rng, 30)), (7, None), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((x.doc_id, x.text) for x in cp.one_of_each_group(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, q), (3, p + " end"), (9, r), rows[6], (7, None), (None, "")], key=str)
+
+
+def test_cells_are_cut_on_generated_documents(spark, monkeypatch):
+    """Regions of a shared shingle in the driver's own table are cut into cells and stay exact. Sets at distance one from each other fall to no cell and are compared."""
+    from vitrine.llm import jaccard
+
+    sets = {}
+    for t in sorted({r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()}):
+        s = jaccard.shingles(t, 4)
+        if len(s):
+            sets.setdefault(jaccard.set_key(s), s)
+    region, other = Region(list(sets.values()), 85, 100), Region(list(sets.values()), 85, 100)
+    met, joined = defaultdict(list), []
+    for i, s in enumerate(region.sets):
+        for x in jaccard.prefix(s, np.empty(0, dtype=np.uint64), 85, 100).tolist():
+            met[x].append(i)
+    large = sorted({tuple(m) for m in met.values() if len(m) > jaccard.LEAF})
+    join = Region.join
+    monkeypatch.setattr(Region, "join", lambda self, members: (joined.append(len(members)), join(self, members))[1])
+    for m in large:
+        region.join(np.array(m))
+        other.leaf(np.array(m))
+    assert len(joined) > 2 * len(large) > 0
+    assert region.of.tolist() == other.of.tolist()
+
+
+def test_crowded_keys_are_looked_up(spark, monkeypatch):
+    from vitrine.llm import components
+
+    monkeypatch.setattr(components, "CROWD", 20)
+    edges = [(0, i) for i in range(1, 200)] + [(300 + i, 301 + i) for i in range(40)] + [(199, 350), (350, 351)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in [*range(200), 350, 351]} | {300 + i: 300 for i in range(41)}
+
+
 def test_groups_in_generated_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -125,7 +188,7 @@ def test_pipeline_stages(spark, docs):
     assert {r.doc_id for r in kept} == {i for i, t in rows if t and any(c.isalpha() for c in t)}
     assert list(kept[0].asDict()) == cp.COLUMNS
     one = cp.one_of_each_group(spark, docs, "")
-    want = {i for i, n, c in plain_groups(rows, 5, 80, 100) if i is None or not n or i == c}
+    want = {i for i, n, c in plain_groups(rows, 5, 80, 100) if not n or i == c}
     got = [r.doc_id for r in one.collect()]
     assert set(got) == want and len(got) == len(want) and one.columns == cp.COLUMNS
     cut = cp.repeated_passages(spark, docs, "")

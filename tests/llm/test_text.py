@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from vitrine.llm.langid import identify, labelled_sample, marginals
+from vitrine.llm.langid import fit, identify, label_documents, labelled_sample, marginals
 from vitrine.llm.wrappers import align, extract, fold_repeats, main_texts, skeleton, slots
 
 
@@ -43,6 +43,19 @@ def test_languages_held_out(spark):
     assert identify(given.limit(0)).count() == 0
 
 
+def test_labels_keep_all_columns(spark):
+    """Very long texts, numbers that are no letters, columns of the result's names; words in two languages each get their own label."""
+    long = "the of and to in that was his with " * 40_000
+    rows = [(1, "½ ² Ⅷ", "a"), (2, long, "b"), (3, None, None), (4, "x²y", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as lang_pred")
+    crf = fit(["the of and to in that was his with"] * 30 + ["der die und nicht ein zu den mit auf"] * 30, ["en"] * 30 + ["de"] * 30)
+    got = {r.doc_id: r for r in label_documents(docs, crf, keep_words=True).collect()}
+    assert [r.text for _, r in sorted(got.items())] == [t for _, t, _ in rows]
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und", "en", "und"] and got[1].score == 0 and len(got[2].word_langs) == 9 * 40_000
+    assert len(got[4].word_langs) == 2 and list(got[4].asDict()) == ["doc_id", "text", "lang", "lang_pred", "score", "word_langs"]
+    assert {r.lang_pred for r in label_documents(docs, None).collect()} == {"und"}
+
+
 def plain(page):
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
     return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", inner))).split())

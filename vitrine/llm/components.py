@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import checkpoint
 
+#: A key is crowded with more rows than this and than this share of all: so at most 1000 keys are.
+CROWD, SHARE = 20_000, 0.001
+
+
+def looked_up(df: DataFrame, key: str, table: DataFrame, how: str) -> DataFrame:
+    """``df`` joined with ``table`` (one row a key). Rows of crowded keys, at most 1000 of them, meet theirs in a broadcast instead of one task."""
+    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n").alias("n")).first()["n"] or 0
+    crowded = checkpoint(counts.filter(F.col("__n") > max(CROWD, SHARE * total)).select(key))
+    if crowded.isEmpty():
+        return df.join(table, key, how)
+    few = F.broadcast(crowded)
+    rest = df.join(few, key, "left_anti").join(table, key, how)
+    return rest.unionByName(df.join(F.broadcast(few.join(table, key)), key))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (u, v); a component is named by its smallest node.
@@ -21,10 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = step
         else:
-            moved = labels.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+            moved = looked_up(labels, "to", step.select(F.col("node").alias("to"), F.col("to").alias("next")), "left")
             labels = checkpoint(moved.select("node", F.coalesce("next", "to").alias("to")))
-        at_u = left.join(step.select(F.col("node").alias("u"), F.col("to").alias("a")), "u")
-        at_v = at_u.join(step.select(F.col("node").alias("v"), F.col("to").alias("b")), "v")
+        at_u = looked_up(left, "u", step.select(F.col("node").alias("u"), F.col("to").alias("a")), "inner")
+        at_v = looked_up(at_u, "v", step.select(F.col("node").alias("v"), F.col("to").alias("b")), "inner")
         left = checkpoint(at_v.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)

@@ -12,9 +12,9 @@ cell as well; cells join recursively. Small cells compare what the triangle ineq
 sizes, and whose counts in 64 slices of the hash space, allow the threshold, and which aren't connected yet. Regions too
 large for one task are cut into cells by Spark in the same way, and what no pivot cuts is joined in pairs of tiles.
 
-Sets with equal shingles are one node. A null or empty text, or one without words, has no shingles and links with
-nothing. A row without an id takes its set's component, but no component is named by it. Repeated rows stay; other
-columns are not carried along.
+Sets with equal shingles are one node, whatever ids their rows have. A null or empty text, or one without words, has no
+shingles and links with nothing. Rows without an id link others as any row does; they take their set's component, but no
+component is named by them, and one without any id has none. Repeated rows stay; other columns are not carried along.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from vitrine.llm.common import keyed, materialize, partitions
 from vitrine.llm.components import components
 
 LONG = 1500  # sets of at least so many shingles have finer slices: 64 tell too little
-SLICES, LEAF, PIVOTS, CAP, CROWD, CROWDED = 64, 64, 8, 3000, 100_000, 8
+SLICES, LEAF, PIVOTS, CAP, CROWD, CROWDED = 64, 8, 8, 3000, 100_000, 8
+SHINGLES = 1 << 22  # of all sets of a region that one task joins; one set may have more
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 LETTERS = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -176,19 +177,20 @@ def region_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return region.of
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, cap: int = CAP) -> DataFrame:
-    """(id, n_shingles, component_id): documents are linked when den * intersection >= num * union.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, cap: int = CAP, keep_hash: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id): documents are linked when den * intersection >= num * union; ``keep_hash`` adds the text's ``text_hash`` and whether the row is its group's ``first``, the least by id and hash.
 
     Two passes shingle all texts: one keeps a sketch of each, one its prefix. Texts travel only for sets that have partners."""
     given, kind = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
+    given = given.withColumn("t", F.xxhash64("text"))
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, total = set(), {}
         for batch in batches:
             sets = [shingles(t, k) for t in batch["text"]]
             keys = [set_key(s) for s in sets]
-            out = {"id": batch["id"], "a": [x[0] for x in keys], "b": [x[1] for x in keys], "n": [len(s) for s in sets]}
+            out = {"id": batch["id"], "t": batch["t"], "a": [x[0] for x in keys], "b": [x[1] for x in keys], "n": [len(s) for s in sets]}
             yield pd.DataFrame(out | {"counts": [coarse(s) for s in sets], "fine": [fine(s) for s in sets], "h": 0, "m": 0})
             new = {key: s for key, s in zip(keys, sets, strict=True) if key not in seen}
             seen.update(new)
@@ -197,14 +199,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 often = n >= CROWDED
                 for x, y in zip(h[often].view(np.int64).tolist(), n[often].tolist(), strict=True):
                     total[x] = total.get(x, 0) + y
-        yield pd.DataFrame({"id": None, "a": 0, "b": 0, "n": 0, "counts": None, "fine": None, "h": pd.Series(list(total), dtype="int64"), "m": pd.Series(list(total.values()), dtype="int64")})
+        yield pd.DataFrame({"id": None, "t": 0, "a": 0, "b": 0, "n": 0, "counts": None, "fine": None, "h": pd.Series(list(total), dtype="int64"), "m": pd.Series(list(total.values()), dtype="int64")})
 
-    drawn = materialize(given.mapInPandas(sketches, "id string, a long, b int, n int, counts binary, fine binary, h long, m long"), "sketches")
+    drawn = materialize(given.mapInPandas(sketches, "id string, t long, a long, b int, n int, counts binary, fine binary, h long, m long"), "sketches")
     # at most CROWD shingles, the most frequent among those that stand often in one task's documents: only the order depends on them
     often = drawn.filter("m > 0").groupBy("h").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "h").limit(CROWD)
     crowded = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in often.collect()], dtype=np.int64).view(np.uint64)))
     each = drawn.filter("m = 0").withColumn("id", F.col("id").cast(kind))
-    nodes = materialize(each.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")), "sets")
+    # a set's node has the row of the least id (rows without one last), by which its text is found
+    nodes = materialize(each.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")).select("a", "b", "x.id", "x.t", "n", "counts", "fine"), "sets")
     texts = given.withColumn("id", F.col("id").cast(kind))
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,38 +230,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = parts.select("a", F.explode("common").alias("s"))
     pivots = common.groupBy("s").agg(F.min("a").alias("pa"), F.max("a").alias("za"), F.count("*").alias("c"))  # at most CROWD rows
     met = rare.unionByName(common.join(F.broadcast(pivots), "s").drop("s")).filter("c > 1").select("pa", "a").distinct()
-    region = materialize(met.join(nodes.select("a", "b"), "a").select("pa", F.lit(0).alias("pb"), "a", "b"), "regions")
+    region = materialize(met.join(nodes.select("a", "b", "n"), "a").select("pa", F.lit(0).alias("pb"), "a", "b", "n"), "regions")
     small = materialize(_with_partners(_small_regions(region, nodes, texts, k, num, den, cap), nodes, num, den), "partners")
     links = _join_regions(_small_regions(small, nodes, texts, k, num, den, cap), nodes, texts, k, num, den)
     named = components(materialize(links, "links"))
 
-    of_set = nodes.select("a", "b", F.col("id").alias("node")).join(named, "node", "left").select("a", "b", F.coalesce("component", "node").alias("found"))
-    told = each.select("id", "n", "a", "b").join(of_set, ["a", "b"], "left")
-    return told.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"))
+    grouped = nodes.select(F.struct("a", "b").alias("node"), "a", "b", "id", "t").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x")).select("component", F.col("x.id").alias("found"), F.col("x.t").alias("chosen"))
+    of_set = grouped.select("a", "b", "component").join(least, "component").drop("component")
+    told = each.select("id", "t", "n", "a", "b").join(of_set, ["a", "b"], "left")
+    out = told.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"), "t", "found", "chosen")
+    if not keep_hash:
+        return out.drop("t", "found", "chosen")
+    first = (F.col("n_shingles") == 0) | (F.col(id_col).eqNullSafe(F.col("found")) & F.col("chosen").eqNullSafe(F.col("t")))
+    return out.select(id_col, "n_shingles", "component_id", F.col("t").alias("text_hash"), first.alias("first"))
 
 
-def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b, id, text) of the nodes in ``wanted`` that have an id, found by their smallest id; of several texts with that id, the one with the node's set."""
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[set_key(shingles(t, k)) == key for t, key in zip(batch["text"], zip(batch["a"].tolist(), batch["b"].tolist(), strict=True), strict=True)]]
-
-    chosen = wanted.select("a", "b").distinct().join(nodes.select("a", "b", "id"), ["a", "b"])
-    met = texts.join(chosen, "id").select("a", "b", F.col("id").cast("string").alias("id"), "text").mapInPandas(own, "a long, b int, id string, text string")
-    return met.groupBy("a", "b").agg(F.first("id").cast(dict(nodes.dtypes)["id"]).alias("id"), F.first("text").alias("text"))
+def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, text) of the nodes in ``wanted``, each found by the id (or its absence) and the hash of one of its texts."""
+    chosen = wanted.select("a", "b").distinct().join(nodes.select("a", "b", F.col("id").alias("own"), F.col("t").alias("hash")), ["a", "b"])
+    met = texts.join(chosen, (F.col("t") == F.col("hash")) & F.col("id").eqNullSafe(F.col("own")))
+    return met.groupBy("a", "b").agg(F.first("text").alias("text"))
 
 
 def _tiles(over: DataFrame, cap: int) -> DataFrame:
-    """Large regions (with their size m) as regions of two tiles each: every pair of tiles, so that each pair of sets meets."""
-    tiles = F.ceil(F.col("m") * 2 / cap).cast("int")
+    """Large regions (with their sets m and shingles w) as regions of two tiles each: every pair of tiles, so that each pair of sets meets."""
+    tiles = F.ceil(F.greatest(F.col("m") * 2 / cap, F.col("w") * 2 / SHINGLES)).cast("int")
     cut = over.withColumns({"t": F.pmod(F.xxhash64("a", "b"), tiles).cast("int"), "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
     low, high = F.least("t", "other"), F.greatest("t", "other")
-    return cut.select(F.xxhash64("pa", "pb", low, high).alias("pa"), F.hash("pa", "pb", low, high).alias("pb"), "a", "b")
+    return cut.select(F.xxhash64("pa", "pb", low, high).alias("pa"), F.hash("pa", "pb", low, high).alias("pb"), "a", "b", "n")
 
 
 def _small_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int, cap: int) -> DataFrame:
-    """Regions of at most ``cap`` sets. Larger ones are cut into Voronoi cells, up to three times; what replication would more than treble, or stays large, into pairs of tiles."""
+    """Regions of at most ``cap`` sets and SHINGLES shingles. Larger ones are cut into Voronoi cells, up to three times; what replication would more than treble, or stays large, into pairs of tiles."""
     done = None
 
     def keep(more: DataFrame) -> None:
@@ -266,7 +270,7 @@ def _small_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int
         done = more if done is None else done.unionByName(more)
 
     for depth in range(4):
-        large = region.groupBy("pa", "pb").agg(F.count("*").alias("m")).filter(F.col("m") > cap)
+        large = region.groupBy("pa", "pb").agg(F.count("*").alias("m"), F.sum("n").alias("w")).filter((F.col("m") > cap) | ((F.col("w") > SHINGLES) & (F.col("m") > 2)))
         if large.isEmpty():
             break
         keep(region.join(large, ["pa", "pb"], "left_anti"))
@@ -276,7 +280,7 @@ def _small_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int
             break
         # about 32 candidates a region by hash, of which 8 become its pivots: one short row for each large region
         chance = F.pmod(F.xxhash64("a", "b", F.lit(depth)), F.lit(1 << 30)) < F.lit(float(32 << 30)) / F.col("m")
-        own_texts = materialize(_texts_of(over, nodes, texts, k).select("a", "b", "text"), "texts")
+        own_texts = materialize(_texts_of(over, nodes, texts), "texts")
         chosen = over.filter(chance).join(own_texts, ["a", "b"]).groupBy("pa", "pb").agg(F.slice(F.collect_list("text"), 1, PIVOTS).alias("pivots"))
         meet = over.join(own_texts, ["a", "b"]).join(chosen, ["pa", "pb"], "left")
 
@@ -284,20 +288,20 @@ def _small_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int
             reach, now, own = 1 - num / den, None, []
             for batch in batches:
                 out = []
-                for pa, pb, m, a, b, text, pivots in zip(batch["pa"], batch["pb"], batch["m"], batch["a"], batch["b"], batch["text"], batch["pivots"], strict=True):
+                for pa, pb, m, a, b, n, text, pivots in zip(batch["pa"], batch["pb"], batch["m"], batch["a"], batch["b"], batch["n"], batch["text"], batch["pivots"], strict=True):
                     if (pa, pb) != now:
                         now, own = (pa, pb), [shingles(p, k) for p in pivots] if pivots is not None else []
                     s = shingles(text, k)
                     shared = np.array([len(np.intersect1d(s, p, assume_unique=True)) for p in own])
                     d = 1 - shared / (np.array([len(p) for p in own]) + len(s) - shared)
                     for j in np.flatnonzero(d <= d.min(initial=1) + 2 * reach + 1e-9).tolist() if len(own) else [0]:
-                        out.append((pa, pb, m, j, a, b))
-                yield pd.DataFrame(out, columns=["pa", "pb", "m", "j", "a", "b"])
+                        out.append((pa, pb, m, j, a, b, n))
+                yield pd.DataFrame(out, columns=["pa", "pb", "m", "j", "a", "b", "n"])
 
-        found = materialize(meet.mapInPandas(cells, "pa long, pb int, m long, j int, a long, b int"), "cells")
+        found = materialize(meet.select("pa", "pb", "m", "a", "b", "n", "text", "pivots").mapInPandas(cells, "pa long, pb int, m long, j int, a long, b int, n int"), "cells")
         much = found.groupBy("pa", "pb").agg(F.count("*").alias("c"), F.max("m").alias("m")).filter("c > 3 * m").select("pa", "pb")
         keep(_tiles(over.join(much, ["pa", "pb"], "left_semi"), cap))
-        region = found.join(much, ["pa", "pb"], "left_anti").select(F.xxhash64("pa", "pb", "j").alias("pa"), F.hash("pa", "pb", "j").alias("pb"), "a", "b")
+        region = found.join(much, ["pa", "pb"], "left_anti").select(F.xxhash64("pa", "pb", "j").alias("pa"), F.hash("pa", "pb", "j").alias("pb"), "a", "b", "n")
         region = materialize(region, "cells")
     keep(region)
     return done
@@ -332,7 +336,7 @@ def _with_partners(region: DataFrame, nodes: DataFrame, num: int, den: int) -> D
 
     A group of members joined by pairs that may be near is named by its smallest member, so the same group found around several pivots is one."""
     alone = region.groupBy("pa", "pb").agg(F.count("*").alias("m")).filter("m > 1").select("pa", "pb")
-    full = region.join(alone, ["pa", "pb"]).join(nodes, ["a", "b"])
+    full = region.drop("n").join(alone, ["pa", "pb"]).join(nodes, ["a", "b"])
     dealt = full.select("pa", "pb", "a", "b", "n", "counts", "fine").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,7 +364,7 @@ def _with_partners(region: DataFrame, nodes: DataFrame, num: int, den: int) -> D
             own: dict[int, list[tuple]] = {}
             for j, x in zip(order.tolist(), of.tolist(), strict=True):
                 own.setdefault(x, []).append(keys[j])
-            return [(*low, *key) for group in own.values() if len(group) > 1 for low in (min(group),) for key in group]
+            return [(*low[:2], *key) for group in own.values() if len(group) > 1 for low in (min(group),) for key in group]
 
         for batch in batches:
             out = []
@@ -368,42 +372,43 @@ def _with_partners(region: DataFrame, nodes: DataFrame, num: int, den: int) -> D
                 if (pa, pb) != now:
                     out += ended()
                     now, keys, held = (pa, pb), [], []
-                keys.append((a, b))
+                keys.append((a, b, own[0]))
                 held.append(own)
             if out:
-                yield pd.DataFrame(out, columns=["pa", "pb", "a", "b"])
+                yield pd.DataFrame(out, columns=["pa", "pb", "a", "b", "n"])
         if out := ended():
-            yield pd.DataFrame(out, columns=["pa", "pb", "a", "b"])
+            yield pd.DataFrame(out, columns=["pa", "pb", "a", "b", "n"])
 
-    return dealt.mapInPandas(rows, "pa long, pb int, a long, b int").distinct()
+    return dealt.mapInPandas(rows, "pa long, pb int, a long, b int, n int").distinct()
 
 
 def _join_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) that connect what each region connects: from the smallest id of a component to its others."""
-    kind = dict(nodes.dtypes)["id"]
-    full = region.join(_texts_of(region, nodes, texts, k), ["a", "b"])
-    dealt = full.select("pa", "pb", F.col("id").cast("string").alias("id"), "text").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
+    """Links (u, v) between set keys that connect what each region connects: from the first set of a component to its others."""
+    full = region.join(_texts_of(region, nodes, texts), ["a", "b"])
+    dealt = full.select("pa", "pb", "a", "b", "text").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
+    names = ["ua", "ub", "va", "vb"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ids, held = None, [], []
+        now, keys, held = None, [], []
 
         def ended() -> list[tuple]:
             if len(held) < 2:
                 return []
             of = region_links([shingles(t, k) for t in held], num, den)
-            return [(ids[j], ids[i]) for i, j in enumerate(of.tolist()) if i != j]
+            return [(*keys[j], *keys[i]) for i, j in enumerate(of.tolist()) if i != j]
 
         for batch in batches:
             out = []
-            for pa, pb, key, text in zip(batch["pa"], batch["pb"], batch["id"], batch["text"], strict=True):
+            for pa, pb, a, b, text in zip(batch["pa"].tolist(), batch["pb"].tolist(), batch["a"].tolist(), batch["b"].tolist(), batch["text"], strict=True):
                 if (pa, pb) != now:
                     out += ended()
-                    now, ids, held = (pa, pb), [], []
-                ids.append(key)
+                    now, keys, held = (pa, pb), [], []
+                keys.append((a, b))
                 held.append(text)
             if out:
-                yield pd.DataFrame(out, columns=["u", "v"])
+                yield pd.DataFrame(out, columns=names)
         if out := ended():
-            yield pd.DataFrame(out, columns=["u", "v"])
+            yield pd.DataFrame(out, columns=names)
 
-    return dealt.mapInPandas(rows, "u string, v string").select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v"))
+    found = dealt.mapInPandas(rows, "ua long, ub int, va long, vb int")
+    return found.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v"))

@@ -20,13 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import keyed, unkeyed
-
 WORD = re.compile(r"[^\W\d_]+")
-HASHED, CACHE, SPAN, SLICE = 1 << 18, 400_000, 12, 700_000
+HASHED, CACHE, SPAN, SLICE = 1 << 18, 400_000, 12, 500_000
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words: runs of letters. Numbers that aren't digits, such as fractions, are no letters either."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +119,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5,
     for i in rng.permutation(len(texts)):
         k = labels.index(langs[i])
         if len(words[k]) < share:
-            words[k] += [w.lower() for w in WORD.findall(texts[i])]
+            words[k] += words_of(texts[i])
     counts: dict[str, np.ndarray] = {}
     for k, own in enumerate(words):
         for w in own:
@@ -178,33 +184,27 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def labelled(text: Column, crf: Crf | None, keep_words: bool = False) -> Column:
+    """A struct (lang_pred, score) of a text column; ``keep_words`` adds each word's label in ``word_langs``.
 
-def label_documents(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = False, keep_columns: list[str] | None = None) -> DataFrame:
-    """(id, lang_pred, score) of whole texts; ``keep_words`` adds each word's label in ``word_langs``, ``keep_columns`` those columns of ``docs`` as they were. The field goes to the tasks as a broadcast variable of fixed size."""
-    given, kind = keyed(docs, id_col, text_col)
-    carry = [f"x{i}" for i in range(len(keep_columns or []))]
-    types = [dict(docs.dtypes)[c] for c in keep_columns or []]
-    if carry:
-        # numbers travel as text, so that a null doesn't turn a column into floats
-        given = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).cast("string").alias(x) for x, c in zip(carry, keep_columns, strict=True)])
-    shared = docs.sparkSession.sparkContext.broadcast(crf)
+    Only the text travels to Python and only the struct comes back; other columns wait in the JVM. The field goes to the
+    tasks as a broadcast variable of fixed size. A filter on the result isn't evaluated twice, as the function says that it isn't deterministic."""
+    shared = SparkSession.active().sparkContext.broadcast(crf)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double" + ", word_langs array<string>" * keep_words)
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         field = shared.value
         known: dict[str, int] = {}
         table = np.empty((0, 0), dtype=np.float32)
         for batch in batches:
+            lang, score, labels = ["und"] * len(batch), np.zeros(len(batch)), [[] for _ in batch]
             at = 0
-            while at < len(batch):
-                texts, words, n, new = [], [], 0, set()
-                while at + len(texts) < len(batch) and (n < SLICE or not texts):
-                    texts.append(batch["text"].iat[at + len(texts)])
-                    words.append(WORD.findall(texts[-1].lower()) if field else [])
+            while at < len(batch) and field:
+                words, n, new = [], 0, set()
+                while at + len(words) < len(batch) and (n < SLICE or not words):
+                    words.append(words_of(batch.iat[at + len(words)] or ""))
                     new.update(words[-1])
                     n += len(words[-1])
-                ids = batch["id"].iloc[at : at + len(texts)].to_numpy()
-                rest = batch[carry].iloc[at : at + len(texts)]
-                at += len(texts)
                 if len(known) > CACHE:
                     known = {}
                 fresh = list(new.difference(known))
@@ -214,30 +214,30 @@ def label_documents(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", te
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                 size = np.array([len(w) for w in words])
                 some = np.flatnonzero(size)
-                lang, score, labels = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
                 if len(some):
                     places = np.fromiter((known[w] for own in words for w in own), dtype=np.int64, count=n)
                     p = marginals(table[places], field.moves.astype(np.float32), size[some])
                     ends = np.cumsum(size[some])
                     mean = np.add.reduceat(p, ends - size[some], axis=0, dtype=np.float64) / size[some][:, None]
                     best = mean.argmax(axis=1)
-                    for j, k in enumerate(some):
-                        lang[k], score[k] = field.labels[best[j]], min(1.0, float(mean[j, best[j]]))
+                    for j, k in enumerate(some.tolist()):
+                        lang[at + k], score[at + k] = field.labels[best[j]], min(1.0, float(mean[j, best[j]]))
                         if keep_words:
-                            labels[k] = [field.labels[x] for x in p[ends[j] - size[k] : ends[j]].argmax(axis=1)]
-                out = pd.DataFrame({"id": ids, "lang_pred": lang, "score": score})
-                if keep_words:
-                    out["word_langs"] = labels
-                for x in carry:
-                    out[x] = rest[x].to_numpy()
-                yield out
-
-    schema = "id string, lang_pred string, score double" + ", word_langs array<string>" * keep_words + "".join(f", {x} string" for x in carry)
-    told = given.mapInPandas(rows, schema)
-    if not carry:
-        return unkeyed(told, id_col, kind)
-    kept = [F.col(x).cast(t).alias(c) for x, c, t in zip(carry, keep_columns, types, strict=True)]
-    return told.select(*kept, *([] if id_col in keep_columns else [F.col("id").cast(kind).alias(id_col)]), "lang_pred", "score", *["word_langs"] * keep_words)
+                            labels[at + k] = [field.labels[x] for x in p[ends[j] - size[k] : ends[j]].argmax(axis=1)]
+                at += len(words)
+            out = pd.DataFrame({"lang_pred": lang, "score": score})
+            if keep_words:
+                out["word_langs"] = labels
+            yield out
+
+    return label.asNondeterministic()(text)
+
+
+def label_documents(docs: DataFrame, crf: Crf | None, text_col: str = "text", keep_words: bool = False) -> DataFrame:
+    """All columns of ``docs``, then lang_pred and score of whole texts (and ``word_langs``); columns of these names are replaced."""
+    names = ["lang_pred", "score", *["word_langs"] * keep_words]
+    told = docs.withColumn("__told", labelled(F.col(text_col), crf, keep_words))
+    return told.select(*[F.col(c) for c in docs.columns if c not in names], *[F.col(f"__told.{x}").alias(x) for x in names])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1600) -> Crf | None:
@@ -246,6 +246,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1600) -> DataFrame:
-    """A row for each document: held_out, lang_pred, score. Learns from at most ``max_docs`` documents that aren't held out."""
-    found = label_documents(docs, learn(docs, id_col, text_col, lang_col, max_docs), id_col, text_col)
-    return found.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
+    """A row for each document: id, held_out, lang_pred, score; other columns are not carried along. Learns from at most ``max_docs`` documents that aren't held out."""
+    crf = learn(docs, id_col, text_col, lang_col, max_docs)
+    given = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text"))
+    return label_documents(given, crf, "__text").drop("__text")
