@@ -22,17 +22,21 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that are of no one language: mean label probability under 0.4."""
-    told = label_documents(docs.select(*COLUMNS), learn(docs), text_col="text", keep_columns=COLUMNS)
+    told = label_documents(docs.select(*COLUMNS), learn(docs))
     return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked at 0.8 on shingles of five words. Rows without an id or words are no copies of each other."""
-    found = near_duplicates(docs, k=5, num=80, den=100)
-    lost = materialize(found.filter("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "lost")
-    kept = docs.select(*COLUMNS).join(lost, "doc_id", "left_anti").withColumn("__t", F.sha2(F.coalesce("text", F.lit("")), 256))
-    ranked = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy("lang", "source", "n_chars")))
-    return ranked.filter("doc_id is null or __n = 1").select(*COLUMNS)
+    """Keeps one document of each group linked at 0.8 on shingles of five words: that of the smallest id, then text hash; rows without an id come last.
+
+    Rows are told apart by id and text, so other texts of a repeated id are judged by themselves. Of rows with one id (or
+    none) and one text, one stays. Documents without words are otherwise no copies of each other."""
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__k")
+    found = near_duplicates(docs, k=5, num=80, den=100, keep_hash=True)
+    lost = materialize(found.filter("not first").select(key("doc_id"), F.col("text_hash").alias("__h")).distinct(), "lost")
+    kept = docs.select(*COLUMNS, key("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h")).join(lost, ["__k", "__h"], "left_anti")
+    ranked = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__h").orderBy("lang", "source", "n_chars")))
+    return ranked.filter("__n = 1").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 ids along the curve; a document that ended up empty has its end id only."""
     return pack(docs, tokenizer("word_bpe_49k.json"))
 
 
