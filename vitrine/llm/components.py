@@ -14,25 +14,35 @@ CROWD, SHARE = 20_000, 0.001
 def looked_up(df: DataFrame, key: str, table: DataFrame, how: str) -> DataFrame:
     """``df`` joined with ``table`` (one row a key). Rows of crowded keys, at most 1000 of them, meet theirs in a broadcast instead of one task."""
     counts = df.groupBy(key).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("n")).first()["n"] or 0
-    crowded = checkpoint(counts.filter(F.col("__n") > max(CROWD, SHARE * total)).select(key))
-    if crowded.isEmpty():
+    size = counts.agg(F.sum("__n").alias("all"), F.max("__n").alias("most")).first()
+    least = max(CROWD, SHARE * (size["all"] or 0))
+    if (size["most"] or 0) <= least:
         return df.join(table, key, how)
-    few = F.broadcast(crowded)
-    rest = df.join(few, key, "left_anti").join(table, key, how)
-    return rest.unionByName(df.join(F.broadcast(few.join(table, key)), key))
+    crowded = checkpoint(counts.filter(F.col("__n") > least).select(key))
+    rest = df.join(F.broadcast(crowded), key, "left_anti").join(table, key, how)
+    return rest.unionByName(df.join(F.broadcast(crowded.join(table, key, how)), key))
+
+
+def rooted(step: DataFrame) -> DataFrame:
+    """(node, to) with each node at the end of its chain of smaller and smaller ``to``: chains halve each round."""
+    while True:
+        further = checkpoint(looked_up(step, "to", step.select(F.col("node").alias("to"), F.col("to").alias("next")), "inner"))
+        step = further.select("node", F.col("next").alias("to"))
+        if further.filter("next <> to").isEmpty():
+            return step
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (u, v); a component is named by its smallest node.
 
-    Each round joins every node to the smallest of its neighbours and itself, and draws the edges between what
-    they became. Nodes that still have edges at least halve, so rounds grow with the logarithm of the nodes."""
+    Each round points every node to the smallest of its neighbours and itself, follows these pointers to their ends, and
+    draws the edges between the ends. An end has at least one other node pointing to it, so nodes that still have edges at
+    least halve, and rounds grow with the logarithm of the nodes, each of as many steps as the logarithm of its longest chain."""
     left = checkpoint(edges.filter("u <> v").distinct())
     labels = None
     while not left.isEmpty():
         both = left.select("u", "v").union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("to")))
+        step = rooted(checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("to"))))
         if labels is None:
             labels = step
         else:
