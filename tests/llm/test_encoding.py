@@ -118,6 +118,28 @@ def test_packing(docs):
     assert pieces.keys() == ids.keys() and pack(docs.limit(0), WORD).count() == 0
 
 
+@pytest.mark.parametrize("least", [4, 6])
+def test_grammar_is_complete(docs, least):
+    """Rules are made until no pair pays; expansion is exact; symbols over sixteen bits are stored in planes."""
+    coder = encoder(BYTE, "rank")
+    real = [np.append(np.frombuffer(x, coder.kind), 2) for x in coder.encode_batch([t for _, t in texts(docs)])]
+    toy = [np.array(x) for x in ([7] * 50, [1, 2, 3] * 30, [5], [1, 1, 2] * 9, list(range(40)) * 8)]
+    for given, terminals in ((real, coder.size), (toy, 1 << 17)):
+        ids, ends = np.concatenate(given), np.zeros(sum(map(len, given)), dtype=bool)
+        ends[np.cumsum([len(x) for x in given]) - 1] = True
+        symbols, rules, end = sh.compress(ids, ends, terminals, least)
+        assert sh.expand(symbols, rules, terminals).tolist() == ids.tolist()
+        assert len(symbols) < 0.8 * len(ids) and end.sum() == len(given)
+        counts, last = {}, {}
+        for k, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+            if not end[k] and last.get(pair) != k - 1:
+                counts[pair], last[pair] = counts.get(pair, 0) + 1, k
+        assert max(counts.values()) < least
+        shard = type("Shard", (), {"symbols": sh.stored(symbols), "n_symbols": len(symbols)})
+        assert sh.symbols_of(shard).tolist() == symbols.tolist()
+        assert sh.expansions(rules, terminals).sum() == sum(len(sh.expand(np.array([terminals + k]), rules, terminals)) for k in range(len(rules)))
+
+
 def test_shards(docs):
     tok = Tokenizer.from_file(BYTE)
     given = sorted(texts(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))

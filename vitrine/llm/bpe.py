@@ -18,10 +18,12 @@ from struct import pack
 import numpy as np
 import regex
 
+from vitrine.llm.common import cached_for
+
 #: Fixed values of byte-level BPE files: how they split text into words.
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks kept per worker process.
-CACHE = 1_000_000
+CACHE = 800_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,6 +49,10 @@ class ChunkCache:
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         raise NotImplementedError
 
+    def encode_spaced(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that begin with a space and hold no other; no white space at either end behind it, no special token."""
+        return self.encode_chunks(chunks)
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of ``kind``; about a megabyte of text at a time."""
         out, i = [], 0
@@ -67,7 +73,7 @@ class ChunkCache:
             pieces = ([t] if re.search("[\x1c-\x1f]", t) else t.split()) if self.lowers else t.split(" ")
             chunks.update(pieces if self.lowers else pieces[1:])
             cut.append(pieces)
-        new = list(chunks.difference(self.cache))
+        new = list(chunks.difference(self.cache, self.odd))
         if not self.lowers:
             # a space next to other white space may belong to a longer run; a text with a special token is cut there first
             self.odd.update(c for c in new if not c or c[0].isspace() or c[-1].isspace() or "<|" in c)
@@ -76,8 +82,11 @@ class ChunkCache:
                     cut[i] = [texts[i]]
             heads = list({p[0] for p in cut}.difference(self.heads))
             self.heads.update(zip(heads, self.encode_chunks(heads), strict=True))
-        lead = "" if self.lowers else " "
-        self.cache.update(zip(new, self.encode_chunks([lead + c for c in new]), strict=True))
+            # texts with an odd chunk are encoded whole, so their chunks aren't looked up
+            new = [c for c in new if c not in self.odd]
+            self.cache.update(zip(new, self.encode_spaced([" " + c for c in new]), strict=True))
+        else:
+            self.cache.update(zip(new, self.encode_chunks(new), strict=True))
         get, heads = self.cache.__getitem__, self.heads
         if self.lowers:
             return [b"".join(map(get, p)) for p in cut]
@@ -98,8 +107,21 @@ class RankBpe(ChunkCache):
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*ranks.values(), *special.values()]) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.spaced = np.zeros(self.size, dtype=bool)
+        self.spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.coder = tiktoken.Encoding("own", pat_str=BYTE_WORDS, mergeable_ranks=ranks, special_tokens=special)
 
+    def encode_spaced(self, chunks: list[str]) -> list[bytes]:
+        """All chunks as one text, whose words are those of the chunks; tokens that begin with a space tell where one begins."""
+        if not chunks:
+            return []
+        ids = np.array(self.coder.encode_ordinary("".join(chunks)), dtype=self.kind)
+        cuts = (np.flatnonzero(self.spaced[ids]) * self.kind.itemsize).tolist()
+        if len(cuts) != len(chunks):
+            raise ValueError("a chunk doesn't begin with a space")
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         plain, letter = self.coder.encode_ordinary, "H" if self.kind.itemsize == 2 else "I"
         return [pack(f"<{len(ids)}{letter}", *ids) for ids in (plain(c) if "<|" not in c else self.coder.encode(c, allowed_special="all") for c in chunks)]
@@ -331,6 +353,9 @@ class TrieBpe(ChunkCache):
 
 @lru_cache(maxsize=4)
 def encoder(path: str, kind: str = "trie") -> ChunkCache:
-    """One encoder for each file and worker process, kept between tasks."""
+    """One encoder for each file and worker process, kept between the tasks of encoding operators."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return {"trie": TrieBpe, "rank": RankBpe, "word": WordBpe}[kind](path)
+
+
+cached_for("encoding", encoder.cache_clear)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_caches: list[tuple[str, Callable[[], None]]] = []
+
+
+def cached_for(operator: str, drop: Callable[[], None]) -> None:
+    """Registers how to drop what an operator keeps in a worker process between its tasks."""
+    _caches.append((operator, drop))
+
+
+def begin(operator: str) -> None:
+    """At the start of a task: a worker process serves many stages, so what other operators keep in it is dropped."""
+    for other, drop in _caches:
+        if other != operator:
+            drop()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

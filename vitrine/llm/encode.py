@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from vitrine.llm.bpe import encoder
-from vitrine.llm.common import keyed, unkeyed
+from vitrine.llm.common import begin, keyed, unkeyed
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -23,6 +23,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     given, kind = keyed(docs, id_col, text_col)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("encoding")
         coder = encoder(tokenizer)
         for batch in batches:
             out = []

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import keyed, materialize, partitions
+from vitrine.llm.common import begin, keyed, materialize, partitions
 from vitrine.llm.components import components
 
 LONG = 1500  # sets of at least so many shingles have finer slices: 64 tell too little
@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = given.withColumn("t", F.xxhash64("text"))
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("ngram_jaccard")
         seen, total = set(), {}
         for batch in batches:
             sets = [shingles(t, k) for t in batch["text"]]
@@ -211,6 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = given.withColumn("id", F.col("id").cast(kind))
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("ngram_jaccard")
         last, seen = crowded.value, set()
         for batch in batches:
             out = []
@@ -285,6 +287,7 @@ def _small_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int
         meet = over.join(own_texts, ["a", "b"]).join(chosen, ["pa", "pb"], "left")
 
         def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("ngram_jaccard")
             reach, now, own = 1 - num / den, None, []
             for batch in batches:
                 out = []
@@ -340,6 +343,7 @@ def _with_partners(region: DataFrame, nodes: DataFrame, num: int, den: int) -> D
     dealt = full.select("pa", "pb", "a", "b", "n", "counts", "fine").repartition(partitions(region.sparkSession), "pa", "pb").sortWithinPartitions("pa", "pb")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("ngram_jaccard")
         now, keys, held = None, [], []
 
         def ended() -> list[tuple]:
@@ -389,6 +393,7 @@ def _join_regions(region: DataFrame, nodes: DataFrame, texts: DataFrame, k: int,
     names = ["ua", "ub", "va", "vb"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("ngram_jaccard")
         now, keys, held = None, [], []
 
         def ended() -> list[tuple]:

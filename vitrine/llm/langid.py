@@ -16,15 +16,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vitrine.llm.common import begin
+
 WORD = re.compile(r"[^\W\d_]+")
-HASHED, CACHE, SPAN, SLICE = 1 << 18, 400_000, 12, 500_000
+HASHED, CACHE, SPAN, SLICE = 1 << 18, 300_000, 12, 200_000
 
 
 def words_of(text: str) -> list[str]:
@@ -71,12 +73,16 @@ class Crf:
     moves: np.ndarray  # labels x labels, log
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """How well each label fits each word by itself: words x labels."""
-        ids, sizes = features(words)
-        out = np.add.reduceat(self.weights[ids], np.cumsum(sizes) - sizes, axis=0)
-        lex = np.array([self.lexicon.get(w, -1) for w in words])
-        has = lex >= 0
-        out[has, lex[has]] += self.lexical
+        """How well each label fits each word by itself: words x labels. A few thousand words at a time, as each has dozens of features."""
+        out = np.empty((len(words), len(self.labels)), dtype=np.float32)
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids, sizes = features(part)
+            own = np.add.reduceat(self.weights[ids], np.cumsum(sizes) - sizes, axis=0)
+            lex = np.array([self.lexicon.get(w, -1) for w in part])
+            has = lex >= 0
+            own[has, lex[has]] += self.lexical
+            out[i : i + 4096] = own
         return out
 
 
@@ -189,10 +195,11 @@ def labelled(text: Column, crf: Crf | None, keep_words: bool = False) -> Column:
 
     Only the text travels to Python and only the struct comes back; other columns wait in the JVM. The field goes to the
     tasks as a broadcast variable of fixed size. A filter on the result isn't evaluated twice, as the function says that it isn't deterministic."""
-    shared = SparkSession.active().sparkContext.broadcast(crf)
+    shared = SparkSession.active().sparkContext.broadcast(replace(crf, weights=crf.weights.astype(np.float32)) if crf else None)
 
     @F.pandas_udf("lang_pred string, score double" + ", word_langs array<string>" * keep_words)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        begin("language_id")
         field = shared.value
         known: dict[str, int] = {}
         table = np.empty((0, 0), dtype=np.float32)
@@ -209,7 +216,7 @@ def labelled(text: Column, crf: Crf | None, keep_words: bool = False) -> Column:
                     known = {}
                 fresh = list(new.difference(known))
                 if fresh:
-                    more = field.scores(fresh).astype(np.float32)
+                    more = field.scores(fresh)
                     table = np.concatenate([table, more]) if known else more
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                 size = np.array([len(w) for w in words])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import encoder
-from vitrine.llm.common import bucket_bounds, bucket_of, keyed, materialize, partitions, unkeyed
+from vitrine.llm.common import begin, bucket_bounds, bucket_of, keyed, materialize, partitions, unkeyed
 
 BITS = 10
 
@@ -72,6 +72,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     given, kind = keyed(docs, id_col, text_col)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("encoding")
         coder = encoder(tokenizer, "word")
         matrix, tail = projection(coder.size), np.array([end_id], dtype=coder.kind).tobytes()
         for batch in batches:

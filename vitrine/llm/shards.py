@@ -2,7 +2,8 @@
 
 Documents are encoded, given an end id, and written in ascending id as shards of bounded size. In each
 shard frequent pairs of neighbouring ids are repeatedly replaced by nonterminals (never across a
-document's end). A shard is one row of a Parquet table in the shared folder: its documents' ids, places and lengths, the rules,
+document's end), the most frequent first: each round takes all pairs down to a quarter of the round before, until no
+pair stands often enough to pay for its rule. A shard is one row of a Parquet table in the shared folder: its documents' ids, places and lengths, the rules,
 how many ids each rule stands for, and the compressed symbols. One document decodes from its own
 symbols and the rules alone.
 
@@ -21,48 +22,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import encoder
-from vitrine.llm.common import bucket_bounds, bucket_of, materialize, partitions, unkeyed
+from vitrine.llm.common import begin, bucket_bounds, bucket_of, materialize, partitions, unkeyed
 
-SHARD_IDS, ROUNDS, RULES, BINS = 1 << 20, 4, 256, 1 << 18
-SHARD = "bucket int, shard int, first_id long, n_ids long, terminals int, doc_ids array<string>, symbol_at array<int>, n_tokens array<int>, rules binary, expands binary, symbols binary, width int"
+SHARD_IDS, BITS = 1 << 20, 17
+#: A rule takes twelve bytes and saves about two at each use.
+LEAST, FACTOR = 6, 4
+SHARD = "bucket int, shard int, first_id long, n_ids long, terminals int, doc_ids array<string>, symbol_at array<int>, n_tokens array<int>, rules binary, expands binary, symbols binary, n_symbols int"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUNDS, rules: int = RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, the two parts of each rule, and which symbols end a document. Rule k makes the symbol terminals + k."""
+def _apart(at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending places of pairs, those that don't overlap: in runs of places in a row every other one, from the left."""
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    even = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
+    return at[even], what[even]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, the two parts of each rule, and which symbols end a document. Rule k makes the symbol terminals + k.
+
+    In the end no pair within documents can be replaced ``least`` times. Once pairs are taken down to ``least``, only pairs with a
+    symbol of the last round can be new, so rounds look at these alone until a look at all pairs finds none."""
     seq, end, made = ids.astype(np.uint32), ends.copy(), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        code = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-        bins[end[:-1]] = BINS
-        counts = np.bincount(bins, minlength=BINS + 1)[:BINS]
-        often = np.argpartition(counts, -2 * rules)[-2 * rules :]
-        often = often[counts[often] >= 4]
-        hot = np.zeros(BINS + 1, dtype=bool)
-        hot[often] = True
-        at = np.flatnonzero(hot[bins])
-        pairs, place, n = np.unique(code[at], return_inverse=True, return_counts=True)
-        best = np.sort(np.argsort(-n, kind="stable")[:rules])
-        best = best[n[best] >= 4]
-        if not len(best):
-            break
-        symbol = np.full(len(pairs), -1, dtype=np.int64)
-        symbol[best] = terminals + len(made) + np.arange(len(best))
-        new = symbol[place]
-        at, new = at[new >= 0], new[new >= 0]
-        # pairs that overlap form runs of places in a row: every other one is replaced, from the left
-        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        odd = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 1
-        at, new = at[~odd], new[~odd]
-        seq[at], end[at] = new, end[at + 1]
+    floor, fresh = None, 0
+    while len(seq) > 1:
+        inner = ~end[:-1]
+        if fresh:
+            new = seq >= fresh
+            at = np.flatnonzero((new[:-1] | new[1:]) & inner)
+            code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        else:
+            code = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+            # pairs are counted by a hash first: those in a bin under the floor are out without sorting
+            bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
+            bins[~inner] = 1 << BITS
+            counts = np.bincount(bins, minlength=(1 << BITS) + 1)
+            counts[1 << BITS] = 0
+            floor = max(least, min(int(counts.max()), floor or len(seq)) // FACTOR)
+            at = np.flatnonzero(counts[bins] >= floor)
+            code = code[at]
+        pairs, place, n = np.unique(code, return_inverse=True, return_counts=True)
+        often = n[place] >= floor
+        at, place = at[often], place[often]
+        apart, own = _apart(at, place)
+        paid = np.bincount(own, minlength=len(pairs)) >= least
+        if len(at) and not paid.any():
+            # pairs stand in each other's way: the most frequent that pays by itself
+            for best in np.argsort(-n, kind="stable")[: int((n >= floor).sum())]:
+                apart, own = _apart(at[place == best], place[place == best])
+                if len(own) >= least:
+                    paid[best] = True
+                    break
+        at, place = apart[paid[own]], own[paid[own]]
+        if not len(at):
+            if not fresh and floor == least:
+                break
+            fresh = 0
+            continue
+        first = terminals + len(made)
+        seq[at], end[at] = first + np.cumsum(paid)[place] - 1, end[at + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq, end = seq[keep], end[keep]
-        made += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in pairs[best]]
+        made += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in pairs[paid]]
+        fresh = first if floor == least else 0
     return seq, np.array(made, dtype=np.uint32).reshape(-1, 2), end
 
 
+def stored(symbols: np.ndarray) -> bytes:
+    """Symbols as their low sixteen bits, then one plane of bits for each higher bit that any of them has."""
+    planes = [np.packbits((symbols >> b & 1).astype(np.uint8)).tobytes() for b in range(16, int(symbols.max(initial=0)).bit_length())]
+    return b"".join([symbols.astype("<u2").tobytes(), *planes])
+
+
+def symbols_of(shard) -> np.ndarray:
+    n = shard.n_symbols
+    out = np.frombuffer(shard.symbols, dtype="<u2", count=n).astype(np.uint32)
+    size = (n + 7) // 8
+    for k in range((len(shard.symbols) - 2 * n) // size if n else 0):
+        bits = np.unpackbits(np.frombuffer(shard.symbols, dtype=np.uint8, count=size, offset=2 * n + k * size), count=n)
+        out |= bits.astype(np.uint32) << np.uint32(16 + k)
+    return out
+
+
 def expansions(rules: np.ndarray, terminals: int) -> np.ndarray:
     """How many ids each rule stands for."""
     out = np.ones(len(rules), dtype=np.int64)
@@ -89,9 +130,8 @@ def _shard(bucket: int, number: int, first: int, docs: list[tuple[str | None, np
     ends = np.zeros(len(ids), dtype=bool)
     ends[np.cumsum(lengths) - 1] = True
     symbols, rules, end = compress(ids, ends, terminals)
-    width = 2 if terminals + len(rules) <= 1 << 16 else 4
     at = np.concatenate([[0], np.flatnonzero(end)[:-1] + 1]).astype(np.int32)
-    return bucket, number, first, len(ids), terminals, [k for k, _ in docs], at, lengths.astype(np.int32), rules.tobytes(), expansions(rules, terminals).astype(np.uint32).tobytes(), symbols.astype(f"<u{width}").tobytes(), width
+    return bucket, number, first, len(ids), terminals, [k for k, _ in docs], at, lengths.astype(np.int32), rules.tobytes(), expansions(rules, terminals).astype(np.uint32).tobytes(), stored(symbols), len(symbols)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -102,6 +142,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     ordered = base.withColumn("bucket", bucket_of(F.col("id"), bounds)).repartition(n, "bucket").sortWithinPartitions("bucket", "id", "text").select(F.col("id").cast("string").alias("id"), "text", "bucket")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("encoding")
         coder = encoder(tokenizer, "rank")
         names = [x.split()[0] for x in SHARD.split(", ")]
         now, number, first, size, held = None, 0, 0, 0, []
@@ -127,7 +168,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
 def documents_of(shard, pick: list[int] | None = None) -> Iterator[tuple[str | None, int, np.ndarray]]:
     """(id, ids before it in its bucket, ids) of a shard row's documents, or of those at the given places: each is decoded from its own symbols."""
     rules = np.frombuffer(shard.rules, dtype=np.uint32).reshape(-1, 2)
-    symbols = np.frombuffer(shard.symbols, dtype=f"<u{shard.width}")
+    symbols = symbols_of(shard)
     at, lengths = np.asarray(shard.symbol_at), np.asarray(shard.n_tokens).astype(np.int64)
     starts = shard.first_id + np.concatenate([[0], np.cumsum(lengths)[:-1]])
     to = np.append(at[1:], len(symbols))
@@ -145,7 +186,7 @@ def id_at(shard, place: int, position: int) -> int:
     """One id of a document by descent through the expansion lengths."""
     rules = np.frombuffer(shard.rules, dtype=np.uint32).reshape(-1, 2)
     expands = np.frombuffer(shard.expands, dtype=np.uint32)
-    symbols = np.frombuffer(shard.symbols, dtype=f"<u{shard.width}")[shard.symbol_at[place] :].astype(np.int64)
+    symbols = symbols_of(shard)[shard.symbol_at[place] :].astype(np.int64)
     t = shard.terminals
     sizes = np.ones(len(symbols), dtype=np.int64)
     own = symbols >= t

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import materialize, partitions
+from vitrine.llm.common import begin, materialize, partitions
 
 LENGTH, GRAM, BLOCK = 200, 32, 8192
 #: Contexts of one anchor gram that one task sorts, and bytes of contexts that it holds at a time.
@@ -180,6 +180,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, tog
     spark = texts.sparkSession
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("suffix_dedup")
         for batch in batches:
             out = []
             for k, raw, copies in zip(batch["k"], batch["packed"], batch["copies"], strict=True):
@@ -195,6 +196,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, tog
     of_text = seen.drop("n").join(often, "h").groupBy("k").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("n"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("suffix_dedup")
         for batch in batches:
             out = []
             for k, packed, copies, hs, ns in zip(batch["k"], batch["packed"], batch["copies"], batch["h"], batch["n"], strict=True):
@@ -243,6 +245,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, tog
         return pd.DataFrame(out + probes, columns=["k", "s", "e", "string", "done"])
 
     def sort_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("suffix_dedup")
         names = ["h", "task", "tasks", "k", "places", "back", "many", "context"]
         held, size = {x: [] for x in names}, 0
         for batch in batches:
@@ -275,6 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = keyed_texts(docs, text_col)
 
     def press(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("suffix_dedup")
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             yield pd.DataFrame({"k": batch["k"], "packed": [pack(t.encode()) for t in batch["text"]]})
@@ -286,6 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("suffix_dedup")
         for batch in batches:
             out = []
             for k, packed, s, e in zip(batch["k"], batch["packed"], batch["s"], batch["e"], strict=True):
