@@ -1,6 +1,9 @@
 """Every query with SQL against DuckDB on the small tables."""
 
+import json
 import math
+import re
+from difflib import SequenceMatcher
 from pathlib import Path
 
 import duckdb
@@ -47,9 +50,71 @@ def test_runs(spark, name):
     assert plans.QUERIES[name](spark, str(SF)).count() > 0
 
 
-def test_leader_dedup_covers_all_of_part(spark, tmp_path):
-    from difflib import SequenceMatcher
+def found(spark, name):
+    return [r.asDict() for r in plans.QUERIES[name](spark, str(SF)).collect()]
+
+
+def likeness(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def test_similarities(spark):
+    part = {r.p_partkey: r for r in spark.read.parquet(str(SF / "part.parquet")).collect()}
+    for r in found(spark, "f10_f11_similarity"):
+        p = part[r["p_partkey"]]
+        want = likeness(p.p_name.lower(), p.p_type.lower())
+        assert r["ratio"] == round(want, 6) and r["close"] == (want >= 0.85)
+    for r in found(spark, "f12_file_match"):
+        p = part[r["p_partkey"]]
+        name, words = re.sub(r"[_\-]+", " ", p.p_name.split(".")[0]).lower(), [w for w in re.split("[^a-z0-9]+", p.p_type.lower()) if len(w) > 2]
+        share = sum(w in name for w in words) / max(1, len(words))
+        score = 0.9 if words and share == 1 else max(share, likeness(name, p.p_type.lower()))
+        artist = p.p_brand.lower().split()[-1]
+        assert r["score"] == pytest.approx(min(1, score + 0.15) if len(artist) > 2 and artist in name else score, abs=1e-6)
+    brands = sorted({p.p_brand for p in part.values()})
+    names = {r.s_suppkey: r.s_name.lower() for r in spark.read.parquet(str(SF / "supplier.parquet")).collect()}
+    got = {r["s_suppkey"]: (r["brand"], r["score"]) for r in found(spark, "a09_a10_best_similarity")}
+    want = {k: max((likeness(n, b.lower()), b) for b in brands) for k, n in names.items()}
+    assert got == {k: (b, round(x, 6)) for k, (x, b) in want.items() if x >= 0.1}
+
+
+def test_relevance_scores(spark):
+    for r in found(spark, "d01_relevance"):
+        p = next(iter(r.values()))
+        assert 0 <= r["score"] <= 100, p
+    part = {r.p_partkey: r for r in spark.read.parquet(str(SF / "part.parquet")).collect()}
+    for r in found(spark, "d01_relevance"):
+        p = part[r["id"]]
+        by = 30 if "brand#11" in p.p_brand.lower() else 25 if likeness("brand#11", p.p_brand.lower()) >= 0.85 else 0
+        hits = sum(w in p.p_name.lower() for w in ("red", "brand#11"))
+        assert r["score"] == pytest.approx(by + 10 * hits + (20 if p.p_size > 25 else 0) + 15 + 15, abs=0.06)
+
+
+def test_bag_and_json(spark):
+    bag = {}
+    for r in found(spark, "d05_weighted_bag"):
+        bag.setdefault(r["p_brand"], []).append((r["draw"], r["id"]))
+    part = spark.read.parquet(str(SF / "part.parquet")).collect()
+    assert sorted(i for v in bag.values() for _, i in v) == sorted(p.p_partkey for p in part)
+    assert all(sorted(d for d, _ in v) == list(range(1, len(v) + 1)) for v in bag.values())
+    for r in found(spark, "g12_canonical_json"):
+        assert r["canonical"] == json.dumps(json.loads(r["props"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_boxes(spark):
+    part = {r.p_partkey: r.p_size for r in spark.read.parquet(str(SF / "part.parquet")).collect()}
+    for r in found(spark, "d13_crop_gate"):
+        s = part[r["id"]]
+        w, h = r["sx1"] - r["sx0"], r["sy1"] - r["sy0"]
+        assert -1e-9 <= r["sx0"] <= r["sx1"] <= 1 + 1e-9 and -1e-9 <= r["sy0"] <= r["sy1"] <= 1 + 1e-9
+        assert s / 25 * w == pytest.approx(16 / 9 * h, rel=2e-3)
+        x0, x1 = sorted((min(1, s / 100), min(1, 1 - s / 300)))
+        y0, y1 = sorted((s / 200, 1 - s / 500))
+        full = max(w, h) > 1 - 1e-4
+        assert full or (w >= x1 - x0 - 2e-4 and h >= y1 - y0 - 2e-4 and (w <= x1 - x0 + 2e-4 or h <= y1 - y0 + 2e-4))
+
 
+def test_leader_dedup_covers_all_of_part(spark, tmp_path):
     rows = [(i, f"{('red', 'blue', 'green')[i % 3]} {('box', 'boxes', 'lamp')[i // 3 % 3]} {i % 7}", f"Brand#{i % 2}", 1) for i in range(300, 2400, 9)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     kept, want = {}, set()
@@ -66,19 +131,20 @@ def test_leader_dedup_covers_all_of_part(spark, tmp_path):
 def test_whole_texts_and_rows(spark):
     import re
 
-    from vitrine.functions.text import ACCENTED, ARTICLES, PLAIN
+    from vitrine.functions.text import ARTICLES
 
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(str(SF / "documents.parquet")).collect()}
-    to = str.maketrans(ACCENTED + "-–—", PLAIN + "   ")
+    bare = lambda t, form: "".join(c for c in unicodedata.normalize(form, t) if not unicodedata.combining(c))
+    to = str.maketrans("-–—", "   ")
 
     def match(t):
-        out = t.strip(" ").lower().translate(str.maketrans(ACCENTED, PLAIN))
+        out = bare(t.strip(" ").lower(), "NFD")
         for a in ARTICLES:
             out = out.removeprefix(a)
         return out.strip(" ")
 
     def loose(t):
-        return re.sub(" +", " ", re.sub("^(the|a|an) ", "", re.sub("[^a-z0-9 ]", "", t.lower().translate(to)).strip(" "))).strip(" ")
+        return re.sub(" +", " ", re.sub("^(the|a|an) ", "", re.sub("[^a-z0-9 ]", "", bare(t.lower(), "NFKD").translate(to)).strip(" "))).strip(" ")
 
     plain = {
         "f04_match_form_whole": match,

@@ -1,8 +1,12 @@
-"""Text columns: normal forms, keys, cleaning. All stay in the JVM but the similarity ratio."""
+"""Text columns: normal forms, keys, cleaning. All stay in the JVM but accents, character references and the similarity ratio."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,8 +15,10 @@ from pyspark.sql import types as T
 
 #: Articles cut from the front of a title, one after another in this order.
 ARTICLES = ("the ", "a ", "an ", "le ", "la ", "les ", "de ", "het ", "een ")
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: What is noted in brackets behind the title of a partial or copied picture.
+COPY_NOTES = ("cropped", "detail", "full view", "reproduction")
+#: Marks around emphasised text, in the order in which they are taken off.
+EMPHASIS = ("**", "*", "__", "_", "`")
 
 
 def blank(c: Column) -> Column:
@@ -30,17 +36,27 @@ def item_key(title: Column, agent: Column) -> Column:
     return F.concat_ws("|", plain(title), plain(agent))
 
 
+@F.pandas_udf(T.StringType())
+def _unaccented(texts: pd.Series, form: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize(f, t) if not unicodedata.combining(c)) for t, f in zip(texts, form, strict=True)], dtype=object)
+
+
+def unaccented(c: Column, form: str = "NFD") -> Column:
+    """Without combining marks, after a Unicode decomposition. No built-in function decomposes."""
+    return _unaccented(c, F.lit(form))
+
+
 def match_form(c: Column) -> Column:
     """For comparison: lower case, without accents, articles cut in order."""
-    out = F.translate(F.lower(F.trim(blank(c))), ACCENTED, PLAIN)
+    out = unaccented(F.lower(F.trim(blank(c))))
     for a in ARTICLES:
-        out = F.when(out.startswith(a), F.substring(out, len(a) + 1, 1 << 30)).otherwise(out)
+        out = F.regexp_replace(out, f"^{a}", "")
     return F.trim(out)
 
 
 def loose_title(c: Column) -> Column:
     """Letters, digits and single spaces; without a leading article."""
-    plain = F.regexp_replace(F.translate(F.lower(blank(c)), ACCENTED + "-–—", PLAIN + "   "), "[^a-z0-9 ]", "")
+    plain = F.regexp_replace(F.translate(unaccented(F.lower(blank(c)), "NFKD"), "-–—", "   "), "[^a-z0-9 ]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(plain), "^(the|a|an) ", ""), " +", " "))
 
 
@@ -59,17 +75,67 @@ def display_title(c: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(cut, r"\s+", " ")), F.lit("")), c)
 
 
+@F.pandas_udf(T.StringType())
+def decoded(texts: pd.Series) -> pd.Series:
+    """Character references of HTML as the characters that they stand for."""
+    return pd.Series([t if t is None or "&" not in t else unescape(t) for t in texts], dtype=object)
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that it uses several times, computed once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _before_bracket(c: Column, held: Column) -> Column:
+    return F.rtrim(F.left(c, F.length(c) - F.length(held) - 2))
+
+
+def _bracket(c: Column) -> Column:
+    """What the brackets at the end of a text hold; empty if there are none."""
+    return F.regexp_extract(c, r"\(([^()]+)\)$", 1)
+
+
+def _plate_species(body: Column) -> Column:
+    """The bird on a plate: the editor's name for it, else what stands before the first comma or semicolon."""
+    core = F.get(F.split(F.trim(body), " [:/] ", 2), F.lit(0))
+    editor = F.trim(F.regexp_extract(core, r"\[i\.e\.([^\]]+)\]", 1))
+    return F.coalesce(F.nullif(editor, F.lit("")), F.trim(F.get(F.split(core, "[,;]", 2), F.lit(0))))
+
+
+def _reading(title: Column, series: Column | None = None) -> Column:
+    return F.struct(title.alias("title"), (F.lit(None).cast("string") if series is None else series).alias("series"))
+
+
 def catalog_title(c: Column) -> tuple[Column, Column]:
-    """Title and series (or null): artifact suffix off, series lifted out, a Roman first plate number mended, quotes off."""
-    t = F.trim(F.regexp_replace(F.trim(c), r"(?i)\s*\((?:cropped|detail|full view|reproduction)\)\s*$", ""))
-    of = r'^(.+?),\s*from the series\s+"?(.+?)"?\s*$'
-    tail = r"\s*\(from ([^()]+?)\)\s*$"
-    series = F.when(t.rlike(of), F.trim(F.regexp_extract(t, of, 2))).when(t.rlike(tail), F.trim(F.regexp_extract(t, tail, 1)))
-    title = F.when(t.rlike(of), F.trim(F.regexp_extract(t, of, 1))).otherwise(F.trim(F.regexp_replace(t, tail, "")))
-    title = F.when(title.rlike(r"^I\.\s") & ~title.contains("II."), F.concat(F.lit("1. "), F.substring(title, 4, 1 << 30))).otherwise(title)
-    title = F.trim(F.regexp_replace(title, r"\s+", " "))
-    title = F.when((F.length(title) >= 2) & title.startswith('"') & title.endswith('"'), F.trim(F.regexp_replace(title, "^\"|\"$", ""))).otherwise(title)
-    return title, series
+    """Title and series (or null) of a raw title.
+
+    Character references and white space are resolved and a copy note is cut. A plate of the American birds is named by its
+    species. Otherwise a series is what follows ``from the series`` (the part before ``also known as`` is then the title) or
+    stands in brackets as ``(from ...)``. A plate number I. becomes 1. unless a II. follows; quotes around the whole go."""
+
+    def without_note(t: Column) -> Column:
+        return let(_bracket(t), lambda note: F.when(F.lower(note).isin(*COPY_NOTES), _before_bracket(t, note)).otherwise(t))
+
+    def first_name(called: Column) -> Column:
+        known = F.split(called, ", ?also known as ", 2)
+        name = F.get(known, F.lit(0))
+        return F.when(F.size(known) > 1, let(_bracket(name), lambda held: F.when(held == "", name).otherwise(_before_bracket(name, held)))).otherwise(name)
+
+    def read(t: Column) -> Column:
+        plate = F.lower(t).startswith("the birds of america. [livraison]") & t.contains(",")
+        species = _plate_species(F.get(F.split(t, ",", 2), F.lit(1)))
+        halves = F.split(t, ", ?from the series ", 2)
+        of_series = _reading(F.trim(first_name(F.get(halves, F.lit(0)))), F.trim(F.btrim(F.get(halves, F.lit(1)), F.lit('"'))))
+        source = _bracket(t)
+        of_source = _reading(_before_bracket(t, source), F.trim(F.substring(source, 6, 1 << 30)))
+        return F.when(plate, _reading(species)).when(F.size(halves) > 1, of_series).when(source.startswith("from "), of_source).otherwise(_reading(t))
+
+    def finished(t: Column) -> Column:
+        arabic = F.when(t.startswith("I. ") & ~t.contains("II."), F.concat(F.lit("1"), F.substring(t, 2, 1 << 30))).otherwise(t)
+        return let(arabic, lambda v: F.when(v.startswith('"') & v.endswith('"') & (F.length(v) > 1), F.trim(F.substring(v, F.lit(2), F.length(v) - 2))).otherwise(v))
+
+    found = let(let(F.trim(F.regexp_replace(decoded(c), r"\s+", " ")), without_note), read)
+    return let(found.title, finished), found.series
 
 
 def without_tags(c: Column) -> Column:
@@ -77,10 +143,14 @@ def without_tags(c: Column) -> Column:
 
 
 def without_markdown(c: Column) -> Column:
-    out = blank(c)
-    for pattern in (r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"__([^_]+)__", r"_([^_]+)_", r"`([^`]+)`", r"\[([^\]]+)\]\([^)]*\)"):
-        out = F.regexp_replace(out, pattern, "$1")
-    return F.regexp_replace(out, r"(?m)^#{1,6}\s+", "")
+    """Plain prose: emphasis marks off, outer ones first, links as their text, headings without their signs."""
+
+    def off(text: Column, mark: str) -> Column:
+        quoted = "".join(f"[{x}]" for x in mark)
+        return F.regexp_replace(text, f"{quoted}([^{mark[0]}]+){quoted}", "$1")
+
+    prose = F.regexp_replace(reduce(off, EMPHASIS, blank(c)), r"\[([^]]+)]\([^)]*\)", "$1")
+    return F.regexp_replace(prose, r"(?m)^#{1,6}\s+", "")
 
 
 def slug(c: Column, most: int | None = None) -> Column:

@@ -56,28 +56,78 @@ def suggest(df: DataFrame, name: str, order: str, query: str, n: int = 10) -> Da
     return hits.orderBy(F.when(low.startswith(q), 0).otherwise(1), order).limit(n)
 
 
-def clamped_fold(df: DataFrame, key: str, order: Sequence[str], skip: Column, seconds: Column, start: float = 1.0) -> DataFrame:
-    """Affinity after all events in order: a skip takes 0.1 down to 0.1, a view adds 0.05 a half minute up to 5.
+def range_cuts(df: DataFrame, by: Column, n: int) -> list:
+    """At most n - 1 ascending values that cut the rows into ranges of about equal size, from a distributed quantile summary."""
+    found = df.agg(F.percentile_approx(by, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else None
+    return sorted(set(found or []))
+
+
+def range_of(by: Column, cuts: Sequence) -> Column:
+    """How many cuts are below the value; nulls come first."""
+    return F.when(by.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < by))) if cuts else F.lit(0)
+
+
+def ranges(df: DataFrame) -> int:
+    """How many ranges to cut a table into: four a shuffle partition, at most a thousand."""
+    return min(1000, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
 
-    Each event is x -> min(max(x + c, low), high); such steps are closed under composition, so a partition's events
-    reduce to one step and only the order within a key matters."""
-    event = F.struct(*[F.col(c) for c in order], skip.alias("skip"), seconds.alias("sec"))
-    step = lambda a, e: F.when(e.skip, F.greatest(F.lit(0.1), a - 0.1)).otherwise(F.least(F.lit(5.0), a + 0.05 * e.sec / 30.0))
-    return df.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(event)), F.lit(start), step).alias("affinity"), F.sum(seconds).alias("seconds"), F.count_if(skip).alias("skips"))
+def numbered(df: DataFrame, keys: Sequence[str], by: Column, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row among those of its keys, from 1, for keys with any number of rows.
 
+    ``order`` begins with ``by``, a number. Rows are cut into ranges of it by quantiles of all rows; a window numbers each range
+    of a key, and the rows of the key's earlier ranges, one count each, are added. So no task sorts a whole key."""
+    cut = df.withColumn("__r", range_of(by, range_cuts(df, by, ranges(df))))
+    counts = cut.groupBy(*keys, "__r").agg(F.count("*").alias("__c"))
+    earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "__r", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__b"))
+    within = cut.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__r").orderBy(*order)))
+    same = F.lit(True)
+    for k in [*keys, "__r"]:
+        same &= F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    return within.alias("x").join(before.alias("y"), same).select("x.*", (F.col("__n") + F.col("__b")).alias(name)).drop("__r", "__n")
 
-def relevance(df: DataFrame, artist: str, query: str) -> Column:
+
+def clamped_fold(df: DataFrame, key: str, order: Sequence[str], skip: Column, seconds: Column, start: float = 1.0) -> DataFrame:
+    """Affinity after all events in order: a skip takes 0.1 down to 0.1, a view adds 0.05 a half minute up to 5.
+
+    Each event is x -> min(max(x + shift, low), high), and such steps are closed under composition. The first of ``order``, a
+    time, is cut into ranges by quantiles of all events; each range of a key is composed to one step in its own task, and
+    the few steps of a key are then applied in order. So no row or task holds all events of a crowded key."""
+    at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    marked = df.select(key, at.alias("__at"), *order, skip.alias("__skip"), seconds.alias("__sec"))
+    marked = marked.withColumn("__r", range_of(F.col("__at"), range_cuts(marked, F.col("__at"), ranges(df))))
+    wide = F.lit(1e300)
+    whole = F.struct(F.lit(0.0).alias("shift"), (-wide).alias("low"), wide.alias("high"))
+    event = F.struct(*order, F.when(F.col("__skip"), F.lit(-0.1)).otherwise(F.coalesce(0.05 * F.col("__sec") / 30.0, F.lit(0.0))).alias("shift"), F.when(F.col("__skip"), F.lit(0.1)).otherwise(-wide).alias("low"), F.when(F.col("__skip"), wide).otherwise(F.lit(5.0)).alias("high"))
+    held = lambda v, e: F.least(F.greatest(v + e.shift, e.low), e.high)
+    then = lambda a, e: F.struct((a.shift + e.shift).alias("shift"), held(a.low, e).alias("low"), held(a.high, e).alias("high"))
+    composed = F.aggregate(F.array_sort(F.collect_list(event)), whole, then)
+    parts = marked.groupBy(key, "__r").agg(composed.alias("step"), F.sum("__sec").alias("seconds"), F.count_if("__skip").alias("skips"))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("__r", "step"))), lambda x: x.step)
+    return parts.groupBy(key).agg(F.aggregate(steps, F.lit(start), held).alias("affinity"), F.sum("seconds").alias("seconds"), F.sum("skips").alias("skips"))
+
+
+#: Points of a relevance score by what is found.
+BY_NAME, BY_LIKENESS, BY_QUERY, TITLE_POINTS, MARK_POINTS, WHOLE_POINTS = 30.0, 25.0, 20.0, 20.0, 20.0, 15.0
+IMAGE_POINTS = {r"/full/max/|/full/full/": 15.0, r"width=2000|/print/": 12.0, r"/full/": 10.0, r".": 5.0}
+MARKS = r'"ishighlight": ?true|"highlight": ?1|"is_boosted": ?true'
+
+
+def relevance(artist: str, query: str) -> Column:
     """Score from 0 to 100 of proposed_title, proposed_artist, source_url and context_hints for an artist query."""
     who, what, url, hints = (X.blank(F.col(c)) for c in ("proposed_artist", "proposed_title", "source_url", "context_hints"))
-    name = artist.lower()
-    close = X.ratio(X.match_form(F.lit(artist)), X.match_form(who)) >= 0.85
-    by = F.when(F.lower(who).contains(name) | F.lit(name).contains(F.lower(who)), 30.0).when(close, 25.0).when(F.lower(who).contains(query.lower()), 20.0).otherwise(0.0)
-    words = query.lower().split()
-    hits = sum((F.lower(what).contains(w).cast("int") for w in words), F.lit(0))
-    marks = F.lower(hints).rlike('"ishighlight": ?true|"highlight": ?1|"is_boosted": ?true')
-    image = F.when(url == "", 0.0).when(url.contains("/full/max/") | url.contains("/full/full/"), 15.0).when(url.contains("width=2000") | url.contains("/print/"), 12.0).when(url.contains("/full/"), 10.0).otherwise(5.0)
-    whole = ((what != "") & (what != "Unknown")).cast("int") + ((who != "") & (who != "Unknown Artist")).cast("int") + (hints != "").cast("int")
-    return F.round(by + 20.0 * hits / max(1, len(words)) + F.when(marks, 20.0).otherwise(0.0) + image + 15.0 * whole / 3, 1)
+    low, name = F.lower(who), artist.lower()
+    alike = X.ratio(X.match_form(F.lit(artist)), X.match_form(who)) >= 0.85
+    by = F.when(low.contains(name) | F.lit(name).contains(low), BY_NAME).when(alike, BY_LIKENESS).when(low.contains(query.lower()), BY_QUERY).otherwise(0.0)
+    words = F.array(*map(F.lit, query.lower().split())) if query.split() else F.array().cast("array<string>")
+    share = F.size(F.filter(words, lambda w: F.lower(what).contains(w))) / F.greatest(F.size(words), F.lit(1))
+    image = F.lit(0.0)
+    for pattern, points in reversed(IMAGE_POINTS.items()):
+        image = F.when(url.rlike(pattern), points).otherwise(image)
+    filled = F.array(~what.isin("", "Unknown"), ~who.isin("", "Unknown Artist"), hints != "")
+    whole = F.size(F.filter(filled, lambda x: x)) / 3
+    return F.round(by + TITLE_POINTS * share + F.when(F.lower(hints).rlike(MARKS), MARK_POINTS).otherwise(0.0) + image + WHOLE_POINTS * whole, 1)
 
 
 def leader_dedup(df: DataFrame, session: str, key: str, order: Sequence[str], least: float = 0.85) -> DataFrame:
@@ -166,13 +216,33 @@ def manifest_errors(df: DataFrame) -> DataFrame:
     return df.select("id", F.concat(top, F.flatten(F.transform("items", faults))).alias("errors"))
 
 
+#: How exact an aspect must be, how large a box, from where it is fine, and how far a focal point stays from its edges.
+ASPECT_TOLERANCE, LEAST_EXTENT, FINE_EXTENT, FOCAL_MARGIN = 0.005, 0.90, 0.98, 0.05
+
+
 def gate_crops(df: DataFrame, target: float) -> DataFrame:
-    """Snapped boxes of (id, x0, y0, x1, y1, aspect, fx, fy) with the reason for which each is dropped, or null."""
-    x0, y0, x1, y1 = V.snapped(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "aspect")], target)
-    out = df.select("*", x0.alias("sx0"), y0.alias("sy0"), x1.alias("sx1"), y1.alias("sy1"))
-    w, h = F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")
-    off = lambda f, a, size: F.col(f).isNotNull() & (F.col(f) != 0.5) & ~((F.col(f) - F.col(a)) / size).between(0.05, 0.95)
-    return out.withColumn("reason", F.when(F.abs(F.col("aspect") * w / F.greatest(h, F.lit(1e-9)) - target) / target > 0.005, "aspect_inexact").when(F.greatest(w, h) < 0.9, "not_maximal").when(off("fx", "sx0", w) | off("fy", "sy0", h), "focal_outside"))
+    """Snapped boxes of (id, x0, y0, x1, y1, aspect, fx, fy) with ``reason``, the first fault for which a box is dropped or null, and ``warning`` for one that is kept but not large.
+
+    A focal coordinate of exactly 0.5, outside the frame or null says nothing. A box with a missing coordinate is ``malformed``."""
+    corners = ["x0", "y0", "x1", "y1"]
+    box = df.withColumns(dict(zip([f"s{c}" for c in corners], V.snapped(*map(F.col, corners), F.col("aspect"), target), strict=True)))
+    across, down = F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")
+    extent = F.greatest(across, down)
+    got = F.col("aspect") * across / F.greatest(down, F.lit(1e-9))
+
+    def cramped(axis: str, length: Column) -> Column:
+        f = F.col(f"f{axis}")
+        room = F.least(f - F.col(f"s{axis}0"), F.col(f"s{axis}1") - f)
+        return f.between(0, 1) & (f != 0.5) & (room < FOCAL_MARGIN * length - 1e-12)
+
+    faults = {
+        "malformed": F.array_contains(F.transform(F.array(*corners, "aspect"), lambda v: v.isNull()), True),
+        "aspect_inexact": F.abs(got - target) > ASPECT_TOLERANCE * target,
+        "not_maximal": extent < LEAST_EXTENT,
+        "focal_outside": cramped("x", across) | cramped("y", down),
+    }
+    listed = F.array_compact(F.array(*[F.when(F.coalesce(found, F.lit(False)), F.lit(name)) for name, found in faults.items()]))
+    return box.withColumns({"reason": F.get(listed, F.lit(0)), "warning": F.when((F.size(listed) == 0) & (extent < FINE_EXTENT), F.lit("near_maximal"))})
 
 
 def canonical_json(df: DataFrame, column: str) -> DataFrame:

@@ -56,8 +56,7 @@ def _(t):
 def _(t):
     have = t.lineitem.filter("l_suppkey = 1").select(F.col("l_partkey").alias("p_partkey")).distinct()
     missing = t.part.filter("p_size < 3").select("p_partkey").join(have, "p_partkey", "left_anti")
-    # one gallery's members: a bounded group
-    placed = missing.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("p_partkey")))
+    placed = O.numbered(missing, [], F.col("p_partkey"), [F.col("p_partkey")], "n")
     return placed.crossJoin(F.broadcast(have.agg(F.count("*").alias("base")))).select("p_partkey", (F.col("base") + F.col("n") - 1).cast("long").alias("display_order"))
 
 

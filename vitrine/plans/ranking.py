@@ -9,19 +9,21 @@ from vitrine.functions import text as X
 from vitrine.functions import values as V
 from vitrine.operators import core as O
 from vitrine.plans.registry import query
+from vitrine.plans.scalars import _snap_sql
 
 
 @query("w01_stable_rank", "SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 10 THEN p_size ELSE 0 END DESC, p_partkey) AS INTEGER) AS place FROM part")
 def _(t):
     rank = F.coalesce(F.when(F.col("p_size") > 10, F.col("p_size")), F.lit(0))
-    return t.part.select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(rank.desc(), "p_partkey")).alias("place"))
+    return O.numbered(t.part, ["p_brand"], -rank, [rank.desc(), F.col("p_partkey")], "place").select("p_brand", "p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query("w02_w03_w04_weights", "SELECT p_partkey, CAST(i AS INTEGER) AS i, round(0.5 + (n - i) / CAST(greatest(n, 1) AS DOUBLE) * 0.5, 3) AS weight, round(0.5 + p_size / 100.0, 3) AS seed FROM (SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)")
 def _(t):
-    i = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    n = F.count("*").over(Window.partitionBy("p_brand"))
-    return t.part.select("p_partkey", i.alias("i"), V.decay_weight(i, n).alias("weight"), F.round(0.5 + F.col("p_size") / 100.0, 3).alias("seed"))
+    placed = O.numbered(t.part.select("p_brand", "p_partkey", "p_size"), ["p_brand"], F.col("p_partkey"), [F.col("p_partkey")], "place")
+    i = F.col("place") - 1
+    sizes = t.part.groupBy("p_brand").agg(F.count("*").alias("n"))
+    return placed.join(sizes, "p_brand").select("p_partkey", i.cast("int").alias("i"), V.decay_weight(i, F.col("n")).alias("weight"), F.round(0.5 + F.col("p_size") / 100.0, 3).alias("seed"))
 
 
 @query("w05_cursor", "SELECT event_id, CAST((sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) % 7 + 7) % 7 AS BIGINT) AS place FROM events")
@@ -38,8 +40,9 @@ def _(t):
 
 @query("w08_unique_slugs", "SELECT p_partkey, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS slug FROM (SELECT p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') AS slug, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
 def _(t):
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return t.part.select("p_partkey", F.when(n == 1, X.slug(F.col("p_brand"))).otherwise(F.concat_ws("-", X.slug(F.col("p_brand")), n)).alias("slug"))
+    slugs = t.part.select("p_partkey", X.slug(F.col("p_brand")).alias("slug"))
+    n = F.col("n")
+    return O.numbered(slugs, ["slug"], F.col("p_partkey"), [F.col("p_partkey")], "n").select("p_partkey", F.when(n == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", n)).alias("slug"))
 
 
 @query("w09_w15_error_streaks", "SELECT event_id, CAST(streak AS BIGINT) AS streak, CASE WHEN streak = 0 THEN 'ok' WHEN streak >= 6 THEN 'reboot' WHEN streak >= 3 THEN 'restart' ELSE 'wait' END AS action, CAST(CASE WHEN streak = 0 THEN 0 ELSE least(60, 5 * pow(2, streak - 1)) END AS BIGINT) AS pause FROM (SELECT event_id, sum(bad) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM (SELECT event_id, user_id, ts, CASE WHEN event_type IN ('error', 'view') THEN 1 ELSE 0 END AS bad, sum(CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events))")
@@ -91,7 +94,10 @@ def _(t):
     return t.nation.orderBy(F.col("n_nationkey") != 3, F.lower("n_name")).select("n_nationkey", "n_name")
 
 
-@query("t10_farthest_points")
+FARTHEST = "WITH p1 AS (SELECT 0 AS place, p_partkey, p_size, p_retailprice FROM part ORDER BY p_partkey LIMIT 1)" + "".join(f", p{i} AS (SELECT * FROM p{i - 1} UNION ALL (SELECT {i - 1} AS place, q.p_partkey, any_value(q.p_size), any_value(q.p_retailprice) FROM part q, p{i - 1} c WHERE q.p_partkey NOT IN (SELECT p_partkey FROM p{i - 1}) GROUP BY q.p_partkey ORDER BY min(pow(q.p_size - c.p_size, 2) + pow(q.p_retailprice - c.p_retailprice, 2)) DESC, q.p_partkey LIMIT 1))" for i in range(2, 6)) + " SELECT CAST(place AS INTEGER) AS place, CAST(p_partkey AS BIGINT) AS p_partkey FROM p5"
+
+
+@query("t10_farthest_points", FARTHEST)
 def _(t):
     ids = O.farthest_points(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"], 5)
     return t.spark.createDataFrame([(i, k) for i, k in enumerate(ids)], "place int, p_partkey long")
@@ -110,7 +116,7 @@ def _items(t):
 
 @query("d01_relevance")
 def _(t):
-    return _items(t).select("id", O.relevance(_items(t), "Brand#11", "red Brand#11").alias("score"))
+    return _items(t).select("id", O.relevance("Brand#11", "red Brand#11").alias("score"))
 
 
 #: Ids a session of d02_leader_dedup spans; with 25 brands about 40 rows each.
@@ -161,11 +167,24 @@ def _(t):
     return O.manifest_errors(m).select("id", F.size("errors").alias("n"))
 
 
-@query("d13_crop_gate")
-def _(t):
+def _crops(t):
     s = F.col("p_size")
     given = t.part.select(F.col("p_partkey").alias("id"), (s / 100.0).alias("x0"), (s / 200.0).alias("y0"), (1 - s / 300.0).alias("x1"), (1 - s / 500.0).alias("y1"), (s / 25.0).alias("aspect"), F.lit(0.4).alias("fx"), F.lit(0.5).alias("fy"))
-    return O.gate_crops(given, 16 / 9).select("id", "sx0", "sy0", "sx1", "sy1", "reason")
+    return O.gate_crops(given, 16 / 9)
+
+
+@query("d13_crop_gate")
+def _(t):
+    """Corners are rounded to four digits, and engines round ties of binary fractions apart: a test holds them to what the box must be."""
+    return _crops(t).select("id", "sx0", "sy0", "sx1", "sy1", "reason")
+
+
+GATE = "WITH " + _snap_sql("SELECT p_partkey AS id, p_size / 100.0::DOUBLE AS x0, p_size / 200.0::DOUBLE AS y0, 1 - p_size / 300.0::DOUBLE AS x1, 1 - p_size / 500.0::DOUBLE AS y1, p_size / 25.0::DOUBLE AS aspect FROM part", "aspect") + ", f AS (SELECT id, greatest(sx1 - sx0, sy1 - sy0) AS extent, CASE WHEN abs(aspect * (sx1 - sx0) / greatest(sy1 - sy0, 1e-9) - 16.0 / 9) / (16.0 / 9) > 0.005 THEN 'aspect_inexact' WHEN greatest(sx1 - sx0, sy1 - sy0) < 0.9 THEN 'not_maximal' WHEN (0.4 - sx0) / (sx1 - sx0) NOT BETWEEN 0.05 AND 0.95 THEN 'focal_outside' END AS reason FROM n) SELECT id, reason, CASE WHEN reason IS NULL AND extent < 0.98 THEN 'near_maximal' END AS warning FROM f"
+
+
+@query("d13_crop_reasons", GATE)
+def _(t):
+    return _crops(t).select("id", "reason", "warning")
 
 
 @query("d14_changed_keys", "SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS changed FROM part")
