@@ -171,6 +171,20 @@ def least_squares(df: DataFrame, features: Sequence[str], target: str) -> tuple[
     return beta, 1 - (yy - 2 * beta @ xy + beta @ m @ beta) / total if total else 1.0
 
 
+def holdout_residuals(df: DataFrame, features: Sequence[str], target: str, held: Column) -> DataFrame:
+    """Rows that are held out, with ``predicted`` by least squares on the others, clamped to the targets learned from, and ``residual``.
+
+    Fewer rows to learn from than features and two are an error."""
+    rest = df.filter(~held)
+    size = rest.agg(F.count("*").alias("n"), F.min(target).alias("low"), F.max(target).alias("high")).first()
+    if size["n"] < len(features) + 2:
+        raise ValueError(f"only {size['n']} rows to learn {len(features)} features from")
+    beta, _ = least_squares(rest, features, target)
+    guess = sum((float(b) * F.col(f) for b, f in zip(beta[1:], features, strict=True)), F.lit(float(beta[0])))
+    told = df.filter(held).withColumn("predicted", F.greatest(F.lit(float(size["low"])), F.least(F.lit(float(size["high"])), guess)))
+    return told.withColumn("residual", F.col("predicted") - F.col(target))
+
+
 def farthest_points(df: DataFrame, id_col: str, features: Sequence[str], n: int) -> list:
     """Greedy max-min selection of a few rows: each round keeps distances to the nearest chosen row and picks the farthest. n is small and bounds the rounds."""
     first = df.orderBy(id_col).first()

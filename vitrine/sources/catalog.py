@@ -6,8 +6,11 @@ services from its tasks; fetching stands outside.
 
 from __future__ import annotations
 
+import struct
 from functools import reduce
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +26,16 @@ FIELDS = {
     "harvard": ("$.title", "$.people[0].name", "$.primaryimageurl", "$.primaryimageurl"),
     "europeana": ("$.title[0]", "$.dcCreator[0]", "$.edmIsShownBy[0]", "$.edmPreview[0]"),
     "nasa": ("$.data[0].title", "$.data[0].photographer", "$.links[0].href", "$.links[0].href"),
+    "loc": ("$.title", "$.contributor", "$.image_url", "$.image_url"),
     "rijksmuseum": ("$.title", "$.creator", "$.relation", "$.relation"),
     "smithsonian": ("$.title", "$.content.freetext.name[0].content", "$.content.descriptiveNonRepeating.online_media.media", "$.content.descriptiveNonRepeating.online_media.media"),
     "wikimedia": ("$.title", "$.extmetadata.Artist.value", "$.url", "$.thumburl"),
 }
 
+#: Where digitised items of the library are stored, and titles of its pages that aren't items.
+LOC_TILES = "tile.loc.gov/storage-services/service"
+LOC_PAGES = "articles and essays|collection highlights|finding images|interview with|virtual orientation|free to use and reuse|do the talking|webcast|web guide"
+
 #: Fixed value: the least long edge of a Wikimedia image.
 MIN_DISPLAY_EDGE = 2000
 
@@ -40,6 +48,17 @@ def collections(spark: SparkSession, path: str) -> DataFrame:
     return shown.select(F.col("id").alias("collection"), F.posexplode("items").alias("item_index", "item")).select("collection", "item_index", "item.*")
 
 
+def static_json(spark: SparkSession, base: str, name: str) -> DataFrame | None:
+    """A JSON file below a base address that Spark can read; None if there is none."""
+    try:
+        found = spark.read.option("multiLine", True).json(f"{base.rstrip('/')}/{name}")
+        return found if found.columns else None
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
 def author_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
@@ -74,6 +93,11 @@ def _images(source: str, column: str, image: Column, thumb: Column) -> tuple[Col
     if source == "smithsonian":
         shown = F.get(F.filter(_listed(image), lambda x: F.get_json_object(x, "$.type") == "Images"), F.lit(0))
         return F.get_json_object(shown, "$.content"), F.get_json_object(shown, "$.thumbnail")
+    if source == "loc":
+        # only files of the storage service are the item itself; the small ones are thumbnails
+        tiles = F.filter(F.coalesce(_listed(image), F.array().cast("array<string>")), lambda u: u.contains(LOC_TILES))
+        small, big = (F.filter(tiles, f) for f in (lambda u: u.contains("150px"), lambda u: ~u.contains("150px")))
+        return F.coalesce(F.try_element_at(big, F.lit(-1)), F.try_element_at(tiles, F.lit(-1))), F.coalesce(F.get(small, F.lit(0)), F.get(tiles, F.lit(0)))
     if source == "nasa":
         # the stored asset list if there is one, else the links of the answer
         hrefs = F.transform(_listed(F.get_json_object(column, "$.links")), lambda x: F.get_json_object(x, "$.href"))
@@ -84,6 +108,8 @@ def _images(source: str, column: str, image: Column, thumb: Column) -> tuple[Col
 
 def _shown(source: str, column: str) -> Column:
     """Wikimedia's gates: a raster image, a long edge for the display, public domain."""
+    if source == "loc":
+        return ~F.lower(F.coalesce(F.get_json_object(column, "$.title"), F.lit(""))).rlike(LOC_PAGES)
     if source != "wikimedia":
         return F.lit(True)
     at = lambda path: F.coalesce(F.get_json_object(column, path), F.lit(""))
@@ -98,6 +124,9 @@ def normalised(payloads: DataFrame, source: str, column: str = "payload") -> Dat
     title, artist, image, thumb = (F.get_json_object(column, p) for p in FIELDS[source])
     image, thumb = _images(source, column, image, thumb)
     artist = _linked_label(artist) if source == "rijksmuseum" else artist
+    if source == "loc":
+        named = F.coalesce(artist, F.get_json_object(column, "$.creator"))
+        artist = F.initcap(F.coalesce(F.get(_listed(named), F.lit(0)), named))
     url = F.regexp_replace(image, "^//", "https://")
     return payloads.filter(_shown(source, column)).select(
         url.alias("source_url"), F.coalesce(first_filled(thumb), url).alias("thumbnail_url"),
@@ -128,10 +157,6 @@ def write_collections(items: DataFrame, path: str) -> None:
 
 def tiff_dimensions(files: DataFrame) -> DataFrame:
     """(path, width, height) from the first directory of TIFF files read as ``binaryFile``; nulls where there is none."""
-    import struct
-
-    import pandas as pd
-
     @F.pandas_udf("width long, height long")
     def dims(content: pd.Series) -> pd.DataFrame:
         out = []
