@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 
 from vitrine.llm.langid import fit, identify, label_documents, labelled_sample, marginals
-from vitrine.llm.wrappers import align, extract, fold_repeats, main_texts, skeleton, slots
+from vitrine.llm.wrappers import Token, align, constants, extract, fold_repeats, main_texts, matching, skeleton, slots
 
 
 def test_marginals_match_all_paths():
@@ -74,13 +74,54 @@ def test_main_texts(spark):
 
 
 def test_wrappers():
-    assert fold_repeats("a b a b a b c".split()) == ["(a b)+", "c"]
-    a, b = skeleton("<ul><li>x<li>y</ul><p>t</p>"), skeleton("<ul><li>x</ul><h1>h</h1><p>t</p>")
+    name = lambda x: [Token(t) for t in x.split()]
+    assert [t.name for t in fold_repeats(name("a b a b a b c"))] == ["(a b)+", "c"]
+    a, b = skeleton("<ul><li>x<li>y</ul><p>t</p><div>same</div>"), skeleton("<ul><li>x</ul><h1>h</h1><p>u</p><div>same</div>")
     w = align(a, b)
-    assert any(t.endswith(")?") for t in w) and slots(w) == {"ul>li", "p", "h1"}
+    by = {t.name: t for t in w}
+    assert slots(w) == {"ul>li", "p", "h1", "div"} and by["#h1"].optional and not by["#p"].optional
+    assert by["#p"].text == 0 and by["#div"].text and by["#div"].pages == 2
+    # the list of one entry is the repeated group of the other page
+    assert not by["(+li #ul>li)+"].optional and by["(+li #ul>li)+"].pages == 2
     assert extract("<script>var x = '</p>';</script><p>a<!-- no -->b</p><p>c") == "ab c"
 
 
+def test_matching_is_a_common_subsequence():
+    rng = np.random.default_rng(3)
+    for size, letters in ((12, 4), (900, 5), (900, 2000)):
+        a = [str(x) for x in rng.integers(0, letters, size)]
+        b = [x for x in a if rng.random() < 0.9] + ["end"]
+        got = matching(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+        assert len(got) > (0.5 if letters != 5 else 0) * size
+    page = "<div>" + "<p class='a'>x" * 60_000 + "<b 'open" * 200
+    assert extract(page).startswith("x x") and len(skeleton(page)) < 2_000
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """Texts that all pages share are template only because the alignment keeps them constant; those that vary are slots."""
+    rows = [(i, "http://a.net/x", f"<div>Welcome</div>{'<h2>extra</h2>' * (i % 2)}<p>text {i}</p><address>Copyright</address>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shapes = [skeleton(h) for _, _, h in rows]
+    wrapper = shapes[0]
+    for x in shapes[1:]:
+        wrapper = align(wrapper, x)
+    fixed = constants(wrapper, 8)
+    assert [p for p, _ in fixed] == ["address", "div"] and constants(shapes[0], 8) == []
+    assert extract(rows[3][2], slots(wrapper), frozenset(fixed)) == "extra text 3" and extract(rows[3][2]) == "Welcome extra text 3 Copyright"
+    assert {r.page_id: r.text for r in main_texts(pages).collect()} == {i: ("extra " if i % 2 else "") + f"text {i}" for i in range(8)}
+
+
+def test_crowded_hosts_and_many_shapes(spark, monkeypatch):
+    from vitrine.llm import wrappers
+
+    monkeypatch.setattr(wrappers, "TOGETHER", 4)
+    rows = [(i, "http://hot.net/x", f"<div>Top</div>{''.join(f'<h{1 + (i >> k) % 2}>s</h{1 + (i >> k) % 2}>' for k in range(5))}<article><p>text {i}</p></article>") for i in range(1200)]
+    rows += [(5000 + i, None, "<p>no host</p>") for i in range(3)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" for i in range(1200)} | {5000 + i: "no host" for i in range(3)}
+
+
 def test_article_text_is_no_template(spark):
     rows = []
     for i in range(8):

@@ -298,16 +298,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 end = -1
                 if s is not None and len(s):
                     order = np.argsort(s, kind="stable")
-                    begin = -1
+                    opened = -1
                     for a, b in zip(s[order].tolist(), e[order].tolist(), strict=True):
                         if a > end:
-                            if begin >= 0:
-                                kept.append(raw[at:begin])
-                                removed, runs, at = removed + end - begin, runs + 1, end
-                            begin = a
+                            if opened >= 0:
+                                kept.append(raw[at:opened])
+                                removed, runs, at = removed + end - opened, runs + 1, end
+                            opened = a
                         end = max(end, b)
-                    kept.append(raw[at:begin])
-                    removed, runs, at = removed + end - begin, runs + 1, end
+                    kept.append(raw[at:opened])
+                    removed, runs, at = removed + end - opened, runs + 1, end
                 kept.append(raw[at:])
                 left = b"".join(kept)
                 row = (k, len(raw), removed, runs, hashlib.sha256(left).hexdigest())

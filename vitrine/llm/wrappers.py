@@ -1,15 +1,17 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred for each host.
 
-A page is read as a stream of tags and text slots; tandem repeats are folded into ``(...)+``. The streams of a host's pages
-are aligned with its wrapper one after another: what only one side has becomes optional ``(...)?``, what both have
-stays, and texts become slots. Each slot of the wrapper is named by the sections around it. A slot is template if an
+A page is read as a stream of tags and texts; tandem repeats are folded into ``(...)+``. The streams of a host's pages
+are aligned with its wrapper one after another: what only one side has becomes optional, a part that stands once where the
+other side repeats it becomes the repeated group, texts that read alike stay constant, and texts that differ become slots.
+Each text of the wrapper is named by the sections around it. The host's constants, those that the wrapper still has for
+nearly all of the host's distinct pages after all alignments, are template outside an article. So is a text if an
 element around it says so (navigation, header, footer, sidebar, advert, form, notice, comments, or a name of that
-kind), if it lies outside the page's article, or if, on a page without an article, it stands once in a page and reads the
-same on nearly all distinct pages of a host. All else is main text. Names of html and body say nothing, nor do those of
-elements around the article or around most of the page's text.
+kind), or if it lies outside the page's article where the wrapper has slots in one. All else is main text. Names of html and
+body say nothing, nor do those of elements around the article or around most of the page's text.
 
 A null or empty page has the empty text. Pages without a host form one host. Repeated rows stay; other columns are not
-carried along. Hosts of any size are folded in slices, each with no more in memory than one wrapper.
+carried along. Hosts of any size are folded in a tree of slices, each with no more in memory than one wrapper, and the
+pages of a crowded host meet copies of its wrapper in several tasks.
 """
 
 from __future__ import annotations
@@ -18,17 +20,21 @@ import hashlib
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm.common import materialize
 from vitrine.llm.urls import url_parts
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([^<]+|<)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -41,8 +47,9 @@ MAIN = frozenset("article main".split())
 TEMPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert warning popup modal overlay comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager form skip copyright legal disclaimer contentinfo complementary hidden".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
-SLICES = 8
-#: A slot is the host's own text if it reads the same on as many distinct pages, and on this share of all of them.
+#: Wrappers that one task aligns one after another; copies of the wrapper of a crowded host; tokens between anchors that are compared pair by pair.
+TOGETHER, COPIES, PAIRWISE = 64, 64, 300
+#: A text is the host's own if it reads the same on as many distinct pages, and on this share of all of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.9
 
 
@@ -102,24 +109,33 @@ def read_page(page: str) -> Iterator[tuple[str, str, str]]:
         yield ("+" if tag not in INLINE else "~"), label, ""
 
 
-def fold_repeats(tokens: list[str]) -> list[str]:
+class Token(NamedTuple):
+    """A part of a wrapper: a tag, a text ``#path`` or a repeated group. ``text`` tells a constant text, 0 one that varies; ``pages`` have it."""
+
+    name: str
+    optional: bool = False
+    text: int = 0
+    pages: int = 1
+
+
+def fold_repeats(tokens: list[Token]) -> list[Token]:
     """Tandem repeats of up to eight tokens become one token ``(...)+``, until there are none."""
     changed = True
     while changed:
         changed = False
         for n in range(1, 9):
-            out, i = [], 0
+            out, i, names = [], 0, [t.name for t in tokens]
             while i < len(tokens):
-                unit = tokens[i : i + n]
+                unit = names[i : i + n]
                 j = i + n
-                while len(unit) == n and tokens[j : j + n] == unit:
+                while len(unit) == n and names[j : j + n] == unit:
                     j += n
                 group = unit[0] if n == 1 and unit[0].endswith(")+") else f"({' '.join(unit)})+"
                 if j > i + n:
-                    # a part that ends in the same group is that group
-                    out.append(group)
+                    out.append(Token(group))
                     i, changed = j, True
-                elif len(unit) == n and out and out[-1] == group:
+                elif len(unit) == n and out and out[-1].name == group:
+                    # a part that follows its own group belongs to it
                     i, changed = j, True
                 else:
                     out.append(tokens[i])
@@ -128,33 +144,105 @@ def fold_repeats(tokens: list[str]) -> list[str]:
     return tokens
 
 
-def align(wrapper: list[str], page: list[str]) -> list[str]:
-    """The wrapper generalised to cover the page too: common tokens stay, the rest of either side becomes optional."""
-    bare = [t[1:-2] if t.endswith(")?") else t for t in wrapper]
-    out: list[str] = []
-    for op, i, j, k, m in SequenceMatcher(None, bare, page, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += wrapper[i:j]
+def _grouped(tokens: list[Token], other: set[str]) -> list[Token]:
+    """Parts that stand once here and as a repeated group in ``other`` become that group."""
+    here = {t.name for t in tokens}
+    units = {}
+    for g in other:
+        if g.endswith(")+") and g not in here:
+            unit = tuple(g[1:-2].split(" "))
+            if not any("(" in x for x in unit):
+                units.setdefault(unit[0], []).append((unit, g))
+    if not units or here.isdisjoint(units):
+        return tokens
+    out, i, names = [], 0, [t.name for t in tokens]
+    while i < len(tokens):
+        for unit, g in units.get(names[i], ()):
+            if tuple(names[i : i + len(unit)]) == unit:
+                out.append(Token(g, tokens[i].optional, 0, tokens[i].pages))
+                i += len(unit)
+                break
+        else:
+            out.append(tokens[i])
+            i += 1
+    return out
+
+
+def matching(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of common tokens in both, ascending. Common ends first, then tokens that are unique on both sides as anchors; what is left between these is compared pair by pair if it is short."""
+    low, ea, eb = 0, len(a), len(b)
+    while low < min(ea, eb) and a[low] == b[low]:
+        low += 1
+    while ea > low and eb > low and a[ea - 1] == b[eb - 1]:
+        ea, eb = ea - 1, eb - 1
+    out = [(i, i) for i in range(low)]
+    if ea > low and eb > low:
+        if max(ea, eb) - low <= PAIRWISE:
+            for i, j, n in SequenceMatcher(None, a[low:ea], b[low:eb], autojunk=False).get_matching_blocks():
+                out += [(low + i + k, low + j + k) for k in range(n)]
         else:
-            out += [t if t.endswith(")?") else f"({t})?" for t in wrapper[i:j]]
-            out += [f"({t})?" for t in page[k:m]]
+            ca, cb = Counter(a[low:ea]), Counter(b[low:eb])
+            at = {t: j for j, t in enumerate(b[low:eb], low) if cb[t] == 1}
+            pairs = [(i, at[t]) for i, t in enumerate(a[low:ea], low) if ca[t] == 1 and t in at]
+            tails, ends, before = [], [], []  # the longest ascending chain of anchors
+            for k, (_, j) in enumerate(pairs):
+                x = bisect_left(tails, j)
+                tails[x : x + 1] = [j]
+                ends[x : x + 1] = [k]
+                before.append(ends[x - 1] if x else -1)
+            chain, k = [], ends[-1] if ends else -1
+            while k >= 0:
+                chain.append(pairs[k])
+                k = before[k]
+            i0, j0 = low, low
+            for i, j in [*reversed(chain), (ea, eb)]:
+                if chain:
+                    out += [(i0 + x, j0 + y) for x, y in matching(a[i0:i], b[j0:j])]
+                if i < ea:
+                    out.append((i, j))
+                i0, j0 = i + 1, j + 1
+    return out + [(ea + k, eb + k) for k in range(len(a) - ea)]
+
+
+def align(wrapper: list[Token], page: list[Token]) -> list[Token]:
+    """The wrapper generalised to cover the page too: common tokens stay, texts that differ vary, the rest of either side becomes optional."""
+    names = {t.name for t in wrapper}, {t.name for t in page}
+    wrapper, page = _grouped(wrapper, names[1]), _grouped(page, names[0])
+    out: list[Token] = []
+    i = j = 0
+    for x, y in [*matching([t.name for t in wrapper], [t.name for t in page]), (len(wrapper), len(page))]:
+        out += [t._replace(optional=True) for t in (*wrapper[i:x], *page[j:y])]
+        if x < len(wrapper):
+            a, b = wrapper[x], page[y]
+            out.append(Token(a.name, a.optional or b.optional, a.text if a.text == b.text else 0, a.pages + b.pages))
+        i, j = x + 1, y + 1
     return out
 
 
-def skeleton(page: str) -> list[str]:
-    """The page as folded tokens; text slots carry the path of their sections."""
+def text_key(text: str) -> int:
+    return zlib.crc32(text.strip().encode("utf-8", "surrogatepass")) + 1
+
+
+def skeleton(page: str) -> list[Token]:
+    """The page as folded tokens; texts carry the path of their sections."""
     tokens = []
     for kind, what, path in read_page(page):
         if kind == "#":
-            tokens.append(f"#{path}")
+            tokens.append(Token(f"#{path}", text=text_key(what)))
         elif kind in "+-":
-            tokens.append(f"{kind}{what}")
+            tokens.append(Token(f"{kind}{what}"))
     return fold_repeats(tokens)
 
 
-def slots(wrapper: list[str]) -> set[str]:
-    """Paths of all text slots of a wrapper."""
-    return {m[1] for t in wrapper for m in re.finditer(r"#([^ )]*)", t)}
+def slots(wrapper: list[Token]) -> set[str]:
+    """Paths of all texts of a wrapper."""
+    return {m[1] for t in wrapper for m in re.finditer(r"#([^ )]*)", t.name)}
+
+
+def constants(wrapper: list[Token], pages: int) -> list[tuple[str, int]]:
+    """Paths and keys of texts that the wrapper has for nearly all of a host's pages."""
+    least = max(LEAST_PAGES, LEAST_SHARE * pages)
+    return sorted({(t.name[1:], t.text) for t in wrapper if t.text and t.pages >= least})
 
 
 @lru_cache(1 << 16)
@@ -226,26 +314,40 @@ def layout(found: list[tuple[str, str, str]]) -> frozenset[str]:
     return frozenset(free)
 
 
-def kept_slots(paths: set[str], same: set[str], free: frozenset[str] = frozenset()) -> set[str]:
-    """Slots with main text: not template by name; in the article if there is one, else in an element named as content, else whatever isn't the same everywhere."""
+def kept_slots(paths: set[str], free: frozenset[str] = frozenset()) -> tuple[set[str], str]:
+    """Slots with main text, and what that rests on: in the ``article`` if there is one, else in an element ``named`` as content, else ``any`` that isn't template by name."""
     left = {p for p in paths if not template_path(p, free)}
     if found := {p for p in left if main_path(p)}:
-        return found
+        return found, "article"
     if found := {p for p in left if named_path(p)}:
-        return found - {p for p in same if p.rsplit(">", 1)[-1].split(".", 1)[0] not in ("p", "h1")}
-    return left - same
+        return found, "named"
+    return left, "any"
 
 
-def extract(page: str, wrapper: set[str] | None = None, same: frozenset[str] = frozenset()) -> str:
-    """Main text of a page: text of kept slots, one space within and between blocks. The page's own slots count where the wrapper doesn't cover them."""
+def _constant(path: str, text: str, fixed: frozenset[tuple[str, int]], rests: str) -> bool:
+    """Whether a text is the host's own. Nothing in an article is, nor a paragraph or heading of named content."""
+    if rests == "article" or not fixed or (rests == "named" and path.rsplit(">", 1)[-1].split(".", 1)[0] in ("p", "h1")):
+        return False
+    return (path, text_key(text)) in fixed
+
+
+def extract(page: str, wrapper: set[str] | None = None, fixed: frozenset[tuple[str, int]] = frozenset()) -> str:
+    """Main text of a page: text of kept slots without the host's constants, one space within and between blocks. The page's own slots count where the wrapper doesn't cover them."""
     found = list(read_page(page))
     own = {path for kind, _, path in found if kind == "#"}
     free = layout(found) if any(map(_named_template, own)) else frozenset()
-    keep = (kept_slots(wrapper | own, set(same), free) & own if wrapper else set()) or kept_slots(own, set(same), free)
+    for paths in (wrapper | own if wrapper else own, own):
+        keep, rests = kept_slots(paths, free)
+        kept = {(path, what) for kind, what, path in found if kind == "#" and path in keep and not _constant(path, what, fixed, rests)}
+        if kept:
+            break
     out: list[str] = []
     for kind, what, path in found:
-        if kind in "# ":
+        if kind == " ":
             if path in keep:
+                out.append(what)
+        elif kind == "#":
+            if (path, what) in kept:
                 out.append(entities.unescape(what))
         elif kind != "~":
             out.append(" ")
@@ -253,70 +355,103 @@ def extract(page: str, wrapper: set[str] | None = None, same: frozenset[str] = f
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, slots, same) from (host, html): each host's wrapper slots, and those that stand once in nearly all of its distinct pages, at least five, and read the same on each. Exact copies are one page."""
+    """(host, slots, fixed, pages) from (host, html): the slots and constants of each host's wrapper, and how many pages it has.
+
+    Exact copies are one page. Pages of one shape are first brought together by an aggregate: their texts at each place are
+    constant or vary. The shapes of a host are then aligned, TOGETHER at a time, level by level until one wrapper is left."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for host, page in zip(batch["host"], batch["html"], strict=True):
-                texts: dict[str, list[str]] = {}
-                for kind, what, path in read_page(page):
-                    if kind == "#":
-                        texts.setdefault(path, []).append(what.strip())
-                single = {p: t[0] for p, t in texts.items() if len(t) == 1}
+                tokens = skeleton(page)
                 digest = hashlib.md5(page.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
-                # the empty path stands for the page itself
-                out.append((host, "\n".join(skeleton(page)), digest, ["", *single], [0, *(zlib.crc32(t.encode()) for t in single.values())]))
-            yield pd.DataFrame(out, columns=["host", "skeleton", "page", "path", "text"])
-
-    seen = pages.mapInPandas(read, "host string, skeleton string, page binary, path array<string>, text array<long>")
-    kinds = seen.groupBy("host", "skeleton").agg(F.count("*").alias("pages"))
+                out.append((host, "\n".join(t.name for t in tokens), digest, [t.text for t in tokens]))
+            yield pd.DataFrame(out, columns=["host", "shape", "page", "texts"])
+
+    key = F.substring(F.unhex(F.sha2("shape", 256)), 1, 16).alias("key")
+    seen = materialize(pages.mapInPandas(read, "host string, shape string, page binary, texts array<long>").select("host", "page", key, "shape", "texts"), "shapes")
+    distinct = seen.groupBy("host", "page").agg(F.first(F.struct("key", "texts")).alias("x"), F.count("*").alias("rows")).select("host", "rows", "x.key", "x.texts")
+    # a place of 0 in every row counts the pages
+    places = distinct.select("host", "key", "rows", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "texts")).alias("at", "text")).filter("at = 0 or text > 0")
+    alike = places.groupBy("host", "key", "at").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    text = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(0)
+    kinds = alike.groupBy("host", "key").agg(F.max(F.when(F.col("at") == 0, F.col("n"))).alias("n"), F.max(F.when(F.col("at") == 0, F.col("rows"))).alias("rows"), F.collect_list(F.when(F.col("at") > 0, F.struct("at", text.alias("text")))).alias("texts"))
+    shapes = seen.groupBy("host", "key").agg(F.first("shape").alias("shape"))
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for host, shape, n, rows, texts in zip(batch["host"], batch["shape"], batch["n"], batch["rows"], batch["texts"], strict=True):
+                known = {x["at"]: x["text"] for x in texts}
+                names = shape.split("\n") if shape else []
+                out.append((host, n, rows, shape, [False] * len(names), [known.get(i + 1, 0) for i in range(len(names))], [n] * len(names)))
+            yield pd.DataFrame(out, columns=MADE_NAMES)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, wrapper = None, []
+        now, wrapper, n, rows = None, [], 0, 0
+
+        def told() -> tuple:
+            return now[0], n, rows, "\n".join(t.name for t in wrapper), [t.optional for t in wrapper], [t.text for t in wrapper], [t.pages for t in wrapper]
+
         for batch in batches:
             out = []
-            for host, part, skel in zip(batch["host"], batch["part"], batch["skeleton"], strict=True):
-                tokens = skel.split("\n") if skel else []
+            for host, part, n2, rows2, shape, optional, texts, counts in zip(*(batch[c] for c in ["host", "part", *MADE_NAMES[1:]]), strict=True):
+                tokens = [Token(*x) for x in zip(shape.split("\n"), optional.tolist(), texts.tolist(), counts.tolist(), strict=True)] if shape else []
                 if (host, part) != now:
                     if now:
-                        out.append((*now, "\n".join(wrapper)))
-                    now, wrapper = (host, part), tokens
+                        out.append(told())
+                    now, wrapper, n, rows = (host, part), tokens, n2, rows2
                 else:
-                    wrapper = align(wrapper, tokens)
+                    wrapper, n, rows = align(wrapper, tokens), n + n2, rows + rows2
             if out:
-                yield pd.DataFrame(out, columns=["host", "part", "skeleton"])
+                yield pd.DataFrame(out, columns=MADE_NAMES)
         if now:
-            yield pd.DataFrame([(*now, "\n".join(wrapper))], columns=["host", "part", "skeleton"])
-
-    made = "host string, part int, skeleton string"
-    for parts in (SLICES, 1):
-        dealt = kinds.withColumn("part", F.pmod(F.xxhash64("skeleton"), F.lit(parts)).cast("int")).repartition("host", "part").sortWithinPartitions("host", "part", "skeleton")
-        kinds = dealt.select("host", "part", "skeleton").mapInPandas(fold, made)
+            yield pd.DataFrame([told()], columns=MADE_NAMES)
+
+    level = shapes.join(kinds.withColumnsRenamed({"host": "h", "key": "k"}), F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k"))).select("host", "shape", "n", "rows", "texts").mapInPandas(start, MADE)
+    level = materialize(level, "wrappers")
+    while True:
+        sizes = level.groupBy("host").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+        most = sizes.agg(F.max("parts").alias("m")).first()["m"] or 1
+        dealt = level.join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts")).cast("int"))
+        dealt = dealt.select("host", "part", *MADE_NAMES[1:]).repartition("host", "part").sortWithinPartitions("host", "part", F.desc("n"), "shape")
+        level = materialize(dealt.mapInPandas(fold, MADE), "wrappers")
+        if most == 1:
+            break
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"host": batch["host"], "slots": [sorted(slots(s.split("\n"))) for s in batch["skeleton"]]})
+            out = []
+            for host, n, rows, shape, texts, counts in zip(*(batch[c] for c in ["host", "n", "rows", "shape", "texts", "counts"]), strict=True):
+                wrapper = [Token(x, False, t, k) for x, t, k in zip(shape.split("\n"), texts.tolist(), counts.tolist(), strict=True)] if shape else []
+                fixed = constants(wrapper, n)
+                out.append((host, rows, sorted(slots(wrapper)), [p for p, _ in fixed], [t for _, t in fixed]))
+            yield pd.DataFrame(out, columns=["host", "rows", "slots", "paths", "keys"])
+
+    return level.mapInPandas(listed, "host string, rows long, slots array<string>, paths array<string>, keys array<long>")
+
 
-    wrappers = kinds.mapInPandas(listed, "host string, slots array<string>")
-    distinct = seen.groupBy("host", "page").agg(F.first(F.arrays_zip("path", "text")).alias("x")).select("host", F.explode("x").alias("x"))
-    texts = distinct.groupBy("host", "x.path").agg(F.count("*").alias("n"), F.min("x.text").alias("low"), F.max("x.text").alias("high"))
-    alike = F.when((F.col("n") >= LEAST_PAGES) & (F.col("low") == F.col("high")) & (F.col("path") != ""), F.struct("path", "n"))
-    hosts = texts.groupBy("host").agg(F.max(F.col("low") != F.col("high")).alias("differ"), F.max(F.when(F.col("path") == "", F.col("n"))).alias("pages"), F.collect_list(alike).alias("alike"))
-    same = hosts.filter("differ").select("host", F.filter("alike", lambda x: x.n >= LEAST_SHARE * F.col("pages")).path.alias("same"))
-    return wrappers.join(same, "host", "left")
+MADE = "host string, n long, rows long, shape string, optional array<boolean>, texts array<long>, counts array<long>"
+MADE_NAMES = [x.split()[0] for x in MADE.split(", ")]
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every page. Pages meet their host's wrapper in a join that splits large hosts."""
+    """(id, url, text, n_chars) of every page. The pages of hosts with over a thousandth of all, at most a thousand hosts, meet copies of their wrapper in as many tasks."""
     host, _ = url_parts(F.col(url_col))
     given = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     kind = dict(given.dtypes)["id"]
-    joined = given.join(infer_wrappers(given.select("host", "html")), "host", "left").select(F.col("id").cast("string").alias("id"), "url", "html", "slots", "same")
+    wrappers = materialize(infer_wrappers(given.select("host", "html")), "hosts")
+    total = wrappers.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    crowded = materialize(wrappers.filter(F.col("rows") > max(1000, total / 1000)).select(F.col("host").alias("crowd")), "crowded")
+    several = F.col("crowd").isNotNull()
+    salted = given.join(F.broadcast(crowded), F.col("host") == F.col("crowd"), "left").withColumn("salt", F.when(several, F.pmod(F.xxhash64("html", "url"), F.lit(COPIES))).otherwise(0))
+    copies = wrappers.join(F.broadcast(crowded), F.col("host") == F.col("crowd"), "left").withColumn("salt", F.explode(F.when(several, F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0))))).select(F.col("host").alias("of"), "salt", "slots", "paths", "keys")
+    joined = salted.join(copies.withColumnRenamed("salt", "copy"), F.col("host").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("copy")), "left").select(F.col("id").cast("string").alias("id"), "url", "html", "slots", "paths", "keys")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [extract(h, None if s is None else set(s), frozenset(e) if e is not None else frozenset()) for h, s, e in zip(batch["html"], batch["slots"], batch["same"], strict=True)]
+            texts = [extract(h, None if s is None else set(s), frozenset(zip(p, k, strict=True)) if p is not None else frozenset()) for h, s, p, k in zip(batch["html"], batch["slots"], batch["paths"], batch["keys"], strict=True)]
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     found = joined.mapInPandas(rows, "id string, url string, text string, n_chars long")
