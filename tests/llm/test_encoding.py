@@ -12,7 +12,7 @@ from vitrine.llm import fingerprints as fp
 from vitrine.llm import shards as sh
 from vitrine.llm.bpe import encoder
 from vitrine.llm.encode import bpe_round_trip
-from vitrine.llm.media import media_columns, wav_samples
+from vitrine.llm.media import media_columns, peak_pairs, wav_samples
 from vitrine.llm.packing import hilbert_key, pack
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,27 @@ def test_media(docs):
     assert media_columns(docs.limit(0)).count() == 0
 
 
+def test_peaks_match_a_direct_transform():
+    """Frames, window, transform, local maxima and pairs, each spelled out."""
+    raw = bytes(np.random.default_rng(8).integers(32, 127, 192 * 5, dtype=np.uint8))
+    n = np.arange(192)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / 191)
+    tops = []
+    for start in range(0, len(raw) - 191, 96):
+        x = (np.frombuffer(raw[start : start + 192], dtype=np.uint8).astype(float) - 128) * window
+        mag = [abs(sum(x * np.exp(-2j * np.pi * k * n / 192))) for k in range(97)]
+        peaks = [k for k in range(1, 96) if mag[k] > mag[k - 1] and mag[k] >= mag[k + 1]]
+        tops.append(sorted(peaks, key=lambda k: -mag[k])[:2])
+    want = set()
+    for i, (first, second) in enumerate(tops):
+        for d in (1, 2, 3):
+            if i + d < len(tops):
+                want |= {(i, f, tops[i + d][0], d) for f in (first, second)}
+    got = peak_pairs(raw)
+    assert {(int(p) >> 32, int(p) >> 20 & 0xFFF, int(p) >> 8 & 0xFFF, int(p) & 0xFF) for p in got} == want
+    assert (np.diff(got) > 0).all() and peak_pairs(raw).tolist() == got.tolist()
+
+
 def test_prefix_hashes():
     a, b = fp.PrefixHash("the cat sat on the mat"), fp.PrefixHash("a cat sat on it")
     assert a.span(4, 14) == b.span(2, 12) and a.span(4, 14) != b.span(3, 13)
@@ -90,6 +111,18 @@ def test_hilbert_neighbours():
     assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for p, q in zip(cells, cells[1:]))
 
 
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Documents of one vocabulary come to lie together: the mean distance in line between two of a kind is far under that of a random order."""
+    rng = np.random.default_rng(5)
+    kinds = [[f"{a}{b}" for a in pair for b in "aeiou"] for pair in ("kl", "mn", "pr", "st", "vz", "bd")]
+    rows = [(i, " ".join(rng.choice(kinds[i % 6], 60))) for i in range(240)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), WORD, capacity=512).collect()
+    line = sorted(got, key=lambda r: (r.sequence_id, r.offset))
+    order = [r.doc_id for r in line if r.start == 0]
+    same = sum(a % 6 == b % 6 for a, b in zip(order, order[1:])) / len(order)
+    assert same > 2.5 / 6
+
+
 def test_packing(docs):
     docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     tok = Tokenizer.from_file(WORD)

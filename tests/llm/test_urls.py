@@ -58,3 +58,20 @@ def test_statistics_of_all_labelled_urls(spark):
     right = sum((r.verdict == "block") == bool(blocked[by[r.page_id]]) for r in got)
     assert len(got) == len(rows) and right == len(rows)
     assert suffix_statistics(labelled).filter("k = 2").groupBy("suffix").agg({"n_all": "max"}).filter("`max(n_all)` = 8").count() == 150
+
+
+def test_trees_learn_shapes_of_unseen_hosts(spark):
+    """Labels by the shape of the address, every host seen once: suffixes tell nothing, so held-out accuracy is the lexical features'."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1500):
+        host = "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+        blocked = i % 2
+        path = "/".join("".join(rng.choice("0123456789" if blocked else "abcdefgh") for _ in range(6)) for _ in range(rng.randint(1, 4)))
+        query = "&".join(f"{rng.choice('abc')}={rng.randint(0, 9)}" for _ in range(rng.randint(3, 6) if blocked else rng.randint(0, 2)))
+        rows.append((i, f"http://{host}.net/{path}" + (f"?{query}" if query else ""), blocked))
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(5000, "http://x.net/" + "a/" * 50_000)], "page_id long, url string")
+    labelled = spark.createDataFrame([(u, b) for i, u, b in rows if i < 1000], "url string, blocked int")
+    got = {r.page_id: r.verdict for r in judge_urls(pages, labelled, []).collect()}
+    right = [(got[i] == "block") == bool(b) for i, _, b in rows if i >= 1000]
+    assert sum(right) / len(right) > 0.95 and got[5000] in ("allow", "block")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from vitrine.llm.common import keyed, unkeyed
 
 BLOCK, RATE, FRAMES, AHEAD = 192, 8000, 4096, 3
+#: Bytes of files that a task holds before it hands its rows on.
+HELD = 8 << 20
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, peak_pairs array<long>, feature string"
 
 
@@ -76,8 +78,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     given, kind = keyed(docs, id_col, text_col)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["id", *(x.split()[0] for x in SCHEMA.split(", ")), *["media"] * keep_media]
         for batch in batches:
-            out = []
+            out, size = [], 0
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 raw = text.encode()
                 stored = wav_bytes(padded(raw, block), rate)
@@ -86,7 +89,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 feature = f"{len(payload) // (block // 2) - 1}.{len(pairs)}.{hashlib.blake2b(pairs.tobytes(), digest_size=16).hexdigest()}"
                 row = (key, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), pairs, feature)
                 out.append((*row, stored) if keep_media else row)
-            names = ["id", *(x.split()[0] for x in SCHEMA.split(", ")), *["media"] * keep_media]
+                size += len(stored)
+                if size > HELD:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
             yield pd.DataFrame(out, columns=names)
 
     return unkeyed(given.mapInPandas(rows, f"id string, {SCHEMA}" + ", media binary" * keep_media), id_col, kind)

@@ -57,7 +57,7 @@ def projection(size: int, dims: int = 3) -> np.ndarray:
 
 
 def place(ids: np.ndarray, matrix: np.ndarray) -> list[int]:
-    """Grid cell of a bag of ids: the projected mean, scaled by the root of its size and squashed."""
+    """Grid cell of a bag of ids: the mean of their projections, squashed to the grid. So documents of like words lie near each other, whatever their length."""
     if not len(ids):
         return [0] * matrix.shape[1]
     v = matrix[ids].sum(axis=0) / len(ids)

@@ -41,7 +41,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents")).drop("peak_pairs")
+    return media_columns(table(spark, sf_dir, "documents"), keep_media=True)
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

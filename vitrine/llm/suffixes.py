@@ -13,8 +13,8 @@ bytes with a neighbour. A collection too large for one task is dealt out over se
 of its distinct strings and tasks then tells which strings other tasks hold as well.
 
 Null texts count as empty. Equal texts are handled once, as one text with several copies. Rows with equal
-ids stay apart. Texts shorter than ``length`` are kept whole; an empty table gives an empty one; columns
-other than id and text are not carried along.
+ids stay apart. Texts shorter than ``length`` are kept whole; an empty table gives an empty one. Columns other than
+the text are carried along; those with the name of a result column give way to it.
 """
 
 from __future__ import annotations

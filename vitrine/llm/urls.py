@@ -5,6 +5,8 @@ the rule's; the longest fitting rule decides. Everything else is scored by trees
 URLs: length, depth, digit ratio, entropy, parameter counts, and how often URLs under the same one, two
 or three last host labels were blocked among all labelled ones (out of fold while training).
 
+Columns other than id and URL are not carried along.
+
 A null URL, or one without ``://``, has an empty host and path and is judged by the trees. Without
 labels of both kinds every URL gets the only kind there is (allow if there is none). Repeated rows stay.
 """
