@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import text as X
 from vitrine.functions import values as V
-from vitrine.operators.core import first_per_key, numbered
+from vitrine.operators.core import first_per_key, numbered, top_per_key
 
 #: Fixed value: how a cached manifest is laid out, as far as it is read.
 MANIFEST = "title string, description string, cover_image string, items array<struct<title: string, image: struct<full_url: string, thumbnail_url: string, local_file: string, license: string>>>"
@@ -259,3 +259,19 @@ def schema_gaps(declared: DataFrame, existing: DataFrame) -> DataFrame:
 def same_keys(a: DataFrame, b: DataFrame) -> set[str]:
     """Columns that only one of two projections has: empty if the contract holds."""
     return set(a.columns) ^ set(b.columns)
+
+
+# searches ------------------------------------------------------------------------------------------------
+
+
+def first_strategy(found: DataFrame, query: str, strategy: str) -> DataFrame:
+    """Of each query's results those of the first strategy (a number) that found any."""
+    first = found.groupBy(query).agg(F.min(strategy).alias("__first"))
+    met = found.join(first.withColumnRenamed(query, "__q"), F.col(query).eqNullSafe(F.col("__q")) & (F.col(strategy) == F.col("__first")))
+    return met.drop("__q", "__first")
+
+
+def filtered_after_fetch(found: DataFrame, query: str, order: Sequence[Column], keep: Column, n: int, times: int = 3) -> DataFrame:
+    """Sources that can't filter are asked for ``times`` as many rows; of those the first ``n`` that fit are kept."""
+    fetched = top_per_key(found, [query], order, n * times, "__rank").drop("__rank")
+    return top_per_key(fetched.filter(keep), [query], order, n, "__rank").drop("__rank")

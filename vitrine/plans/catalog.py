@@ -210,3 +210,14 @@ def _(t):
     held = F.col("l_orderkey") % 10 == 0
     residuals = holdout_residuals(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), ["l_quantity"], "l_extendedprice", held)
     return residuals.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("residual"), 2).alias("mean_residual"))
+
+
+@query("s11_s17_first_strategy", "WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS strategy FROM events WHERE value > 60) SELECT user_id, event_id, CAST(strategy AS INTEGER) AS strategy FROM s QUALIFY strategy = min(strategy) OVER (PARTITION BY user_id)")
+def _(t):
+    kind = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "error", 1).otherwise(2)
+    return C.first_strategy(t.events.filter("value > 60").select("user_id", "event_id", kind.alias("strategy")), "user_id", "strategy")
+
+
+@query("s14_filter_after_fetch", "WITH f AS (SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 15) SELECT p_brand, p_partkey FROM f WHERE p_size % 2 = 0 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 5")
+def _(t):
+    return C.filtered_after_fetch(t.part, "p_brand", [F.col("p_partkey")], F.col("p_size") % 2 == 0, 5).select("p_brand", "p_partkey")
