@@ -201,3 +201,18 @@ def test_pipeline_runs(spark):
     packed = cp.run(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert len({r.doc_id for r in packed}) > 150 and {r.doc_id for r in packed} <= docs
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_ngram_jaccard"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from vitrine.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = db.execute(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert got.columns == [d[0] for d in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

@@ -69,4 +69,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_suffix_dedup, op3_ngram_jaccard, op4_media_columns, op5_document_fingerprints, op6_packing, op7_bpe, op8_html_wrappers, op9_token_shards, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators have no SQL: their digests rest on tokenizers, trained models, transforms or layouts.
+ORACLE_SQL: dict[str, str] = {
+    # bytes as two hexadecimal digits each, taken from blocks, as reaching far into a long text is slow
+    "op2_suffix_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, z, substr(h, 2 * z + 1, 2 * (1024 + 199)) AS q FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199, 1024)) AS z FROM t)),
+p AS (SELECT doc_id, z + i AS i, md5(substr(q, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, z, q, unnest(range(0, length(q) // 2 - 199)) AS i FROM b)),
+s AS (SELECT doc_id, i FROM p WHERE g IN (SELECT g FROM p GROUP BY g HAVING count(*) > 1)),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS head FROM s),
+r AS (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f),
+x AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
+y AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
+k AS (SELECT t.doc_id, h, coalesce(sum(b - a), 0) AS removed, count(a) AS runs, coalesce(max(b), 0) AS last, coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') AS kept FROM t LEFT JOIN y ON y.doc_id = t.doc_id GROUP BY t.doc_id, h)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(runs AS BIGINT) AS n_spans, sha256(unhex(kept || substr(h, 2 * last + 1))) AS kept_sha256 FROM k""",
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n m ON m.doc_id = x JOIN n o ON o.doc_id = y WHERE 100 * k >= 85 * (m.n + o.n - k)),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, l.y FROM r JOIN l ON l.x = r.c)
+SELECT r.d AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY r.d""",
+}
