@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import begin
 
 WORD = re.compile(r"[^\W\d_]+")
-HASHED, CACHE, SPAN, SLICE = 1 << 18, 300_000, 12, 200_000
+HASHED, CACHE, SPAN, SLICE, PIECE = 1 << 18, 300_000, 12, 200_000, 128
 
 
 def words_of(text: str) -> list[str]:
@@ -86,33 +86,66 @@ class Crf:
         return out
 
 
-def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Label marginals of every word of many texts, laid end to end: forward-backward over all texts at once, a step for each place."""
-    order = np.argsort(-lengths, kind="stable")
-    size = lengths[order]
-    first = (np.cumsum(lengths) - lengths)[order]
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def _passed(emit: np.ndarray, step: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each piece (its first word and size) how well each label at its first word goes with each at its last, up to a factor."""
+    order = np.argsort(-size, kind="stable")
+    whole = np.eye(emit.shape[1], dtype=emit.dtype) * emit[first[order]][:, None, :]
+    for t in range(1, int(size.max(initial=1))):
+        n = int((size > t).sum())
+        whole[:n] = _scaled((whole[:n] @ step) * emit[first[order[:n]] + t][:, None, :])
+    out = np.empty_like(whole)
+    out[order] = whole
+    return out
+
+
+def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Label marginals of every word of many texts (none empty), laid end to end, by forward-backward.
+
+    Texts are cut into pieces. What passes between labels at both ends of a piece is a matrix, so messages first go from piece to
+    piece, and then through all pieces of all texts at once, a step for each place. So a very long text takes few steps."""
+    if not len(lengths):
+        return np.empty_like(scores)
     emit = np.exp(scores - scores.max(axis=1, keepdims=True))
     step = np.exp(moves).astype(emit.dtype)
+    count = -(-lengths // piece)
+    offset = np.cumsum(count) - count
+    text = np.repeat(np.arange(len(lengths)), count)
+    place = np.arange(len(text)) - offset[text]
+    first = (np.cumsum(lengths) - lengths)[text] + place * piece
+    size = np.minimum(piece, lengths[text] - place * piece)
+    before, after = np.ones((len(text), emit.shape[1]), dtype=emit.dtype), np.ones((len(text), emit.shape[1]), dtype=emit.dtype)
+    most = int(count.max())
+    if most > 1:
+        several = np.flatnonzero(count[text] > 1)
+        passed = _passed(emit, step, first[several], size[several])
+        at = np.full(len(text), -1)
+        at[several] = np.arange(len(several))
+        for r in range(1, most):
+            own = offset[count > r] + r
+            before[own] = _scaled(np.einsum("ki,kij->kj", before[own - 1], passed[at[own - 1]]) @ step)
+        for r in range(most - 2, -1, -1):
+            own = offset[count > r + 1] + r
+            after[own] = _scaled(np.einsum("kij,kj->ki", passed[at[own + 1]], after[own + 1]) @ step.T)
+    order = np.argsort(-size, kind="stable")
+    first, before, after, size = first[order], before[order], after[order], size[order]
+    longest = int(size[0])
+    alive = np.searchsorted(-size, -np.arange(longest), side="left")  # pieces longer than t
     ahead, out = np.empty_like(emit), np.empty_like(emit)
-    longest = int(size[0]) if len(size) else 0
-    alive = np.searchsorted(-size, -np.arange(longest), side="left")  # texts longer than t
-    before = None
+    now = before
     for t in range(longest):
         at = first[: alive[t]] + t
-        now = emit[at] if before is None else (before[: alive[t]] @ step) * emit[at]
-        now /= now.sum(axis=1, keepdims=True)
-        ahead[at] = before = now
-    later = np.empty((0, emit.shape[1]), dtype=emit.dtype)
+        ahead[at] = now = _scaled((now if not t else now[: alive[t]] @ step) * emit[at])
+    later = after[:0]
     for t in range(longest - 1, -1, -1):
         n = alive[t]
         at = first[:n] + t
-        back = np.ones((n, emit.shape[1]), dtype=emit.dtype)
-        if len(later):
-            back[: len(later)] = later
-        p = ahead[at] * back
-        out[at] = p / p.sum(axis=1, keepdims=True)
-        later = (back * emit[at]) @ step.T
-        later /= later.sum(axis=1, keepdims=True)
+        back = np.concatenate([later, after[len(later) : n]])
+        out[at] = _scaled(ahead[at] * back)
+        later = _scaled((back * emit[at]) @ step.T)
     return out
 
 
