@@ -130,6 +130,8 @@ def test_whole_texts_and_rows(spark):
 
     from vitrine.functions.text import ARTICLES
 
+    import unicodedata
+
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(str(SF / "documents.parquet")).collect()}
     bare = lambda t, form: "".join(c for c in unicodedata.normalize(form, t) if not unicodedata.combining(c))
     to = str.maketrans("-–—", "   ")
