@@ -287,34 +287,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pressed = given.select(F.col("__k").alias("k"), F.col("__text").alias("text")).mapInPandas(press, "k binary, packed binary")
     texts = materialize(pressed.groupBy("k").agg(F.first("packed").alias("packed"), F.count("*").alias("copies")), "texts")
     spans = repeated_spans(texts, length, gram, together)
-    schema = "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         begin("suffix_dedup")
-        for batch in batches:
+        last, row = None, None
+        for texts, starts, ends in batches:
             out = []
-            for k, packed, s, e in zip(batch["k"], batch["packed"], batch["s"], batch["e"], strict=True):
-                raw, kept, at, removed, runs = unpacked(packed), [], 0, 0, 0
-                end = -1
-                if s is not None and len(s):
-                    order = np.argsort(s, kind="stable")
-                    opened = -1
-                    for a, b in zip(s[order].tolist(), e[order].tolist(), strict=True):
-                        if a > end:
-                            if opened >= 0:
-                                kept.append(raw[at:opened])
-                                removed, runs, at = removed + end - opened, runs + 1, end
-                            opened = a
-                        end = max(end, b)
-                    kept.append(raw[at:opened])
-                    removed, runs, at = removed + end - opened, runs + 1, end
-                kept.append(raw[at:])
-                left = b"".join(kept)
-                row = (k, len(raw), removed, runs, hashlib.sha256(left).hexdigest())
-                out.append((*row, left.decode("utf-8", "ignore")) if keep_text else row)
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    done = texts.join(spans, "k", "left").select("k", "packed", "s", "e").mapInPandas(cut, schema)
-    clash = [c for c in docs.columns if c in {x.split()[0] for x in schema.split(", ")[1:]} | {text_col}]
-    rest = given.drop("__text", *clash)
-    return rest.join(done.withColumnRenamed("k", "__k"), "__k").drop("__k")
+            for packed, s, e in zip(texts, starts, ends, strict=True):
+                # copies of a text stand together and are cut once
+                if packed != last:
+                    last, row = packed, without(unpacked(packed), s, e)
+                out.append((*row[:3], hashlib.sha256(row[3]).hexdigest(), row[3].decode("utf-8", "ignore")) if keep_text else (*row[:3], hashlib.sha256(row[3]).hexdigest()))
+            yield pd.DataFrame(out, columns=names)
+
+    clash = [c for c in docs.columns if c in {*names, text_col}]
+    rest = given.drop("__text", *clash).withColumnRenamed("__k", "k")
+    # all three are dealt by the text's key, so texts aren't shuffled again for their rows
+    spread = texts.drop("copies").withColumnRenamed("packed", "__packed").join(spans.withColumnsRenamed({"s": "__s", "e": "__e"}), "k", "left").join(rest, "k")
+    told = spread.withColumn("__cut", cut.asNondeterministic()("__packed", "__s", "__e"))
+    return told.select(*[c for c in rest.columns if c != "k"], "__cut.*")
+
+
+def without(raw: bytes, starts: np.ndarray | None, ends: np.ndarray | None) -> tuple[int, int, int, bytes]:
+    """Bytes of a text, how many the spans cover, in how many runs, and what is left."""
+    if starts is None or not len(starts):
+        return len(raw), 0, 0, raw
+    order = np.argsort(starts, kind="stable")
+    first, reach = starts[order], np.maximum.accumulate(ends[order])
+    heads = np.flatnonzero(np.append(True, first[1:] > reach[:-1]))
+    low, high = first[heads].tolist(), reach[np.append(heads[1:], len(first)) - 1].tolist()
+    left = b"".join(raw[a:b] for a, b in zip([0, *high], [*low, len(raw)], strict=True))
+    return len(raw), len(raw) - len(left), len(low), left
