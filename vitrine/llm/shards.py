@@ -24,17 +24,36 @@ from pyspark.sql import functions as F
 from vitrine.llm.bpe import encoder
 from vitrine.llm.common import begin, bucket_bounds, bucket_of, materialize, partitions, unkeyed
 
-SHARD_IDS, BITS = 1 << 20, 17
+SHARD_IDS, BITS = 1 << 20, 18
 #: A rule takes twelve bytes and saves about two at each use.
 LEAST, FACTOR = 6, 4
 SHARD = "bucket int, shard int, first_id long, n_ids long, terminals int, doc_ids array<string>, symbol_at array<int>, n_tokens array<int>, rules binary, expands binary, symbols binary, n_symbols int"
 
 
-def _apart(at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of ascending places of pairs, those that don't overlap: in runs of places in a row every other one, from the left."""
-    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    even = (np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0
-    return at[even], what[even]
+def _without_own_overlap(at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of ascending places of pairs stay if every other one of a pair that overlaps itself goes, from the left."""
+    heads = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1]))) if len(at) else np.empty(0, dtype=np.int64)
+    return (np.arange(len(at)) - np.repeat(heads, np.diff(heads, append=len(at)))) % 2 == 0
+
+
+def _chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of ascending places are replaced: none that overlap, those of a higher rank before their neighbours. Ranks of neighbours differ."""
+    chosen = np.zeros(len(at), dtype=bool)
+    left = np.arange(len(at))
+    for _ in range(4):
+        a, r = at[left], rank[left]
+        touch = a[1:] == a[:-1] + 1
+        best = np.ones(len(left), dtype=bool)
+        best[1:] &= ~touch | (r[1:] > r[:-1])
+        best[:-1] &= ~touch | (r[:-1] > r[1:])
+        chosen[left[best]] = True
+        free = ~best
+        free[1:] &= ~(touch & best[:-1])
+        free[:-1] &= ~(touch & best[1:])
+        left = left[free]
+        if not len(left):
+            break
+    return chosen
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,49 +62,52 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEA
     In the end no pair within documents can be replaced ``least`` times. Once pairs are taken down to ``least``, only pairs with a
     symbol of the last round can be new, so rounds look at these alone until a look at all pairs finds none."""
     seq, end, made = ids.astype(np.uint32), ends.copy(), []
-    floor, fresh = None, 0
+    floor, fresh, total = None, 0, 0
     while len(seq) > 1:
         inner = ~end[:-1]
+        # each pair as one number, the second symbol in the upper half, seen in place
+        code = np.ndarray(len(seq) - 1, "<u8", seq, 0, (4,))
         if fresh:
             new = seq >= fresh
             at = np.flatnonzero((new[:-1] | new[1:]) & inner)
-            code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
         else:
-            code = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
             # pairs are counted by a hash first: those in a bin under the floor are out without sorting
-            bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
+            bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).view(np.int64)
             bins[~inner] = 1 << BITS
             counts = np.bincount(bins, minlength=(1 << BITS) + 1)
             counts[1 << BITS] = 0
             floor = max(least, min(int(counts.max()), floor or len(seq)) // FACTOR)
-            at = np.flatnonzero(counts[bins] >= floor)
-            code = code[at]
+            at = np.flatnonzero((counts >= floor)[bins])
+        code = code[at]
         pairs, place, n = np.unique(code, return_inverse=True, return_counts=True)
         often = n[place] >= floor
         at, place = at[often], place[often]
-        apart, own = _apart(at, place)
-        paid = np.bincount(own, minlength=len(pairs)) >= least
-        if len(at) and not paid.any():
-            # pairs stand in each other's way: the most frequent that pays by itself
-            for best in np.argsort(-n, kind="stable")[: int((n >= floor).sum())]:
-                apart, own = _apart(at[place == best], place[place == best])
-                if len(own) >= least:
-                    paid[best] = True
-                    break
-        at, place = apart[paid[own]], own[paid[own]]
+        alone = _without_own_overlap(at, place)
+        at, place = at[alone], place[alone]
+        uses = np.bincount(place, minlength=len(pairs))
+        rank = np.empty(len(pairs), dtype=np.int64)
+        rank[np.argsort(uses, kind="stable")] = np.arange(len(pairs))
+        stay = uses[place] >= least
+        at, place = at[stay], place[stay]
+        # the pair of the highest rank keeps all its places, so each round with a pair that pays makes a rule
+        own = _chosen(at, rank[place])
+        at, place = at[own], place[own]
+        paid = np.bincount(place, minlength=len(pairs)) >= least
+        at, place = at[paid[place]], place[paid[place]]
         if not len(at):
             if not fresh and floor == least:
                 break
             fresh = 0
             continue
-        first = terminals + len(made)
+        first = terminals + total
         seq[at], end[at] = first + np.cumsum(paid)[place] - 1, end[at + 1]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq, end = seq[keep], end[keep]
-        made += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in pairs[paid]]
+        made.append(np.ascontiguousarray(pairs[paid]).view("<u4").reshape(-1, 2))
+        total += len(made[-1])
         fresh = first if floor == least else 0
-    return seq, np.array(made, dtype=np.uint32).reshape(-1, 2), end
+    return seq, np.concatenate([np.empty((0, 2), dtype=np.uint32), *made]), end
 
 
 def stored(symbols: np.ndarray) -> bytes:
