@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrine.llm.clusters import cluster
 from vitrine.llm.common import table
 from vitrine.llm.encode import bpe_round_trip
 from vitrine.llm.fingerprints import edited_fingerprints
@@ -11,7 +12,10 @@ from vitrine.llm.jaccard import near_duplicates
 from vitrine.llm.langid import identify
 from vitrine.llm.media import media_columns
 from vitrine.llm.packing import pack
+from vitrine.llm.quality import score_quality
+from vitrine.llm.ranked import search
 from vitrine.llm.shards import read_shards, write_shards
+from vitrine.llm.sql import RANKED, lloyd
 from vitrine.llm.suffixes import remove_repeats
 from vitrine.llm.urls import judge_urls, weak_labels
 from vitrine.llm.wrappers import main_texts
@@ -68,9 +72,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_suffix_dedup, op3_ngram_jaccard, op4_media_columns, op5_document_fingerprints, op6_packing, op7_bpe, op8_html_wrappers, op9_token_shards, op10_language_id)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, salt="3:")
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_suffix_dedup, op3_ngram_jaccard, op4_media_columns, op5_document_fingerprints, op6_packing, op7_bpe, op8_html_wrappers, op9_token_shards, op10_language_id, op11_centroid_clusters, op12_quality_classifier, op13_ranked_search)}
 #: The other operators have no SQL: their digests rest on tokenizers, trained models, transforms or layouts.
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clusters": lloyd(),
+    "op13_ranked_search": RANKED,
     # bytes as two hexadecimal digits each, taken from blocks, as reaching far into a long text is slow
     "op2_suffix_dedup": """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
