@@ -46,7 +46,7 @@ def test_held_out_accuracy_and_densities(spark):
     x = np.array([statistics(t) for _, t, _, _ in docs])
     learn = np.array([not out_of(i) for i, *_ in docs])
     y = np.array([truth[i] for i, *_ in docs])
-    centre, spread = x[learn].mean(axis=0), np.sqrt(np.maximum(x[learn].var(axis=0), 1e-12))
+    centre, spread = x[learn].mean(axis=0), np.sqrt(np.maximum(x[learn].var(axis=0), 1e-6))
     z, d, logs = (x - centre) / spread, len(NAMES), []
     covs = [np.cov(z[learn & (y == c)].T, bias=True) for c in (0, 1)]
     sizes = [(learn & (y == c)).sum() for c in (0, 1)]

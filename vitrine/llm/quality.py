@@ -133,7 +133,7 @@ def fit(by: dict[int, tuple[int, np.ndarray, np.ndarray]], shrink: float = SHRIN
     d, rows = len(NAMES), sum(n for n, _, _ in by.values())
     centre = sum(s for _, s, _ in by.values()) / rows
     total = sum(p for _, _, p in by.values()) / rows - np.outer(centre, centre)
-    spread = np.sqrt(np.maximum(np.diag(total), 1e-12))
+    spread = np.sqrt(np.maximum(np.diag(total), 1e-6))
     each = {}
     for c, (n, s, p) in by.items():
         mean = s / n
@@ -145,7 +145,7 @@ def fit(by: dict[int, tuple[int, np.ndarray, np.ndarray]], shrink: float = SHRIN
         n, mean, cov = each[c]
         own = n / (n + d)
         mixed = own * cov + (1 - own) * pooled
-        level = max(float(np.trace(mixed)) / d, 1e-6)
+        level = max(float(np.trace(mixed)) / d, 1e-3)
         factor = np.linalg.cholesky((1 - shrink) * mixed + shrink * level * np.eye(d))
         means.append(mean)
         factors.append(factor)
