@@ -156,3 +156,25 @@ def test_whole_texts_and_rows(spark):
     orders = spark.read.parquet(str(SF / "orders.parquet")).collect()
     got = {r.o_orderkey: (r.label, r.year, r.day) for r in plans.QUERIES["f23_f24_case_and_cut_whole"](spark, str(SF)).collect()}
     assert got == {r.o_orderkey: (" ".join(w.capitalize() for w in r.o_orderpriority[2:].split(" ")), f"{r.o_orderdate:%Y}", f"{r.o_orderdate:%Y-%m-%d}") for r in orders}
+
+
+def test_similarity_queries(spark):
+    part = spark.read.parquet(str(SF / "part.parquet")).collect()
+    counts = {}
+    for r in part:
+        counts[r.p_type] = counts.get(r.p_type, 0) + 1
+    want = {}
+    for a in counts:
+        best = min(((-likeness(a, b), b) for b in counts if b != a and likeness(a, b) >= 0.8), default=None)
+        want[a] = (counts[a], best and best[1], best and round(-best[0], 6))
+    assert {r["p_type"]: (r["parts"], r["likest"], r["score"]) for r in found(spark, "a10_best_title")} == want
+
+    score = {r["id"]: r["score"] for r in found(spark, "d01_relevance")}
+    key = lambda r: "|".join(re.sub("[^a-z0-9]+", " ", t.lower()).strip() for t in (r.p_name, r.p_brand))
+    kept, stay = {}, set()
+    for r in sorted(part, key=lambda r: (-score[r.p_partkey], r.p_partkey)):
+        own = kept.setdefault(r.p_brand, [])
+        if not any(likeness(key(r), k) >= 0.85 for k in own):
+            own.append(key(r))
+            stay.add((r.p_partkey, r.p_brand, score[r.p_partkey]))
+    assert {(r["id"], r["session"], r["score"]) for r in found(spark, "d02_leaders_by_score")} == stay

@@ -189,28 +189,33 @@ def artist_ok(want: Column, got: Column) -> Column:
 
 
 def _by_title(items: DataFrame, records: DataFrame) -> DataFrame:
-    """Items (id, title, artist) with the records (rid, rtitle, creator) of the same loose title; a flag ``own`` for those with the artist's surname."""
-    given = items.withColumn("__key", X.loose_title(F.col("title")))
-    kept = records.withColumn("__key", X.loose_title(F.col("rtitle")))
-    name = X.surname(F.lower(X.blank(F.col("artist"))))
-    return given.join(kept, "__key", "left").withColumn("own", F.coalesce((F.length(name) > 2) & F.lower(X.blank(F.col("creator"))).contains(name), F.lit(False)))
+    """Items (id, title, artist) with how many records (rid, rtitle, creator) have their loose title: ``n``, ``k`` those with the artist's surname, and the smallest rid of either, ``any`` and ``one``.
+
+    Titles meet once for each pair of different artists and creators, whatever number of items and records have them."""
+    given = items.withColumns({"__key": X.loose_title(F.col("title")), "__artist": F.lower(X.blank(F.col("artist")))})
+    kept = records.select(X.loose_title(F.col("rtitle")).alias("__key"), F.lower(X.blank(F.col("creator"))).alias("__creator"), "rid")
+    creators = kept.groupBy("__key", "__creator").agg(F.count("rid").alias("__n"), F.min("rid").alias("__rid"))
+    name = X.surname(F.col("__artist"))
+    own = F.coalesce((F.length(name) > 2) & F.col("__creator").contains(name), F.lit(False))
+    met = given.select("__key", "__artist").distinct().join(creators, "__key").withColumn("__own", own)
+    counts = met.groupBy("__key", "__artist").agg(F.sum("__n").alias("n"), F.sum(F.when(F.col("__own"), F.col("__n"))).alias("k"), F.min("__rid").alias("any"), F.min(F.when(F.col("__own"), F.col("__rid"))).alias("one"))
+    return given.join(counts, ["__key", "__artist"], "left").fillna(0, ["n", "k"]).drop("__artist")
 
 
 def lenient_match(items: DataFrame, records: DataFrame) -> DataFrame:
     """(id, verdict, rid): records of an item's title, those of its artist if there are any: one is a hit, several are ambiguous, none is a miss."""
-    counts = _by_title(items, records).groupBy("id").agg(F.count("rid").alias("n"), F.count_if("own").alias("k"), F.min("rid").alias("any"), F.min(F.when(F.col("own"), F.col("rid"))).alias("one"))
     left = F.when(F.col("k") > 0, F.col("k")).otherwise(F.col("n"))
     verdict = F.when(left == 0, "miss").when(left == 1, "hit").otherwise("ambiguous")
-    return counts.select("id", verdict.alias("verdict"), F.when(left == 1, F.coalesce("one", "any")).alias("rid"))
+    return _by_title(items, records).select("id", verdict.alias("verdict"), F.when(left == 1, F.coalesce("one", "any")).alias("rid"))
 
 
 def strict_match(items: DataFrame, records: DataFrame, score: Column, least: float = 0.60) -> DataFrame:
     """(id, rid, confidence) by accession if a record has it, else by title if just one record of that title is the artist's and its file's ``score`` (of item and record columns) reaches ``least``."""
     known = records.filter(filled(F.trim("inventory")).isNotNull()).groupBy(F.trim("inventory").alias("accession")).agg(F.min("rid").alias("rid"))
     exact = items.withColumn("accession", F.trim("accession")).join(known, "accession").select("id", "rid", F.lit("accession").alias("confidence"))
-    titled = _by_title(items.join(exact.select("id"), "id", "left_anti"), records).filter("own")
-    alone = titled.withColumn("__n", F.count("*").over(Window.partitionBy("id"))).filter("__n = 1")
-    return exact.unionByName(alone.filter(score >= least).select("id", "rid", F.lit("title").alias("confidence")))
+    alone = _by_title(items.join(exact.select("id"), "id", "left_anti"), records).filter("k = 1").withColumn("rid", F.col("one"))
+    titled = alone.join(records.withColumn("__key", X.loose_title(F.col("rtitle"))), ["rid", "__key"])
+    return exact.unionByName(titled.filter(score >= least).select("id", "rid", F.lit("title").alias("confidence")))
 
 
 def rewrite_or_park(items: DataFrame, matches: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -134,15 +135,25 @@ def leader_dedup(df: DataFrame, session: str, key: str, order: Sequence[str], le
     """In order, a row stays unless its key is similar to one that stays already. Sessions are bounded (a search's results) and independent."""
     from difflib import SequenceMatcher
 
+    def close(k: str, x: str, letters: Counter, others: Counter) -> bool:
+        """Equal texts are alike; the lengths and the letters that two texts share bound their ratio from above."""
+        size = len(k) + len(x)
+        if k == x:
+            return True
+        if 2 * min(len(k), len(x)) < least * size or 2 * (letters & others).total() < least * size:
+            return False
+        return SequenceMatcher(None, k, x).ratio() >= least
+
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
+        ordered = rows.sort_values(list(order))
+        kept: dict[str, Counter] = {}
         stay = []
-        for k in rows.sort_values(list(order))[key]:
-            close = any(SequenceMatcher(None, k, x).ratio() >= least for x in kept if k and x)
-            stay.append(not close)
-            if not close:
-                kept.append(k)
-        return rows.sort_values(list(order))[stay]
+        for k in ordered[key]:
+            letters = Counter(k or "")
+            stay.append(not k or not (k in kept or any(close(k, x, letters, others) for x, others in kept.items())))
+            if stay[-1] and k:
+                kept[k] = letters
+        return ordered[stay]
 
     return df.groupBy(session).applyInPandas(keep, df.schema)
 

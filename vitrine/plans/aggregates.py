@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import values as V
 from vitrine.operators import core as O
+from vitrine.operators.alike import alike, best_alike
 from vitrine.plans.registry import query
 
 
@@ -44,18 +45,20 @@ def _(t):
 
 @query("a09_a10_best_similarity")
 def _(t):
-    """For each supplier the most similar brand name of at least 0.1; the larger of equally similar names. No SQL engine has this ratio: a test holds it against difflib.
+    """For each supplier the most similar brand name of at least 0.1; the larger of equally similar names. No SQL engine has this ratio: a test holds it against difflib."""
+    pairs = alike(t.supplier.select(F.lower("s_name").alias("a")), t.part.select(F.lower("p_brand").alias("b")), "a", "b", 0.1)
+    names = t.part.select("p_brand", F.lower("p_brand").alias("b")).distinct()
+    best = pairs.join(names, "b").groupBy("a").agg(F.max_by("p_brand", F.struct("score", "p_brand")).alias("brand"), F.round(F.max("score"), 6).alias("score"))
+    return t.supplier.select("s_suppkey", F.lower("s_name").alias("a")).join(best, "a").select("s_suppkey", "brand", "score")
 
-    Names that share no letter have no similarity, so pairs meet by a letter; each distinct pair of names is judged once."""
-    from vitrine.functions.text import ratio
 
-    letters = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != "")))
-    names = t.supplier.select(F.lower("s_name").alias("a")).distinct().select("a", letters(F.col("a")).alias("letter"))
-    brands = t.part.select("p_brand").distinct().select("p_brand", letters(F.lower("p_brand")).alias("letter"))
-    pairs = names.join(brands, "letter").select("a", "p_brand").distinct()
-    scored = pairs.withColumn("score", ratio("a", F.lower("p_brand"))).filter("score >= 0.1")
-    best = scored.groupBy("a").agg(F.max_by("p_brand", F.struct("score", "p_brand")).alias("brand"), F.round(F.max("score"), 6).alias("score"))
-    return t.supplier.select("s_suppkey", F.lower("s_name").alias("a")).join(best, "a").select("s_suppkey", "brand", "score")
+@query("a10_best_title")
+def _(t):
+    """For each kind of part the most similar other kind of at least 0.8, the first of equally similar ones, and how many parts it has. Each pair of kinds is compared once at most. No SQL: a test runs all pairs."""
+    kinds = t.part.groupBy("p_type").agg(F.count("*").alias("parts"))
+    pairs = alike(kinds, kinds, "p_type", "p_type", 0.8).filter("p_type <> p_type_2")
+    best = best_alike(pairs, "p_type", "p_type_2")
+    return kinds.join(best, "p_type", "left").select("p_type", "parts", F.col("p_type_2").alias("likest"), F.round("score", 6).alias("score"))
 
 
 @query("a12_sources_line", "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS sources FROM orders GROUP BY o_custkey")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import text as X
 from vitrine.functions import values as V
 from vitrine.operators import core as O
+from vitrine.operators.alike import leaders
 from vitrine.plans.registry import query
 from vitrine.plans.scalars import _snap_sql
 
@@ -131,6 +132,14 @@ def _(t):
     return O.leader_dedup(items, "session", "key", ["id"])
 
 
+@query("d02_leaders_by_score")
+def _(t):
+    """All of part, a session for each brand, best relevance first: sessions grow with the table and are not cut. No SQL: a test runs the plain loop."""
+    items = _items(t).withColumns({"score": O.relevance("Brand#11", "red Brand#11"), "key": X.item_key(F.col("proposed_title"), F.col("proposed_artist"))})
+    named = items.select("id", F.col("proposed_artist").alias("session"), "score", "key")
+    return leaders(named, "session", "key", [-F.col("score"), F.col("id")]).select("id", "session", "score")
+
+
 @query("d03_keyed_dedup", "SELECT arg_max(p_partkey, (p_size, -p_partkey)) AS p_partkey FROM part GROUP BY p_name, p_brand")
 def _(t):
     best = O.first_per_key(t.part, ["p_name", "p_brand"], [F.desc("p_size"), F.col("p_partkey")])
