@@ -64,8 +64,12 @@ def range_cuts(df: DataFrame, by: Column, n: int) -> list:
 
 
 def range_of(by: Column, cuts: Sequence) -> Column:
-    """How many cuts are below the value; nulls come first."""
-    return F.when(by.isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < by))) if cuts else F.lit(0)
+    """How many cuts are below the value, by binary search; nulls come first."""
+    if not cuts:
+        return F.lit(0)
+    listed, steps = F.array(*map(F.lit, cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    further = lambda p, s: F.when((p + s <= len(cuts)) & (F.get(listed, p + s - 1) < by), p + s).otherwise(p)
+    return F.when(by.isNull(), 0).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further))
 
 
 def ranges(df: DataFrame) -> int:
@@ -73,12 +77,34 @@ def ranges(df: DataFrame) -> int:
     return min(1000, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], by: Column, order: Sequence[Column], name: str) -> DataFrame:
+def in_ranges(df: DataFrame, by: Column, then: Column | None = None, name: str = "__r") -> DataFrame:
+    """``df`` with the number of each row's range, in ascending order of ``by`` and, among its frequent values, of ``then``.
+
+    A value that alone spans several quantiles is cut again by quantiles of ``then``, so ties don't make a large range."""
+    n = ranges(df)
+    found = df.agg(F.percentile_approx(by, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else None
+    spans = Counter(found or [])
+    cuts = sorted(spans)
+    heavy = {v: k for v, k in spans.items() if k > 1} if then is not None else {}
+    place = range_of(by, cuts)
+    if not heavy:
+        return df.withColumn(name, place.cast("double"))
+    rows = df.select(by.alias("v"), then.alias("t")).filter(F.col("v").isin(list(heavy)))
+    most = max(heavy.values()) + 1
+    inner = {r["v"]: sorted(set(r["q"] or [])) for r in rows.groupBy("v").agg(F.percentile_approx("t", [i / most for i in range(1, most)], 10_000).alias("q")).collect()}  # a row for each heavy value, at most n / 2
+    share = F.lit(0.0)
+    for v, cut in sorted(inner.items()):
+        share = F.when(by == F.lit(v), range_of(then, cut) / F.lit(float(len(cut) + 1))).otherwise(share)
+    return df.withColumn(name, place + share)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], by: Column, order: Sequence[Column], name: str, then: Column | None = None) -> DataFrame:
     """``df`` with the place of each row among those of its keys, from 1, for keys with any number of rows.
 
-    ``order`` begins with ``by``, a number. Rows are cut into ranges of it by quantiles of all rows; a window numbers each range
-    of a key, and the rows of the key's earlier ranges, one count each, are added. So no task sorts a whole key."""
-    cut = df.withColumn("__r", range_of(by, range_cuts(df, by, ranges(df))))
+    ``order`` begins with ``by``, a number, and goes on with ``then``, another one, if many rows may have one value of ``by``. Rows are
+    cut into ranges by quantiles of all rows; a window numbers each range of a key, and the rows of the key's earlier ranges, one
+    count each, are added. So no task sorts a whole key."""
+    cut = in_ranges(df, by, then)
     counts = cut.groupBy(*keys, "__r").agg(F.count("*").alias("__c"))
     earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*keys, "__r", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__b"))
@@ -161,7 +187,8 @@ def leader_dedup(df: DataFrame, session: str, key: str, order: Sequence[str], le
 def weighted_order(df: DataFrame, group: str, weight: Column, seed: int = 7) -> DataFrame:
     """A whole bag drawn without replacement: descending log(u) / weight, with u from a hash of the row's id."""
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    return df.withColumn("draw", F.row_number().over(Window.partitionBy(group).orderBy(F.log(u) / F.greatest(F.lit(0.1), weight) * -1, "id")))
+    turn = F.log(u) / F.greatest(F.lit(0.1), weight) * -1
+    return numbered(df, [group], turn, [turn, F.col("id")], "draw")
 
 
 def least_squares(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, float]:

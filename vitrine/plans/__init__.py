@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, with the SQL that each equals."""
 
-from vitrine.plans import aggregates, catalog, joins, manifests, ranking, scalars, scans  # noqa: F401
+from vitrine.plans import aggregates, assembly, catalog, joins, manifests, ranking, scalars, scans  # noqa: F401
 from vitrine.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from vitrine.functions import text as X
 from vitrine.functions import values as V
 from vitrine.operators import core as O
+from vitrine.operators import segments as G
 from vitrine.operators.alike import leaders
 from vitrine.plans.registry import query
 from vitrine.plans.scalars import _snap_sql
 
 
+def _by_time():
+    return [F.col("ts"), F.col("event_id")]
+
+
 @query("w01_stable_rank", "SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 10 THEN p_size ELSE 0 END DESC, p_partkey) AS INTEGER) AS place FROM part")
 def _(t):
     rank = F.coalesce(F.when(F.col("p_size") > 10, F.col("p_size")), F.lit(0))
-    return O.numbered(t.part, ["p_brand"], -rank, [rank.desc(), F.col("p_partkey")], "place").select("p_brand", "p_partkey", F.col("place").cast("int").alias("place"))
+    return O.numbered(t.part, ["p_brand"], -rank, [rank.desc(), F.col("p_partkey")], "place", then=F.col("p_partkey")).select("p_brand", "p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query("w02_w03_w04_weights", "SELECT p_partkey, CAST(i AS INTEGER) AS i, round(0.5 + (n - i) / CAST(greatest(n, 1) AS DOUBLE) * 0.5, 3) AS weight, round(0.5 + p_size / 100.0, 3) AS seed FROM (SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)")
@@ -30,8 +35,7 @@ def _(t):
 @query("w05_cursor", "SELECT event_id, CAST((sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) % 7 + 7) % 7 AS BIGINT) AS place FROM events")
 def _(t):
     step = F.when(F.col("event_type") == "error", -1).otherwise(1)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.pmod(F.sum(step).over(w), F.lit(7)).alias("place"))
+    return G.running_sum(t.events.select("event_id", "user_id", "ts", "event_type"), ["user_id"], G.micros("ts"), _by_time(), step, "n", "event_id").select("event_id", F.pmod("n", F.lit(7)).alias("place"))
 
 
 @query("w06_w07_first_wins", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -48,25 +52,20 @@ def _(t):
 
 @query("w09_w15_error_streaks", "SELECT event_id, CAST(streak AS BIGINT) AS streak, CASE WHEN streak = 0 THEN 'ok' WHEN streak >= 6 THEN 'reboot' WHEN streak >= 3 THEN 'restart' ELSE 'wait' END AS action, CAST(CASE WHEN streak = 0 THEN 0 ELSE least(60, 5 * pow(2, streak - 1)) END AS BIGINT) AS pause FROM (SELECT event_id, sum(bad) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM (SELECT event_id, user_id, ts, CASE WHEN event_type IN ('error', 'view') THEN 1 ELSE 0 END AS bad, sum(CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events))")
 def _(t):
-    bad = F.col("event_type").isin("error", "view").cast("int")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = t.events.withColumns({"bad": bad, "island": F.sum(1 - bad).over(w)})
-    s = F.sum("bad").over(Window.partitionBy("user_id", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("streak", s)
+    e = G.streaks(t.events.select("event_id", "user_id", "ts", "event_type"), ["user_id"], G.micros("ts"), _by_time(), F.col("event_type").isin("error", "view"), "streak", "event_id")
     return e.select("event_id", "streak", F.when(F.col("streak") == 0, "ok").when(F.col("streak") >= 6, "reboot").when(F.col("streak") >= 3, "restart").otherwise("wait").alias("action"), F.when(F.col("streak") == 0, F.lit(0)).otherwise(V.backoff(5, F.col("streak"), 60)).alias("pause"))
 
 
 @query("w11_w12_changes", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before")
 def _(t):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.withColumn("before", before).filter(~F.col("event_type").eqNullSafe(F.col("before"))).select("event_id")
+    found = G.previous(t.events.select("event_id", "user_id", "ts", "event_type"), ["user_id"], G.micros("ts"), _by_time(), F.col("event_type"), "before", "event_id")
+    return found.filter(~F.col("event_type").eqNullSafe(F.col("before.value"))).select("event_id")
 
 
 @query("w14_trailing_count", "SELECT event_id, CAST(least(3, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW)) AS BIGINT) AS n FROM events")
 def _(t):
-    second = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    w = Window.partitionBy("user_id").orderBy(second).rangeBetween(-1800, 0)
-    return t.events.select("event_id", F.least(F.lit(3), F.count("*").over(w)).alias("n"))
+    counted = G.trailing_counts(t.events.select("event_id", "user_id", "ts"), ["user_id"], G.micros("ts"), 1_800_000_000, "n")
+    return counted.select("event_id", F.least(F.lit(3), "n").alias("n"))
 
 
 @query("t02_t03_top_of_pool", "SELECT p_partkey, p_size FROM part WHERE p_type LIKE '%BRASS%' ORDER BY p_size DESC, p_partkey LIMIT 40")
