@@ -98,8 +98,9 @@ def _(t):
 
 @query("k06_append_positions", "SELECT l_partkey, l_orderkey, l_linenumber, CAST(100 + row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS BIGINT) AS display_order FROM lineitem WHERE l_quantity > 45")
 def _(t):
-    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))
-    return t.lineitem.filter("l_quantity > 45").select("l_partkey", "l_orderkey", "l_linenumber", (n + 99).cast("long").alias("display_order"))
+    new = t.lineitem.filter("l_quantity > 45").select("l_partkey", "l_orderkey", "l_linenumber")
+    placed = O.numbered(new, ["l_partkey"], F.col("l_orderkey"), [F.col("l_orderkey"), F.col("l_linenumber")], "n", then=F.col("l_linenumber"))
+    return placed.select("l_partkey", "l_orderkey", "l_linenumber", (F.col("n") + 99).cast("long").alias("display_order"))
 
 
 @query("k07_bulk_counters", "SELECT CAST(count(*) FILTER (WHERE c_custkey IS NOT NULL) AS BIGINT) AS added, CAST(count(*) FILTER (WHERE c_custkey IS NULL) AS BIGINT) AS failed FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey")
