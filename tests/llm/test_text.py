@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from vitrine.llm.langid import fit, identify, label_documents, labelled_sample, marginals
+from vitrine.llm.langid import fit, identify, label_documents, labelled_sample, marginals, labelled_sample
 from vitrine.llm.wrappers import Token, align, constants, extract, fold_repeats, main_texts, matching, skeleton, slots
 
 
@@ -144,3 +144,13 @@ def test_every_language_is_learned(spark):
     assert {x: langs.count(x) for x in langs} == {f"l{k:02}": 5 for k in range(90)} and len(texts) == 450
     _, few = labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 10)
     assert sorted(few) == [f"l{k:02}" for k in range(90)]
+
+
+def test_rows_without_an_id_teach_nothing(spark):
+    rows = [(i, f"the of and {i}", "en", 1) for i in range(40)] + [(None, f"der die und {i}", "de", 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").selectExpr("*", "false as held_out", "'x' as lang_pred")
+    texts, langs = labelled_sample(docs, "doc_id", "text", "lang", 1600)
+    assert set(langs) == {"en"} and not any("der" in t for t in texts)
+    got = identify(docs, max_docs=10, max_words=50).collect()
+    assert len(got) == 80 and {r.lang_pred for r in got} == {"en"} and not any(r.held_out for r in got if r.doc_id is None)
+    assert len(labelled_sample(docs, "doc_id", "text", "lang", 10)[0]) == 10

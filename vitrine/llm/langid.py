@@ -207,7 +207,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     Every language has one at least, so more languages than ``max_docs`` give one document each. Counts by language and
     the hash's leading bits name the last bits that each language needs; only documents up to these are ranked."""
-    can = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("out"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter("lang is not null and text is not null and not out and h is not null").withColumn("bits", F.shiftright("h", 48))
+    can = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("out"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter("lang is not null and text is not null and not out").withColumn("bits", F.shiftright("h", 48))
     share = max(1, max_docs // max(1, can.select("lang").distinct().count()))
     by_bits = can.groupBy("lang", "bits").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("bits")) - F.col("n")
@@ -280,13 +280,13 @@ def label_documents(docs: DataFrame, crf: Crf | None, text_col: str = "text", ke
     return told.select(*[F.col(c) for c in docs.columns if c not in names], *[F.col(f"__told.{x}").alias(x) for x in names])
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1600) -> Crf | None:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1600, max_words: int = 150_000) -> Crf | None:
     texts, langs = labelled_sample(docs, id_col, text_col, lang_col, max_docs)
-    return fit(texts, langs) if texts else None
+    return fit(texts, langs, max_words=max_words) if texts else None
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1600) -> DataFrame:
-    """A row for each document: id, held_out, lang_pred, score; other columns are not carried along. Learns from at most ``max_docs`` documents that aren't held out."""
-    crf = learn(docs, id_col, text_col, lang_col, max_docs)
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1600, max_words: int = 150_000) -> DataFrame:
+    """A row for each document: id, held_out, lang_pred, score; other columns are not carried along. Learns from at most ``max_docs`` documents that aren't held out, and ``max_words`` of their words."""
+    crf = learn(docs, id_col, text_col, lang_col, max_docs, max_words)
     given = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text"))
     return label_documents(given, crf, "__text").drop("__text")
