@@ -43,13 +43,11 @@ LOOSE = r"""trim(regexp_replace(regexp_replace(trim(regexp_replace(translate(str
 
 
 @query("f04_match_form", f"SELECT doc_id, {FORM} AS form FROM documents")
-@query("f04_match_form_whole", f"SELECT doc_id, {FORM} AS form FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.match_form(F.col("text")).alias("form"))
 
 
 @query("f05_loose_title", f"SELECT doc_id, {LOOSE} AS form FROM documents")
-@query("f05_loose_title_whole", f"SELECT doc_id, {LOOSE} AS form FROM documents")
 def _(t):
     return t.documents.select("doc_id", X.loose_title(F.col("text")).alias("form"))
 
@@ -68,7 +66,6 @@ WORK = "SELECT doc_id, lower(trim(split_part(split_part(coalesce(text, ''), '(',
 
 
 @query("f08_work_key", WORK)
-@query("f08_work_key_whole", WORK)
 def _(t):
     return t.documents.select("doc_id", X.work_key(F.col("text")).alias("work"))
 
@@ -103,6 +100,7 @@ def _(t):
     return t.pages.select("page_id", F.length(plain).cast("long").alias("n_chars"), F.md5(plain).alias("digest"))
 
 
+# the patterns of this SQL are fixed values, those of ``MARKDOWN``
 @query("f14_without_markdown", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '__([^_]+)__', '\1', 'g'), '_([^_]+)_', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}\s+', '', 'g')) AS digest FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.md5(X.without_markdown(F.col("text"))).alias("digest"))
@@ -137,7 +135,6 @@ TAGS = "SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(coal
 
 
 @query("f20_title_tags", TAGS)
-@query("f20_title_tags_whole", TAGS)
 def _(t):
     return t.documents.select("doc_id", F.array_join(X.title_tags(F.col("text")), " ").alias("tags"))
 
@@ -157,7 +154,6 @@ CASES = "SELECT o_orderkey, array_to_string(list_transform(string_split(substr(o
 
 
 @query("f23_f24_case_and_cut", CASES)
-@query("f23_f24_case_and_cut_whole", CASES)
 def _(t):
     """All orders, those whose priority has several words too."""
     return t.orders.select("o_orderkey", F.initcap(F.substring("o_orderpriority", 3, 1 << 30)).alias("label"), F.substring(F.col("o_orderdate").cast("string"), 1, 4).alias("year"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("day"))
