@@ -1,4 +1,4 @@
-"""Changes committed to several tables at once in the shared folder, and what is read back."""
+"""Changes committed to several tables at once in the shared folder, and what is read back; S23, S24: harvests with a cap and with commits."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import changes as C
 from vitrine.operators.lineage import shared_folder
 from vitrine.plans.registry import query
+from vitrine.sources import harvest as H
 from vitrine.sources.versions import Versions
 
 
@@ -58,3 +59,32 @@ def _(t):
     store.commit({"items": done["items"], "index": done["index"]}, {"parked": done["parked"]}, note="plan")
     shown = lambda name, at, said: store.read(name).select(F.lit(name).alias("kind"), "collection", F.col(at).alias("item_index"), F.col(said).alias("said"))
     return shown("items", "item_index", "source_url").unionByName(shown("parked", "item_index", "reason")).unionByName(shown("index", "count", "cover_thumbnail"))
+
+
+@query("s23_capped_tree", "SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(node AS VARCHAR) AS category, CAST(floor(log2(node)) AS INTEGER) AS depth, CAST(place AS BIGINT) AS place FROM (SELECT *, row_number() OVER (ORDER BY node, p_partkey) AS place FROM (SELECT p_partkey, p_partkey % 100 + 1 AS node FROM part) WHERE node <= (SELECT count(*) FROM supplier) AND node < 32) WHERE place <= 500")
+def _(t):
+    """A tree over supplier numbers, the children of n are 2n and 2n + 1; parts are files. Breadth first is then the order of numbers."""
+    node = F.col("s_suppkey") + 1
+    edges = t.supplier.select(node.alias("n")).filter("n > 1").select(F.floor(F.col("n") / 2).cast("string").alias("parent"), F.col("n").cast("string").alias("child"), (F.col("n") % 2).alias("pos"))
+    files = t.part.select((F.col("p_partkey") % 100 + 1).cast("string").alias("category"), F.col("p_partkey").cast("string").alias("file"), F.col("p_partkey").alias("pos"))
+    return H.crawl(edges, files, "1", 4, 500)
+
+
+HARVESTED = """WITH h AS (SELECT *, o_orderkey % 4 AS q FROM orders WHERE o_totalprice > 20000), f AS (SELECT o_custkey, arg_min(o_orderkey, (q, o_orderkey)) AS o_orderkey FROM h GROUP BY o_custkey)
+SELECT f.o_orderkey, c_name, CASE WHEN greatest(c_custkey % 90, c_nationkey) < 20 THEN 'small' WHEN least(c_custkey % 90, c_nationkey) = 0 OR greatest(c_custkey % 90, c_nationkey) > 2.5 * least(c_custkey % 90, c_nationkey) THEN 'aspect' END AS reason FROM f JOIN customer ON c_custkey = f.o_custkey"""
+
+
+@query("s24_resumed_harvest", HARVESTED)
+def _(t):
+    """Four queries find orders, the first of each customer is a candidate; a run resolves one batch, a second one the rest. Which is what one run gives."""
+    o = t.orders.select((F.col("o_orderkey") % 4).alias("query"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").cast("string").alias("master"), "o_totalprice")
+    found, _ = H.candidates(o, F.col("o_totalprice") <= 20000, 1 << 40)
+    people = t.customer.select(F.col("c_custkey").cast("string").alias("master"), "c_name", (F.col("c_custkey") % 90).alias("width"), F.col("c_nationkey").alias("height"))
+
+    def resolved(batch):
+        return batch.join(people, "master").select(F.col("pos").alias("o_orderkey"), "c_name", H.size_reason(F.col("width"), F.col("height"), 20, 2.5).alias("reason"))
+
+    store = Versions(t.spark, f"{shared_folder(t.spark)}/harvest-{uuid.uuid4().hex}")
+    H.resolve(store, found, resolved, 4000, most_batches=1)
+    H.resolve(store, None, resolved, 4000)
+    return store.read("resolved")
