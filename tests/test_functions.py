@@ -74,3 +74,14 @@ def test_fold_and_places(spark):
         assert [r.place for r in sorted(placed, key=lambda r: r.n) if r.k == k] == list(range(1, 1 + sum(r.k == k for r in placed)))
     assert O.numbered(df.limit(0).select("k", "n"), ["k"], F.col("n"), [F.col("n")], "place").count() == 0
     assert O.clamped_fold(df.limit(0), "k", ["ts", "n"], F.col("skip"), F.col("sec")).count() == 0
+
+
+def test_pixel_statistics(spark):
+    from vitrine.operators.core import pixel_statistics
+
+    rows = [("a", x) for x in (0.0, 0.5, 255.0, 256.0, -3.0, 300.0, None, float("nan"))] + [("b", None), (None, 7.0)]
+    got = {r.k: r for r in pixel_statistics(spark.createDataFrame(rows, "k string, x double"), ["k"], F.col("x"), 0, 256, over=200).collect()}
+    a = got["a"]
+    assert a.n == 6 and sum(a.histogram) == 6 and (a.histogram[0], a.histogram[255]) == (3, 3) and a.share_over == 0.5
+    assert abs(a.mean - 808.5 / 6) < 1e-9 and abs(a.deviation - (sum((x - 808.5 / 6) ** 2 for _, x in rows[:6]) / 6) ** 0.5) < 1e-9
+    assert (got["b"].n, got["b"].mean, sum(got["b"].histogram)) == (0, None, 0) and got[None].histogram[7] == 1

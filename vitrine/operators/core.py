@@ -191,6 +191,24 @@ def weighted_order(df: DataFrame, group: str, weight: Column, seed: int = 7) ->
     return numbered(df, [group], turn, [turn, F.col("id")], "draw")
 
 
+def pixel_statistics(df: DataFrame, keys: Sequence[str], value: Column, low: float, high: float, bins: int = 256, over: float | None = None) -> DataFrame:
+    """(keys, n, mean, deviation, share_over, histogram) of a number, in one pass over the rows.
+
+    Rows are added up by bin, so tasks hand on at most ``bins`` rows of a key whatever its size, and these make the key's array of counts.
+    Bins are even from ``low`` to ``high``; what lies outside counts in the outer ones. Nulls and NaN count nowhere; a key of nothing else has n 0,
+    nulls and an empty histogram of zeros. The deviation is that of all rows, not of a sample."""
+    v = F.when(~F.isnan(value.cast("double")), value.cast("double"))
+    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v - low) * (bins / (high - low))))).cast("int")
+    sums = df.select(*keys, v.alias("__v"), F.when(v.isNotNull(), place).alias("__b")).groupBy(*keys, "__b").agg(F.count("__v").alias("__n"), F.sum("__v").alias("__s"), F.sum(F.col("__v") * F.col("__v")).alias("__q"), F.count_if(F.col("__v") > (high if over is None else over)).alias("__o"))
+    counts = F.map_from_entries(F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__n"))))
+    each = sums.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__s").alias("__s"), F.sum("__q").alias("__q"), F.sum("__o").alias("__o"), counts.alias("__c"))
+    n = F.nullif("n", F.lit(0))
+    mean = F.col("__s") / n
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("__q") / n - mean * mean))
+    histogram = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at("__c", i), F.lit(0).cast("long")))
+    return each.select(*keys, "n", mean.alias("mean"), deviation.alias("deviation"), (F.col("__o") / n).alias("share_over"), histogram.alias("histogram"))
+
+
 def least_squares(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, float]:
     """Coefficients (the intercept first) and R squared from one aggregate of products; only k x k sums reach the driver."""
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]

@@ -115,6 +115,29 @@ def _(t):
     return t.events.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("spread"), F.round(100.0 * F.avg(F.when(F.col("value") > 10, 1).otherwise(0)), 4).alias("percent"))
 
 
+def _histogram_sql(rows: str, key: str, value: str, low: float, high: float, over: float) -> str:
+    return f"""WITH r AS ({rows}), b AS (SELECT {key} AS key, CAST({value} AS DOUBLE) AS v, greatest(0, least(255, CAST(floor((CAST({value} AS DOUBLE) - ({low})) * (256 / ({high} - ({low})))) AS INTEGER))) AS bin FROM r),
+c AS (SELECT key, bin, count(*) AS k FROM b GROUP BY key, bin), k AS (SELECT key, range(256) AS ids FROM b GROUP BY key),
+h AS (SELECT k.key, string_agg(coalesce(c.k, 0), ',' ORDER BY i) AS histogram FROM (SELECT key, unnest(ids) AS i FROM k) k LEFT JOIN c ON c.key = k.key AND c.bin = i GROUP BY k.key)
+SELECT b.key, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS deviation, round(count(*) FILTER (WHERE v > {over}) / CAST(count(*) AS DOUBLE), 6) AS share_over, any_value(histogram) AS histogram FROM b JOIN h ON h.key = b.key GROUP BY b.key"""
+
+
+def _shown(found):
+    return found.select("key", "n", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), F.round("share_over", 6).alias("share_over"), F.array_join(F.transform("histogram", lambda x: x.cast("string")), ",").alias("histogram"))
+
+
+@query("a21_price_histogram", _histogram_sql("SELECT l_returnflag, l_extendedprice FROM lineitem", "l_returnflag", "l_extendedprice", 0.0, 100000.0, 20000))
+def _(t):
+    return _shown(O.pixel_statistics(t.lineitem.select(F.col("l_returnflag").alias("key"), "l_extendedprice"), ["key"], F.col("l_extendedprice"), 0.0, 100000.0, over=20000))
+
+
+@query("a21_component_histogram", _histogram_sql("SELECT label, unnest(embedding) AS x FROM embeddings", "label", "x", -0.5, 0.5, 0.2))
+def _(t):
+    """Components of a label's vectors in place of the lightness of a picture's pixels."""
+    pixels = t.embeddings.select(F.col("label").alias("key"), F.explode("embedding").alias("x"))
+    return _shown(O.pixel_statistics(pixels, ["key"], F.col("x"), -0.5, 0.5, over=0.2))
+
+
 @query("a22_gamma", "SELECT p_partkey, round(1.4 + 0.1 * greatest(0.0, least(1.0, (p_size - 10.0) / 15.0)), 6) AS gamma FROM part")
 def _(t):
     return t.part.select("p_partkey", F.round(V.gamma_of(F.col("p_size")), 6).alias("gamma"))
