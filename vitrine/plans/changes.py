@@ -1,4 +1,4 @@
-"""Changes committed to several tables at once in the shared folder, and what is read back; S23, S24: harvests with a cap and with commits."""
+"""Changes committed to several tables at once in the shared folder, and what is read back; S23, S24: harvests with a cap and with commits; S27, K03: archives."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import changes as C
 from vitrine.operators.lineage import shared_folder
 from vitrine.plans.registry import query
+from vitrine.sources import archives as A
 from vitrine.sources import harvest as H
 from vitrine.sources.versions import Versions
 
@@ -88,3 +89,15 @@ def _(t):
     H.resolve(store, found, resolved, 4000, most_batches=1)
     H.resolve(store, None, resolved, 4000)
     return store.read("resolved")
+
+
+@query("s27_k03_archives", "SELECT 'c' || doc_id % 8 AS collection, doc_id || '.txt' AS member, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def _(t):
+    """Documents as members of eight collections' archives: written with digests, verified, and read back in pieces."""
+    i = F.col("doc_id")
+    files = t.documents.select(F.concat(F.lit("c"), i % 8).alias("collection"), F.concat(i, F.lit(".txt")).alias("member"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    path = f"{shared_folder(t.spark)}/archives-{uuid.uuid4().hex}"
+    A.write_archives(A.sliced(files, 5000), path)
+    pieces = A.installed(t.spark, path).groupBy("archive", "member").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("piece", "content"))).alias("p"))
+    whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x.content))
+    return pieces.select(F.regexp_replace("archive", "-.*", "").alias("collection"), "member", "size", F.sha2(whole, 256).alias("sha256"))
