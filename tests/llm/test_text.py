@@ -154,3 +154,11 @@ def test_rows_without_an_id_teach_nothing(spark):
     got = identify(docs, max_docs=10, max_words=50).collect()
     assert len(got) == 80 and {r.lang_pred for r in got} == {"en"} and not any(r.held_out for r in got if r.doc_id is None)
     assert len(labelled_sample(docs, "doc_id", "text", "lang", 10)[0]) == 10
+
+
+def test_words_within_an_article_are_its_own():
+    """Below an article a name counts as a whole only; outside any word of it does."""
+    article = "<p>A b.</p><section class='related-work'>C d.</section><p class='notice-of-award'>E f.</p><div class='social-history'>G h.</div><math><mi>x</mi></math>"
+    template = "<div class='ad-box'>Buy</div><div id='cookie_notice'>Ok</div><aside>No</aside><form>Go</form><div class='comments-list'>Hm</div>"
+    page = f"<body><div class='related-work'>T</div><article>{article}{template}</article><div class='ad-slot'>Buy</div></body>"
+    assert extract(page) == "A b. C d. E f. G h. x"

@@ -38,13 +38,15 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object select".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 TEMPLATE = frozenset("head nav header footer aside form button dialog menu".split())
 MAIN = frozenset("article main".split())
 #: Words in the names of elements that aren't main text, and of those that are.
 TEMPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert warning popup modal overlay comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager form skip copyright legal disclaimer contentinfo complementary hidden".split())
+#: Words that say nothing of what an element holds.
+PLAIN_WORDS = frozenset("area block bar body box button col column container content group head header inner item items link links list main outer panel row section text title unit wrap wrapper zone bottom end left right top".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
 MAIN_WORDS = frozenset("article main content post entry story body text".split())
 #: Wrappers that one task aligns one after another; copies of the wrapper of a crowded host; tokens between anchors that are compared pair by pair.
@@ -250,26 +252,42 @@ def _words(label: str) -> frozenset[str]:
     return frozenset(w for name in label.split(".")[1:] for w in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", name) if w)
 
 
+@lru_cache(1 << 16)
+def _wholly_template(label: str) -> bool:
+    """Whether a whole name calls the element template: ``ad-box`` does, ``notice-of-award`` doesn't."""
+    for name in label.split(".")[1:]:
+        words = {w for w in re.split(r"[-_:\d]+|(?<=[a-z])(?=[A-Z])", name) if w}
+        if words & TEMPLATE_WORDS and words <= TEMPLATE_WORDS | PLAIN_WORDS:
+            return True
+    return False
+
+
+def _named(labels: list[str]) -> list[int]:
+    """Places in a path of elements that only their names call template: by any word outside an article, by a whole name within one, where words are the article's own."""
+    found, inside = [], False
+    for i, label in enumerate(labels):
+        tag = label.split(".", 1)[0]
+        if tag not in TEMPLATE and tag not in ("html", "body") and (_wholly_template(label) if inside else _words(label) & TEMPLATE_WORDS):
+            found.append(i)
+        inside |= tag in MAIN
+    return found
+
+
 @lru_cache(1 << 16)
 def _named_template(path: str) -> tuple[str, ...]:
     """The elements of a path, each by its own path, that only their names call template."""
     labels = path.split(">")
-    tags = [x.split(".", 1)[0] for x in labels]
-    return tuple(">".join(labels[: i + 1]) for i, x in enumerate(labels) if tags[i] not in TEMPLATE and tags[i] not in ("html", "body") and _words(x) & TEMPLATE_WORDS)
+    return tuple(">".join(labels[: i + 1]) for i in _named(labels))
 
 
 def template_path(path: str, free: frozenset[str] = frozenset()) -> bool:
     """Whether an element of the path is template. The names of html, body and the elements in ``free`` don't count."""
-    inside, around = False, ""
-    for label in path.split(">"):
-        tag = label.split(".", 1)[0]
-        around = f"{around}>{label}" if around else label
-        if tag == "header" and inside:
-            continue
-        if tag in TEMPLATE or (tag not in ("html", "body") and around not in free and _words(label) & TEMPLATE_WORDS):
+    inside = False
+    for tag in (x.split(".", 1)[0] for x in path.split(">")):
+        if tag in TEMPLATE and not (tag == "header" and inside):
             return True
         inside |= tag in MAIN
-    return False
+    return any(x not in free for x in _named_template(path))
 
 
 def main_path(path: str) -> bool:
