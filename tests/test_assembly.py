@@ -23,7 +23,7 @@ def loop(items):
     return sorted((k, p, f) for k, (p, _, _, f) in held.items())
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_one_of_each_work(spark, seed):
     rng = random.Random(seed)
     groups = {g: [(p, rng.choice([None, *range(12)]), rng.choice([None, "a", "b", "c", "d", "e"]), None) for p in range(60)] for g in ("g1", "g2", None)}

@@ -1,4 +1,4 @@
-"""Changes committed to several tables at once in the shared folder, and what is read back; S23, S24: harvests with a cap and with commits; S27, K03: archives."""
+"""Changes committed to several tables at once in the shared folder, and what is read back; S23, S24: harvests with a cap and with commits; S27, K03, K02: archives and packs."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from vitrine.operators.lineage import shared_folder
 from vitrine.plans.registry import query
 from vitrine.sources import archives as A
 from vitrine.sources import harvest as H
+from vitrine.sources import packs as P
 from vitrine.sources.versions import Versions
 
 
@@ -101,3 +102,17 @@ def _(t):
     pieces = A.installed(t.spark, path).groupBy("archive", "member").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("piece", "content"))).alias("p"))
     whole = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x.content))
     return pieces.select(F.regexp_replace("archive", "-.*", "").alias("collection"), "member", "size", F.sha2(whole, 256).alias("sha256"))
+
+
+@query("k02_pack_written", "WITH i AS (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part), m AS (SELECT p_brand, (n - 1) // 40 + 1 AS part, count(*) AS item_count, string_agg(p_partkey || ':' || p_name, ',' ORDER BY n) AS items FROM i GROUP BY 1, 2) SELECT p_brand || CASE WHEN part > 1 THEN '-' || part ELSE '' END AS id, CAST(item_count AS BIGINT) AS item_count, p_brand || CASE WHEN part > 1 THEN '-' || part ELSE '' END = (SELECT min(p_brand) FROM m) AS is_default, 'Parts of ' || p_brand AS title, items FROM m")
+def _(t):
+    """A brand's parts in manifests of forty; read back, parsed and named by their items."""
+    i = F.col("p_partkey")
+    item = P.manifest_item(F.concat(i, F.lit(".jpg")), {"id": i.cast("string"), "title": F.col("p_name"), "artist": F.lit(" ")}, {"license": F.lit("CC0"), "focal_point": F.array(F.lit(0.5), F.lit(0.25))})
+    items = t.part.select(F.col("p_brand").alias("collection"), i.alias("place"), item.alias("item"))
+    titles = t.part.select(F.col("p_brand").alias("collection"), F.concat(F.lit("Parts of "), "p_brand").alias("title")).distinct()
+    publisher = F.struct(F.lit("vitrine").alias("id"), F.lit("Vitrine").alias("name"))
+    path = f"{shared_folder(t.spark)}/pack-{uuid.uuid4().hex}"
+    P.write_pack(P.manifests(items, titles, publisher, most=40), path)
+    read = P.read_pack(t.spark, path).withColumn("d", F.from_json("document", "items array<struct<id string, title string>>"))
+    return read.select("id", "item_count", F.col("default").alias("is_default"), "title", F.array_join(F.transform("d.items", lambda x: F.concat_ws(":", x.id, x.title)), ",").alias("items"))
