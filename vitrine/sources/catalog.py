@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.values import first_filled
+from vitrine.operators.core import numbered
 
 COLUMNS = ["source_url", "thumbnail_url", "proposed_title", "proposed_artist", "source_api", "context_hints"]
 #: Where each source keeps title, artist, image and thumbnail in its answers.
@@ -119,8 +120,8 @@ def _shown(source: str, column: str) -> Column:
     return at("$.mime").startswith("image/") & ~at("$.mime").contains("svg") & (edge >= MIN_DISPLAY_EDGE) & free
 
 
-def normalised(payloads: DataFrame, source: str, column: str = "payload") -> DataFrame:
-    """A source's payloads in the common shape. Rows without an image are left out, as they can't be shown."""
+def normalised(payloads: DataFrame, source: str, column: str = "payload", keep: tuple = ()) -> DataFrame:
+    """A source's payloads in the common shape, after the columns in ``keep``. Rows without an image are left out, as they can't be shown."""
     title, artist, image, thumb = (F.get_json_object(column, p) for p in FIELDS[source])
     image, thumb = _images(source, column, image, thumb)
     artist = _linked_label(artist) if source == "rijksmuseum" else artist
@@ -129,7 +130,7 @@ def normalised(payloads: DataFrame, source: str, column: str = "payload") -> Dat
         artist = F.initcap(F.coalesce(F.get(_listed(named), F.lit(0)), named))
     url = F.regexp_replace(image, "^//", "https://")
     return payloads.filter(_shown(source, column)).select(
-        url.alias("source_url"), F.coalesce(first_filled(thumb), url).alias("thumbnail_url"),
+        *keep, url.alias("source_url"), F.coalesce(first_filled(thumb), url).alias("thumbnail_url"),
         F.coalesce(first_filled(title), F.lit("Unknown")).alias("proposed_title"),
         F.coalesce(first_filled(F.regexp_replace(artist, "<[^>]+>", "")), F.lit("Unknown Artist")).alias("proposed_artist"),
         F.lit(source).alias("source_api"), F.col(column).alias("context_hints"),
@@ -144,10 +145,33 @@ def all_sources(payloads: dict[str, DataFrame], wanted: list[str] | None = None)
     return reduce(DataFrame.unionByName, [normalised(payloads[s], s) for s in chosen])
 
 
+#: Ends of a NASA asset's addresses, best first.
+ASSET_ENDS = ("~orig.jpg", "~orig.jpeg", "~orig.png", "~large.jpg", "~medium.jpg")
+#: Sources that are asked for whole pages, and those that only show what is in the public domain when asked to.
+PAGED, FREE_ONLY = frozenset({"aic", "harvard"}), frozenset({"aic"})
+
+
 def best_asset(links: Column) -> Column:
-    """The address with the best suffix among an array of addresses: original, large, medium, then any."""
-    place = lambda u: F.when(u.contains("~orig"), 0).when(u.contains("~large"), 1).when(u.contains("~medium"), 2).otherwise(3)
-    return F.array_min(F.transform(links, lambda u, i: F.struct(place(u).alias("p"), i.alias("i"), u.alias("u")))).u
+    """Of an array of addresses the first with the best known end, upper case or lower; the last one if none has any."""
+    place = lambda u: reduce(lambda rest, k: F.when(F.lower(u).endswith(ASSET_ENDS[k]), k).otherwise(rest), reversed(range(len(ASSET_ENDS))), F.lit(len(ASSET_ENDS)))
+    rank = lambda u, i: F.struct(place(u).alias("p"), F.when(place(u) == len(ASSET_ENDS), -i).otherwise(i).alias("i"), u.alias("u"))
+    return F.array_min(F.transform(links, rank)).u
+
+
+def find_art(requests: DataFrame, answers: DataFrame, source: str) -> DataFrame:
+    """What a source answers to requests (request, query, offset, limit): (request, place, and the common shape).
+
+    ``answers`` hold (query, place, payload, free): all that the source has for a query, in order. A source that is asked for pages gives the page in which the
+    offset lies, page offset div limit; others skip to the offset. Some show only free works, which is their own filter, before paging. Limits are 1 to 10. Rows
+    without an image are left out of what was answered, so a request may get fewer. A request that nothing answers has no rows."""
+    known = answers.filter("free") if source in FREE_ONLY else answers
+    placed = numbered(known, ["query"], F.col("place"), [F.col("place")], "__at")
+    size = F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce("limit", F.lit(10))))
+    start = F.coalesce("offset", F.lit(0))
+    asked = requests.withColumn("__size", size).withColumn("__from", F.floor(start / F.col("__size")) * F.col("__size") if source in PAGED else start)
+    met = placed.join(asked.select("request", "query", "__size", "__from"), "query").filter((F.col("__at") > F.col("__from")) & (F.col("__at") <= F.col("__from") + F.col("__size")))
+    named = met.select("request", (F.col("__at") - F.col("__from")).alias("__n"), "payload")
+    return normalised(named, source, keep=("request", F.col("__n").alias("place")))
 
 
 def write_collections(items: DataFrame, path: str) -> None:
