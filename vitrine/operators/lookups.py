@@ -82,3 +82,11 @@ def availability(status: Column, kind: Column, size: Column, edge: Column, least
     ok = F.coalesce(status.isin(200, 206), F.lit(False))
     faults = F.when(~ok, F.concat(F.lit("http "), F.coalesce(status.cast("string"), F.lit("none")))).when(~F.coalesce(raster, F.lit(False)), "not an image")
     return faults.when(F.coalesce(size, F.lit(0)) < least_bytes, "empty").when(edge.isNull(), "undecodable").when(edge < least_edge, "small")
+
+
+def queue(rows: DataFrame, status: str, session: object = None) -> DataFrame:
+    """Rows (status, session, score, id) of a status, and of one session if it is given, with ``place``: best score first, then by id; null scores come last."""
+    own = rows.filter(F.col("status") == status)
+    own = own if session is None else own.filter(F.col("session") == session)
+    worth = F.coalesce(-F.col("score"), F.lit(float("inf")))
+    return numbered(own, [], worth, [worth, F.col("id")], "place", then=F.col("id"))

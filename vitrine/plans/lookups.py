@@ -133,3 +133,39 @@ def _(t):
     beta, r2 = O.least_squares(scaled, list(SCALES), "l_extendedprice")
     rows = [(n, round(float(b), 4)) for n, b in zip(["intercept", *SCALES], beta, strict=True)] + [("r2", round(float(r2), 6))]
     return t.spark.createDataFrame(rows, "term string, value double")
+
+
+#: First numbers of addresses, in networks that are and aren't public.
+FIRSTS = (8, 10, 172, 192, 127, 169, 100, 0, 224, 198, 203, 240, 11, 192)
+#: Networks that aren't public as conditions on the four numbers of an address.
+NETWORKS = "a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)"
+
+
+@query("p22_p30_numbered_hosts", f"WITH h AS (SELECT o_orderkey, [{', '.join(map(str, FIRSTS))}][CAST(o_orderkey % 14 + 1 AS INTEGER)] AS a, CASE o_custkey % 5 WHEN 0 THEN 168 WHEN 1 THEN 254 WHEN 2 THEN 0 ELSE o_custkey % 256 END AS b, CASE o_custkey % 3 WHEN 0 THEN 113 WHEN 1 THEN 2 ELSE o_orderkey % 256 END AS c FROM orders) SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN false ELSE NOT ({NETWORKS}) END AS public FROM h")
+def _(t):
+    """Addresses made of orders' numbers, in every network of the list; one in eleven is a name of the local network."""
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    a = F.get(F.array(*map(F.lit, FIRSTS)), (i % 14).cast("int"))
+    b = F.when(c % 5 == 0, 168).when(c % 5 == 1, 254).when(c % 5 == 2, 0).otherwise(c % 256)
+    third = F.when(c % 3 == 0, 113).when(c % 3 == 1, 2).otherwise(i % 256)
+    host = F.when(i % 11 == 0, F.concat(F.lit("Display-"), c, F.lit(".LOCAL"))).otherwise(F.concat_ws(".", a, b, third, (i + c) % 256))
+    return t.orders.select("o_orderkey", V.public_host(host).alias("public"))
+
+
+@query("d08_licences_of_parts", """WITH n AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'PD-' || p_brand WHEN 1 THEN 'Public Domain Mark' WHEN 2 THEN 'cc0 1.0' WHEN 3 THEN NULL ELSE 'CC' || CASE WHEN p_size % 2 = 0 THEN ' BY' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN '-NC' WHEN p_size % 3 = 1 THEN '-ND' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN '-SA' ELSE '' END || ' 4.0' END AS name, p_partkey % 7 AS k, p_size % 2 = 0 AS named, p_size % 3 <> 2 AS bound, p_size % 5 = 0 AS alike FROM part)
+SELECT p_partkey, CASE WHEN k < 3 THEN 'pd' WHEN k = 3 THEN 'unknown' WHEN named AND alike THEN 'cc-by-sa' WHEN bound THEN 'restricted' WHEN named THEN 'cc-by' ELSE 'unknown' END AS verdict, CASE WHEN k < 3 THEN 'pd' WHEN k = 3 THEN 'unknown' WHEN bound THEN 'restricted' WHEN named AND alike THEN 'cc-by-sa' WHEN named THEN 'cc-by' ELSE 'unknown' END AS strict FROM n""")
+def _(t):
+    """Names put together from a part's size, in every mixture of terms."""
+    k, s = F.col("p_partkey") % 7, F.col("p_size")
+    mixed = F.concat(F.lit("CC"), F.when(s % 2 == 0, " BY").otherwise(""), F.when(s % 3 == 0, "-NC").when(s % 3 == 1, "-ND").otherwise(""), F.when(s % 5 == 0, "-SA").otherwise(""), F.lit(" 4.0"))
+    name = F.when(k == 0, F.concat(F.lit("PD-"), "p_brand")).when(k == 1, "Public Domain Mark").when(k == 2, "cc0 1.0").when(k > 3, mixed)
+    return t.part.select("p_partkey", V.license_verdict(name).alias("verdict"), V.license_verdict(name, strict=True).alias("strict"))
+
+
+@query("p08_queue_of_session", "SELECT 'all' AS asked, o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'one', o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 100 = 7")
+def _(t):
+    """What waits, best first, of all sessions and of one."""
+    rows = t.orders.select(F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 100).alias("session"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("id"))
+    asked = {"all": L.queue(rows, "P"), "one": L.queue(rows, "P", 7)}
+    both = [df.select(F.lit(n).alias("asked"), F.col("id").alias("o_orderkey"), "place") for n, df in asked.items()]
+    return both[0].unionByName(both[1])

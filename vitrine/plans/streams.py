@@ -1,4 +1,4 @@
-"""Streams over the table of events, run to its end and read back; each equals the SQL of its whole history."""
+"""Streams over the table of events, run to its end and read back; each equals the SQL of its whole history."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.operators.lineage import shared_folder
 from vitrine.plans.registry import query
 from vitrine.streaming import expiry as E
+from vitrine.streaming.playback import relay
 
 #: No row of a table that is read in any order counts as late.
 EVER = "36500 days"
@@ -63,3 +64,12 @@ def _(t):
     beats = lambda e: e.select(F.col("user_id").cast("string").alias("display_id"), "ts")
     told = _streamed(t, lambda e: E.liveness(beats(e), ttl="1 hour", late=EVER))
     return told.filter("state = 'live'").select("display_id", F.col("ts").cast(dict(t.events.dtypes)["ts"]).alias("ts"))
+
+
+@query("r03_relayed_once", "SELECT DISTINCT event_id // 2 AS command_id FROM events WHERE (event_id // 2) % 2000 IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _(t):
+    """Two events are one command, sent twice; customers in credit are the displays that are known."""
+    displays = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("display_id"))
+    number = F.floor(F.col("event_id") / 2)
+    commands = lambda e: e.select(number.alias("command_id"), (number % 2000).alias("target_display"), "ts")
+    return _streamed(t, lambda e: relay(commands(e), displays, late=EVER)).select("command_id").distinct()
