@@ -214,3 +214,14 @@ def test_likeness_of_scattered_edits():
         assert least < fp.likeness(fp.fingerprint(text), fp.fingerprint(other)) < 1
     assert fp.likeness(fp.fingerprint(text), fp.fingerprint(" ".join(w[::-1] for w in words))) < 0.1
     assert len(fp.fingerprint("a" * 100_000)) < 3000
+
+
+def test_packing_of_missing_and_repeated_ids(spark):
+    rows = [(None, "red fish"), (None, "red fish"), (None, None), (4, "blue " * 700), (4, "blue"), (4, "blue"), (9, "")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, start int, sequence_id string, length int")
+    tok = Tokenizer.from_file(WORD)
+    sizes = sorted((str(i), len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    got = pack(docs, WORD, capacity=256).collect()
+    assert sum(r.length for r in got) == sum(n for _, n in sizes)
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in got if r.start == 0) == sizes
+    assert pack(docs.limit(0), WORD, capacity=256).count() == 0

@@ -10,7 +10,8 @@ longest common prefix and suffix cover, found by binary search, or that lies in
 whichever is larger. So edits anywhere cost only the spans that they touch.
 
 Null texts count as empty; two empty texts are alike by 1, an empty and another by 0. Repeated rows and
-equal ids are put in order by their texts. Documents without an id come first.
+equal ids are put in order by their texts. Documents without an id come first. Ids are whole numbers. An empty table gives no
+rows. Other columns are not carried along.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ placed on a Hilbert curve. Documents are sorted along the curve by ranges of its
 every ``capacity`` ids. So neighbours on the curve share sequences and only the last sequence is padded.
 
 Null texts count as empty and have the end id only. Exact copies share a place on the curve and are told
-apart by a hash of their ids and then their order, so a large group of copies spreads over ranges.
+apart by a hash of their ids and then their order, so a large group of copies spreads over ranges. Rows of one id, and rows without
+an id, are documents of their own, in no stated order among equal texts; ids are of any type. An empty table gives no rows. Other
+columns are not carried along.
 """
 
 from __future__ import annotations
