@@ -247,7 +247,8 @@ def farthest_points(df: DataFrame, id_col: str, features: Sequence[str], n: int)
     chosen = [first]
     for _ in range(n - 1):
         d = F.least(*[sum((F.pow(F.col(f) - float(c[f]), 2) for f in features), F.lit(0.0)) for c in chosen], F.lit(float("inf")))
-        found = df.filter(~F.col(id_col).isin([c[id_col] for c in chosen])).withColumn("__d", d).orderBy(F.desc("__d"), id_col).first()
+        left = df.filter(~F.col(id_col).isin([c[id_col] for c in chosen])).withColumn("__d", d)
+        found = left.agg(F.min_by(F.struct(*df.columns), F.struct(-F.col("__d"), id_col)).alias("x")).first()["x"]
         if found is None:
             break
         chosen.append(found)
