@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.functions import values as V
 from vitrine.operators.catalog import filled
@@ -90,3 +92,25 @@ def queue(rows: DataFrame, status: str, session: object = None) -> DataFrame:
     own = own if session is None else own.filter(F.col("session") == session)
     worth = F.coalesce(-F.col("score"), F.lit(float("inf")))
     return numbered(own, [], worth, [worth, F.col("id")], "place", then=F.col("id"))
+
+
+def baked_in(rows: DataFrame, item: str, baked: str, changed: str) -> DataFrame:
+    """Rows with the map ``baked`` merged into the map ``item``, and how many keys that changed: new ones, or those of another value. Null maps are empty."""
+    old, new = (F.coalesce(c, F.create_map().cast("map<string,string>")) for c in (item, baked))
+    differs = F.map_filter(new, lambda k, v: ~F.element_at(old, k).eqNullSafe(v) | ~F.array_contains(F.map_keys(old), k))
+    kept = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k))
+    return rows.withColumn(changed, F.size(differs)).withColumn(item, F.map_concat(kept, new))
+
+
+def without_empty(value: Column, kind: T.DataType) -> Column:
+    """A value whose blank texts, empty lists and objects without anything are null, at every depth, so that JSON leaves them out."""
+    if isinstance(kind, T.StructType):
+        fields = [without_empty(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        some = reduce(lambda a, b: a | b, [without_empty(value[f.name], f.dataType).isNotNull() for f in kind.fields], F.lit(False))
+        return F.when(some, F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        left = F.filter(F.transform(value, lambda x: without_empty(x, kind.elementType)), lambda x: x.isNotNull())
+        return F.when(F.size(left) > 0, left)
+    if isinstance(kind, T.StringType):
+        return F.when(F.trim(value) != "", value)
+    return value

@@ -1,4 +1,4 @@
-"""Lookups and checks on table columns."""
+"""Lookups and checks on table columns: D, G, M, P, S, U and W rows that need a dictionary, a window or a document."""
 
 from __future__ import annotations
 
@@ -169,3 +169,67 @@ def _(t):
     asked = {"all": L.queue(rows, "P"), "one": L.queue(rows, "P", 7)}
     both = [df.select(F.lit(n).alias("asked"), F.col("id").alias("o_orderkey"), "place") for n, df in asked.items()]
     return both[0].unionByName(both[1])
+
+
+@query("w10_ladder_of_table", "WITH l AS (SELECT r_regionkey AS step, 5 * (r_regionkey + 1) * (r_regionkey + 1) AS pause FROM region), m AS (SELECT max(step) AS last FROM l) SELECT event_id, l.pause AS pause FROM events, m JOIN l ON l.step = least(event_id % 9, m.last)")
+def _(t):
+    """Pauses by attempt; attempts beyond the ladder take its last step."""
+    ladder = t.region.select(F.col("r_regionkey").alias("step"), (5 * (F.col("r_regionkey") + 1) * (F.col("r_regionkey") + 1)).alias("pause"))
+    last = ladder.agg(F.max("step").alias("last"))
+    tried = t.events.select("event_id", (F.col("event_id") % 9).alias("attempt")).crossJoin(F.broadcast(last))
+    return tried.withColumn("step", F.least("attempt", "last")).join(F.broadcast(ladder), "step").select("event_id", "pause")
+
+
+@query("g21_kinds_of_table", "SELECT c_custkey, coalesce(lower(r_name), 'painting') AS kind FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 3")
+def _(t):
+    """A collection's kind by a dictionary of two steps; what it lacks is a painting."""
+    kinds = t.nation.join(t.region.filter("r_regionkey < 3").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select(F.col("n_nationkey").alias("c_nationkey"), F.lower("r_name").alias("kind"))
+    return t.customer.join(F.broadcast(kinds), "c_nationkey", "left").select("c_custkey", F.coalesce("kind", F.lit("painting")).alias("kind"))
+
+
+@query("g23_required_keys", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN true ELSE event_id % 2 = 0 END AS complete FROM events")
+def _(t):
+    """The keys that each type of event must have, and one more that half of the others lack."""
+    props = F.map_concat(F.from_json("props", "map<string,string>"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("source"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>")))
+    needed = t.events.select("event_type").distinct().withColumn("keys", F.when(F.col("event_type").isin("click", "view"), F.array(F.lit("k"))).otherwise(F.array(F.lit("k"), F.lit("source"))))
+    made = t.events.select("event_id", "event_type", props.alias("p")).join(F.broadcast(needed), "event_type")
+    return made.select("event_id", (F.size(F.array_except("keys", F.map_keys("p"))) == 0).alias("complete"))
+
+
+@query("m04_windows_of_playlists", "WITH s AS (SELECT user_id, max(ts) AS seen FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT c_custkey AS display_id, epoch(now) - epoch(seen) <= 15 AS live, epoch(now) - epoch(seen) <= least(greatest(15, 2 * 450 * n_nationkey), 21600) AS known FROM customer JOIN s ON user_id = c_custkey JOIN nation ON n_nationkey = c_nationkey, n")
+def _(t):
+    """A display is known for twice its playlist's time a picture, 15 seconds at least and six hours at most; a nation is a playlist."""
+    seen = t.events.groupBy(F.col("user_id").alias("c_custkey")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("seen"))
+    now = t.events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("now"))
+    shown = t.customer.join(seen, "c_custkey").join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), (450 * F.col("n_nationkey")).alias("display_time"))), "c_nationkey")
+    since = F.col("now") - F.col("seen")
+    window = F.least(F.greatest(F.lit(15), 2 * F.col("display_time")), F.lit(21600)).cast("long")
+    return shown.crossJoin(F.broadcast(now)).select(F.col("c_custkey").alias("display_id"), (since <= 15_000_000).alias("live"), (since <= window * 1_000_000).alias("known"))
+
+
+@query("d14_baked_values", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 50 ELSE p_size END AS rank, CASE WHEN p_partkey % 3 <> 0 THEN 'pd' WHEN p_size % 5 <> 0 THEN p_brand END AS license, CAST(CASE WHEN p_size % 2 = 0 AND p_size <> 50 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS changed, CAST(0 AS INTEGER) AS again FROM part")
+def _(t):
+    """Baked values are merged into items: what is baked wins, what isn't stays, keys that differ are counted, and a second merge changes nothing."""
+    items = t.part.select("p_partkey", F.map_filter(F.create_map(F.lit("rank"), F.col("p_size").cast("string"), F.lit("license"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand"))), lambda k, v: v.isNotNull()).alias("item"))
+    baked = t.part.select("p_partkey", F.map_filter(F.create_map(F.lit("rank"), F.when(F.col("p_size") % 2 == 0, "50"), F.lit("license"), F.when(F.col("p_partkey") % 3 != 0, "pd")), lambda k, v: v.isNotNull()).alias("baked"))
+    once = L.baked_in(items.join(baked, "p_partkey"), "item", "baked", "changed")
+    twice = L.baked_in(once, "item", "baked", "again")
+    return twice.select("p_partkey", F.element_at("item", "rank").cast("int").alias("rank"), F.element_at("item", "license").alias("license"), "changed", "again")
+
+
+@query("p26_assembled_documents", """SELECT p_partkey, '{"id":"' || p_partkey || '","title":"' || p_name || '"' || CASE WHEN p_size > 20 THEN ',"artist":"' || p_brand || '"' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN '' ELSE ',"image":{"url":"u' || p_partkey || '"' || CASE WHEN p_size % 2 = 0 THEN ',"license":"CC0"' ELSE '' END || '}' END || CASE WHEN p_size % 4 = 0 THEN ',"tags":["' || p_type || '"]' ELSE '' END || '}' AS document FROM part""")
+def _(t):
+    """Documents without blank texts, empty lists and empty objects, at every depth."""
+    i, s = F.col("p_partkey").cast("string"), F.col("p_size")
+    image = F.struct(F.when(s % 3 != 0, F.concat(F.lit("u"), i)).otherwise(" ").alias("url"), F.when((s % 2 == 0) & (s % 3 != 0), "CC0").otherwise("").alias("license"))
+    row = F.struct(i.alias("id"), F.col("p_name").alias("title"), F.when(s > 20, F.col("p_brand")).otherwise("").alias("artist"), image.alias("image"), F.when(s % 4 == 0, F.array("p_type")).otherwise(F.array().cast("array<string>")).alias("tags"))
+    whole = t.part.select("p_partkey", row.alias("row"))
+    return whole.select("p_partkey", F.to_json(L.without_empty(F.col("row"), whole.schema["row"].dataType)).alias("document"))
+
+
+@query("s38_members_of_namespaces", "WITH m AS (SELECT page_id, CASE WHEN regexp_matches(url, '/en/') THEN 'file' ELSE 'subcat' END AS kind FROM pages) SELECT page_id, kind, CAST((row_number() OVER (PARTITION BY kind ORDER BY page_id) - 1) // 500 AS BIGINT) AS page FROM m")
+def _(t):
+    """Members of a listing in two namespaces, in pages of five hundred."""
+    kind = F.when(F.col("url").rlike("/en/"), "file").otherwise("subcat")
+    placed = O.numbered(t.pages.select("page_id", kind.alias("kind")), ["kind"], F.col("page_id"), [F.col("page_id")], "place")
+    return placed.select("page_id", "kind", F.floor((F.col("place") - 1) / 500).alias("page"))
