@@ -79,10 +79,10 @@ def assemble(picks: DataFrame, found: DataFrame, specs: DataFrame) -> DataFrame:
     more = found.withColumn("__pick", F.lit(False)).join(told.filter("supplement").select("collection"), "collection", "left_semi")
     both = first.unionByName(more).filter("thumbnail is not null and thumbnail <> '' and url <> ''")
     both = both.withColumn("__order", F.when(F.col("__pick"), F.lit(0)).otherwise(F.lit(1 << 40)) + F.col("place"))
-    works = one_of_each_work(both, "collection", "__order", "url", "key", "score")
+    works = checkpoint(one_of_each_work(both, "collection", "__order", "url", "key", "score"))  # read several times, as what follows is
     worth = -(F.coalesce(F.col("dated").cast("int"), F.lit(0)) * 1000 + F.coalesce("score", F.lit(0)))
     ranked = numbered(works.withColumn("__w", worth), ["collection"], F.col("__w"), [F.col("__w"), F.col("first")], "__rank", then=F.col("first"))
-    sound = ranked.join(told, "collection").filter((F.col("__rank") <= 2 * F.col("target")) & F.coalesce("verified", F.lit(False)))
+    sound = checkpoint(ranked.join(told, "collection").filter((F.col("__rank") <= 2 * F.col("target")) & F.coalesce("verified", F.lit(False))))
     filled = numbered(sound, ["collection"], F.col("__rank"), [F.col("__rank")], "n").filter(F.col("n") <= F.col("target"))
     return filled.select("collection", F.col("n").cast("int").alias("place"), "source", "url", "kind")
 

@@ -103,7 +103,7 @@ def numbered(df: DataFrame, keys: Sequence[str], by: Column, order: Sequence[Col
 
     ``order`` begins with ``by``, a number, and goes on with ``then``, another one, if many rows may have one value of ``by``. Rows are
     cut into ranges by quantiles of all rows; a window numbers each range of a key, and the rows of the key's earlier ranges, one
-    count each, are added. So no task sorts a whole key."""
+    count each, are added. So no task sorts a whole key. ``df`` is read three times: what is dear to compute is written first."""
     cut = in_ranges(df, by, then)
     counts = cut.groupBy(*keys, "__r").agg(F.count("*").alias("__c"))
     earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,19 +31,19 @@ def crawl(edges: DataFrame, files: DataFrame, root: str, most_depth: int, most_f
     for depth in range(most_depth + 1):
         here = files.join(front, "category").select("file", "category", "at", "pos")
         once = first_per_key(here, ["file"], [F.col("at"), F.col("pos")])
-        new = once if known is None else once.join(known, "file", "left_anti")
-        placed = checkpoint(numbered(new, [], F.col("at"), [F.col("at"), F.col("pos"), F.col("file")], "place", then=F.col("pos")).select("file", "category", F.lit(depth).alias("depth"), (F.col("place") + total).alias("place")))
-        found.append(placed)
-        total += placed.count()
+        new = checkpoint(once if known is None else once.join(known, "file", "left_anti"))  # read several times
+        placed = numbered(new, [], F.col("at"), [F.col("at"), F.col("pos"), F.col("file")], "place", then=F.col("pos"))
+        found.append(placed.select("file", "category", F.lit(depth).alias("depth"), (F.col("place") + total).alias("place")))
+        total += new.count()
         if total >= most_files or depth == most_depth:
             break
-        known = placed.select("file") if known is None else known.unionByName(placed.select("file"))
+        known = new.select("file") if known is None else known.unionByName(new.select("file"))
         below = edges.join(front.select(F.col("category").alias("parent"), "at"), "parent").join(seen.select(F.col("category").alias("child")), "child", "left_anti")
-        first = first_per_key(below, ["child"], [F.col("at"), F.col("pos")])
-        front = checkpoint(numbered(first, [], F.col("at"), [F.col("at"), F.col("pos"), F.col("child")], "n", then=F.col("pos")).select(F.col("child").alias("category"), F.col("n").alias("at")))
-        if front.isEmpty():
+        first = checkpoint(first_per_key(below, ["child"], [F.col("at"), F.col("pos")]))
+        if first.isEmpty():
             break
-        seen = seen.unionByName(front.select("category"))
+        front = numbered(first, [], F.col("at"), [F.col("at"), F.col("pos"), F.col("child")], "n", then=F.col("pos")).select(F.col("child").alias("category"), F.col("n").alias("at"))
+        seen = seen.unionByName(first.select(F.col("child").alias("category")))
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
