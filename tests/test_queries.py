@@ -146,15 +146,15 @@ def test_whole_texts_and_rows(spark):
         return re.sub(" +", " ", re.sub("^(the|a|an) ", "", re.sub("[^a-z0-9 ]", "", bare(t.lower(), "NFKD").translate(to)).strip(" "))).strip(" ")
 
     plain = {
-        "f04_match_form_whole": match,
-        "f05_loose_title_whole": loose,
-        "f08_work_key_whole": lambda t: t.split("(")[0].split(",")[0].strip(" ").lower(),
-        "f20_title_tags_whole": lambda t: " ".join([w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 3][:5]),
+        "f04_match_form": match,
+        "f05_loose_title": loose,
+        "f08_work_key": lambda t: t.split("(")[0].split(",")[0].strip(" ").lower(),
+        "f20_title_tags": lambda t: " ".join([w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 3][:5]),
     }
     for name, f in plain.items():
         assert {r[0]: r[1] for r in plans.QUERIES[name](spark, str(SF)).collect()} == {i: f(t) for i, t in docs.items()}, name
     orders = spark.read.parquet(str(SF / "orders.parquet")).collect()
-    got = {r.o_orderkey: (r.label, r.year, r.day) for r in plans.QUERIES["f23_f24_case_and_cut_whole"](spark, str(SF)).collect()}
+    got = {r.o_orderkey: (r.label, r.year, r.day) for r in plans.QUERIES["f23_f24_case_and_cut"](spark, str(SF)).collect()}
     assert got == {r.o_orderkey: (" ".join(w.capitalize() for w in r.o_orderpriority[2:].split(" ")), f"{r.o_orderdate:%Y}", f"{r.o_orderdate:%Y-%m-%d}") for r in orders}
 
 

@@ -160,20 +160,6 @@ def _(t):
     return t.part.select("p_partkey", C.intent_of(F.col("p_type"), ["Brass"], ["Plated"]).alias("i")).select("p_partkey", "i.kind", "i.value", "i.confidence")
 
 
-@query("u05_schema_gaps", "SELECT * FROM (VALUES ('missing column part.p_missing'), ('missing table playlists')) v(gap)")
-def _(t):
-    declared = [("part", "p_size"), ("part", "p_missing"), ("playlists", "id"), ("playlists", "name")]
-    existing = [("part", c) for c in t.part.columns]
-    make = lambda rows: t.spark.createDataFrame(rows, "table string, column string")
-    return C.schema_gaps(make(declared), make(existing))
-
-
-@query("u06_key_contract", "SELECT true AS same, 'p_size' AS differing")
-def _(t):
-    a, b = t.part.select("p_partkey", "p_name"), t.part.select(F.col("p_name"), F.col("p_partkey"))
-    return t.spark.createDataFrame([(not C.same_keys(a, b), ",".join(sorted(C.same_keys(a, t.part.select("p_partkey", "p_name", "p_size")))))], "same boolean, differing string")
-
-
 @query("p18_artist_guard")
 def _(t):
     """No SQL engine has the ratio: a test holds it against the plain rule."""

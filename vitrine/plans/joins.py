@@ -153,12 +153,6 @@ def _(t):
     return O.flagged(t.part.select("p_partkey"), hit, "p_partkey", "hit").select("p_partkey", F.when(F.col("hit"), "matched").otherwise("unmatched").alias("state"))
 
 
-@query("j27_parameter_grid", "SELECT g, c, s FROM (VALUES (1.4), (1.5)) a(g), (VALUES (1.0), (1.1), (1.2)) b(c), (VALUES (1.0), (1.3)) d(s)")
-def _(t):
-    axis = lambda name, values: t.spark.createDataFrame([(v,) for v in values], f"{name} double")
-    return axis("g", [1.4, 1.5]).crossJoin(axis("c", [1.0, 1.1, 1.2])).crossJoin(axis("s", [1.0, 1.3]))
-
-
 @query("u01_union_sets", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 49 UNION SELECT p_partkey FROM part WHERE p_size = 1")
 def _(t):
     return t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("k")).union(t.part.filter("p_size = 1").select("p_partkey")).distinct()

@@ -89,7 +89,7 @@ def _(t):
     return t.pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.count_if(old).alias("legacy"), (F.count_if(old) == 0).alias("passes"))
 
 
-@query("u05_declared_gaps", "WITH d AS (SELECT DISTINCT p_brand AS t, p_type AS c FROM part), e AS (SELECT DISTINCT p_brand AS t, p_type AS c FROM part WHERE p_size > 45 AND p_brand <> 'Brand#11') SELECT DISTINCT CASE WHEN d.t NOT IN (SELECT t FROM e) THEN 'missing table ' || d.t ELSE 'missing column ' || d.t || '.' || d.c END AS gap FROM d LEFT JOIN e ON e.t = d.t AND e.c = d.c WHERE e.t IS NULL")
+@query("u05_schema_gaps", "WITH d AS (SELECT DISTINCT p_brand AS t, p_type AS c FROM part), e AS (SELECT DISTINCT p_brand AS t, p_type AS c FROM part WHERE p_size > 45 AND p_brand <> 'Brand#11') SELECT DISTINCT CASE WHEN d.t NOT IN (SELECT t FROM e) THEN 'missing table ' || d.t ELSE 'missing column ' || d.t || '.' || d.c END AS gap FROM d LEFT JOIN e ON e.t = d.t AND e.c = d.c WHERE e.t IS NULL")
 def _(t):
     """Brands are tables and types their columns; what large parts have is what exists."""
     declared = t.part.select(F.col("p_brand").alias("table"), F.col("p_type").alias("column")).distinct()
@@ -97,7 +97,7 @@ def _(t):
     return C.schema_gaps(declared, existing)
 
 
-@query("u06_key_sets", "SELECT event_id, json_keys(props) = ['k'] AND event_type <> 'error' AS same FROM events")
+@query("u06_key_contract", "SELECT event_id, json_keys(props) = ['k'] AND event_type <> 'error' AS same FROM events")
 def _(t):
     """Whether the properties of an event have exactly the keys of the contract; those of errors have one more."""
     keys = F.json_object_keys("props")
@@ -106,7 +106,7 @@ def _(t):
     return t.events.select("event_id", ((F.size(F.array_except(own, contract)) == 0) & (F.size(F.array_except(contract, own)) == 0)).alias("same"))
 
 
-@query("m11_gamma_applied", "SELECT p_partkey, CAST(round(255 * pow((p_partkey % 256) / 255.0, 1 + (p_size % 6) / 10.0)) AS INTEGER) AS tone FROM part")
+@query("m11_gamma_table", "SELECT p_partkey, CAST(round(255 * pow((p_partkey % 256) / 255.0, 1 + (p_size % 6) / 10.0)) AS INTEGER) AS tone FROM part")
 def _(t):
     """A table of 256 tones for each gamma, looked up for each part's tone."""
     gamma = (F.col("p_size") % 6).alias("g")
@@ -114,7 +114,7 @@ def _(t):
     return t.part.withColumn("g", gamma).join(F.broadcast(tables), "g").select("p_partkey", F.get("tones", (F.col("p_partkey") % 256).cast("int")).alias("tone"))
 
 
-@query("j27_grid_of_tables", "SELECT r_regionkey AS gamma, n_nationkey AS contrast, s.p AS saturation FROM region, nation, (SELECT DISTINCT p_size % 5 AS p FROM part) s")
+@query("j27_parameter_grid", "SELECT r_regionkey AS gamma, n_nationkey AS contrast, s.p AS saturation FROM region, nation, (SELECT DISTINCT p_size % 5 AS p FROM part) s")
 def _(t):
     """The grid of all settings: three short axes, each a table."""
     sizes = t.part.select((F.col("p_size") % 5).alias("saturation")).distinct()

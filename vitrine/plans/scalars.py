@@ -322,12 +322,6 @@ def _(t):
     return t.part.select("p_partkey", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 
-@query("m11_gamma_table", "SELECT CAST(i AS INTEGER) AS i, CAST(round(255 * pow(i / 255.0, 1.5)) AS BIGINT) AS v FROM range(256) r(i)")
-def _(t):
-    i = F.col("id")
-    return t.spark.range(256).select(i.cast("int").alias("i"), F.round(255 * F.pow(i / 255.0, F.lit(1.5))).cast("long").alias("v"))
-
-
 @query("m12_m14_scaled", "SELECT c_custkey, round(c_acctbal / 10000.0, 6) AS scaled, round(100.0 * c_custkey / (c_custkey + 7), 4) AS percent FROM customer")
 def _(t):
     return t.customer.select("c_custkey", F.round(F.col("c_acctbal") / 10000.0, 6).alias("scaled"), F.round(100.0 * F.col("c_custkey") / (F.col("c_custkey") + 7), 4).alias("percent"))
