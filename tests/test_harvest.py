@@ -84,3 +84,20 @@ def test_stopped_and_resumed_is_one_run(spark, tmp_path):
         H.resolve(parts, None, resolved, 7)
     with pytest.raises(ValueError):
         H.resolve(Versions(spark, str(tmp_path / "none")), None, resolved, 10)
+
+
+def test_many_batches_take_few_commits(spark, tmp_path):
+    """The work of a run may not grow with the square of its batches: a commit and a pass over the candidates for each."""
+    store = Versions(spark, str(tmp_path / "many"))
+    found = spark.range(1, 101).withColumnRenamed("id", "place")
+    asked = []
+
+    def resolved(batch):
+        asked.append(1)
+        return batch.select("place")
+
+    assert not H.resolve(store, found, resolved, 2, most_batches=1)
+    assert H.resolve(store, None, resolved, 2) and len(asked) <= 1 + H.MOST_COMMITS
+    assert sorted(r.place for r in store.read("resolved").collect()) == list(range(1, 101))
+    assert sorted(r.batch for r in store.read("progress").collect()) == list(range(50))  # each batch has its own row
+    assert store.version() <= 1 + H.MOST_COMMITS

@@ -1,7 +1,8 @@
 """Harvests in two phases that can stop and go on: a category tree or queries find candidates, batches of them are resolved and committed.
 
-Candidates are found once and kept as a table; then batches are resolved one after another, each committed with the numbers it settles.
-A run that is started again leaves out what a commit names, so a harvest that stopped half way ends as one that didn't.
+Candidates are found once and kept as a table in order of place; then batches are resolved in order, few or many in one commit, each committed
+with the number it settles. A run makes at most ``MOST_COMMITS`` commits and each reads the files of its own places only, so its work grows as
+the candidates do. A run that is started again leaves out what a commit names, so a harvest that stopped half way ends as one that didn't.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from vitrine.operators.core import first_per_key, numbered
 from vitrine.operators.lineage import checkpoint
 from vitrine.sources.versions import Versions
 
+#: Fixed value: in how many commits a run resolves its batches, however many these are.
+MOST_COMMITS = 16
+
 
 def crawl(edges: DataFrame, files: DataFrame, root: str, most_depth: int, most_files: int) -> DataFrame:
     """(file, category, depth, place): files of a category tree in breadth-first order, each at its first place, ``most_files`` at most.
@@ -57,7 +61,7 @@ def candidates(hits: DataFrame, junk: Column, most: int) -> tuple[DataFrame, Dat
     reason = F.when(F.coalesce(junk, F.lit(False)), "junk").when(filled(F.col("master")).isNull(), "no_master")
     told = hits.withColumn("reason", reason)
     sound = told.filter("reason is null").drop("reason")
-    once = first_per_key(sound, ["master"], [F.col("query"), F.col("pos")])
+    once = checkpoint(first_per_key(sound, ["master"], [F.col("query"), F.col("pos")]))  # read several times
     placed = numbered(once, [], F.col("query"), [F.col("query"), F.col("pos"), F.col("master")], "place", then=F.col("pos")).filter(F.col("place") <= most)
     kept = once.agg(F.count("*").alias("k"))
     dup = sound.agg(F.count("*").alias("n")).crossJoin(kept).select(F.lit("dup").alias("reason"), (F.col("n") - F.col("k")).alias("n"))
@@ -71,25 +75,35 @@ def size_reason(width: Column, height: Column, least: int, most_aspect: float) -
     return F.when(high < least, "small").when((low == 0) | (high > most_aspect * low), "aspect")
 
 
+def _among(batch: Column, some: list[int]) -> Column:
+    """Whether a number is one of an ascending list; nothing to ask if these are all from the first to the last."""
+    return F.lit(True) if len(some) == some[-1] - some[0] + 1 else batch.isin(some)
+
+
 def resolve(store: Versions, found: DataFrame | None, resolved: Callable[[DataFrame], DataFrame], size: int, most_batches: int | None = None) -> bool:
     """Resolves the candidates (place, ...) in batches of ``size`` places, committing each; whether all are done.
 
-    The first run needs ``found`` and keeps it; later ones go on with what was kept. ``resolved`` makes result rows of a batch. Results and
-    the progress row of a batch are one commit, so a batch counts as a whole or not at all, and what ran without being committed runs again.
-    ``most_batches`` stops a run early."""
+    The first run needs ``found`` and keeps it; later ones go on with what was kept. ``resolved`` makes result rows of one batch, or of several in a
+    row where there are more than ``MOST_COMMITS``. Their results and progress rows are one commit, so a batch counts as a whole or not at all, and
+    what ran without being committed runs again. ``most_batches`` stops a run early."""
     if "candidates" not in store.names():
         if found is None:
             raise ValueError("nothing to go on with: no candidates were kept")
-        store.commit({"candidates": found})
-    kept = store.read("candidates").withColumn("__batch", F.floor((F.col("place") - 1) / size))
-    waiting = kept.select("__batch").distinct()
+        store.commit({"candidates": found.repartitionByRange("place").sortWithinPartitions("place")})  # a range of places is in few files
+    kept = store.read("candidates")
+    batch_of = F.floor((F.col("place") - 1) / size)
+    waiting = kept.select(batch_of.alias("__batch")).distinct()
     if "progress" in store.names():
         waiting = waiting.join(store.read("progress").filter(F.col("size") == size).select(F.col("batch").alias("__batch")), "__batch", "left_anti")
         if not store.read("progress").filter(F.col("size") != size).isEmpty():
             raise ValueError("a harvest goes on with the batch size that it began with")
     todo = [r["__batch"] for r in waiting.orderBy("__batch").collect()]  # numbers of batches, not rows
-    for batch in todo[:most_batches]:
-        rows = resolved(kept.filter(F.col("__batch") == batch).drop("__batch"))
-        done = store.spark.createDataFrame([(batch, size)], "batch long, size long")
-        store.commit(appended={"resolved": rows, "progress": done}, note=f"batch {batch}")
+    now = todo[:most_batches]
+    several = -(-len(now) // MOST_COMMITS)
+    for first in range(0, len(now), several or 1):
+        some = now[first : first + several]
+        # the bounds leave out whole files; between them may lie batches that are done
+        rows = resolved(kept.filter(F.col("place").between(some[0] * size + 1, (some[-1] + 1) * size) & _among(batch_of, some)))
+        done = store.spark.createDataFrame([(b, size) for b in some], "batch long, size long")
+        store.commit(appended={"resolved": rows, "progress": done}, note=f"batches {some[0]} to {some[-1]}")
     return most_batches is None or len(todo) <= most_batches
