@@ -104,3 +104,8 @@ def test_queries_like_loops(spark):
     for i, r in gate.items():
         assert (r.verdict == "malformed") == (r.crops == {}) == ("malformed" in r.dropped.values())
         assert r.verdict or set(r.crops) | set(r.dropped) == set(A.SHAPES)
+
+
+def test_a_box_is_computed_once():
+    """Written out, a box stood in its gate hundreds of times, for each of four shapes."""
+    assert str(A.gated_box(F.col("marked"), F.lit(1.0), F.lit(0.5), F.lit(0.5), 16 / 9)).count("marked") < 12

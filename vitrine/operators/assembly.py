@@ -125,7 +125,7 @@ def gated_box(box: Column, aspect: Column, fx: Column, fy: Column, target: float
         warnings = F.array_compact(F.array(F.when(reason.isNull() & (extent < FINE_EXTENT), F.lit("near_maximal")), F.when(moved, F.lit("snap_moved_far"))))
         return F.struct(s.alias("box"), reason.alias("reason"), warnings.alias("warnings"))
 
-    return let(F.array(*V.snapped(*[F.get(box, F.lit(i)) for i in range(4)], aspect, target)), judged)
+    return let(V.snapped_box(*[F.get(box, F.lit(i)) for i in range(4)], aspect, target), judged)
 
 
 def gate_items(df: DataFrame, shapes: Sequence[str] = SHAPES) -> DataFrame:
@@ -137,11 +137,10 @@ def gate_items(df: DataFrame, shapes: Sequence[str] = SHAPES) -> DataFrame:
 
     def of(name: str) -> Column:
         wide, high = map(float, name.split(":"))
-        box = F.element_at("crops", name)
-        gated = gated_box(box, F.col("aspect"), F.col("fx"), F.col("fy"), wide / high)
+        gated = lambda box: gated_box(box, F.col("aspect"), F.col("fx"), F.col("fy"), wide / high)
         whole = F.struct(F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))).alias("box"), F.lit(None).cast("string").alias("reason"), F.array().cast("array<string>").alias("warnings"))
         bad = F.struct(F.lit(None).cast("array<double>").alias("box"), F.lit("malformed").alias("reason"), F.array().cast("array<string>").alias("warnings"))
-        told = F.when(box_is_whole(box), whole).when(box_is_sound(box), gated).otherwise(bad)
+        told = let(F.element_at("crops", name), lambda box: F.when(box_is_whole(box), whole).when(box_is_sound(box), gated(box)).otherwise(bad))
         return F.when(F.array_contains(F.map_keys("crops"), name), F.struct(F.lit(name).alias("shape"), told.alias("told")))
 
     found = df.withColumn("__all", F.array_compact(F.array(*map(of, shapes)))).withColumn("__bad", F.exists("__all", lambda x: F.coalesce(x.told.reason == "malformed", F.lit(False))))
