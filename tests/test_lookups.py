@@ -69,3 +69,9 @@ def test_six_features(spark):
     beta = np.linalg.lstsq(x, y, rcond=None)[0]
     r2 = 1 - ((y - x @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert np.allclose([got[n] for n in ["intercept", *SCALES]], beta, rtol=1e-4, atol=1e-2) and abs(got["r2"] - r2) < 1e-5
+
+
+def test_documents_are_checked_in_one_pass(spark, capsys):
+    """Rows of addresses and rows of faults come from one reading and one check of a document."""
+    L.subscription_checks(spark.createDataFrame([("a", "{}")], "label string, document string")).explain()
+    assert "Union" not in capsys.readouterr().out

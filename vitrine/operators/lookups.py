@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions import values as V
+from vitrine.functions.text import let
 from vitrine.operators.catalog import filled
 from vitrine.operators.core import numbered
-from vitrine.operators.manifests import get, manifest_faults, text_of
+from vitrine.operators.manifests import get, manifest_faults_of, text_of
 
 
 def preferred_playlists(displays: DataFrame, last: DataFrame, default: DataFrame, playlists: DataFrame, members: DataFrame) -> DataFrame:
@@ -66,16 +67,26 @@ def subscription_checks(documents: DataFrame) -> DataFrame:
 
     A document that is missing, isn't JSON or isn't a valid manifest is one row with the reason, the last with its first fault. Of each item the
     full picture and the thumbnail (the full picture if there is none) are checked; an address whose host isn't public has its error."""
-    parsed = documents.withColumns({"__v": F.try_parse_json("document"), "__f": manifest_faults(F.col("document"))})
-    missing = F.when(filled(F.trim(F.coalesce("document", F.lit("")))).isNull(), "no cached manifest").when(F.col("__v").isNull(), "invalid JSON").when(F.size("__f") > 0, F.concat(F.lit("invalid manifest: "), F.get("__f", F.lit(0))))
-    told = parsed.withColumn("error", missing)
-    bad = told.filter("error is not null").select("label", F.lit("(manifest)").alias("title"), F.lit("manifest").alias("kind"), F.lit("").alias("url"), "error")
-    items = told.filter("error is null").select("label", F.explode(F.try_variant_get("__v", "$.items", "array<variant>")).alias("item"))
-    image = items.select("label", F.coalesce(text_of(get(F.col("item"), "title")), F.lit("?")).alias("title"), filled(text_of(F.try_variant_get("item", "$.image.full_url", "variant"))).alias("full"), filled(text_of(F.try_variant_get("item", "$.image.thumbnail_url", "variant"))).alias("thumb"))
-    kinds = F.array(F.struct(F.lit("source").alias("kind"), F.col("full").alias("url")), F.struct(F.lit("thumbnail").alias("kind"), F.coalesce("thumb", "full").alias("url")))
-    each = image.select("label", "title", F.explode(F.filter(kinds, lambda x: x.url.isNotNull())).alias("x")).select("label", "title", "x.kind", "x.url")
+    none = F.lit(None).cast("string")
+    found = lambda title, kind, url, error: F.struct(title.alias("title"), kind.alias("kind"), url.alias("url"), error.alias("error"))
+
+    def shown(item: Column) -> Column:
+        title = F.coalesce(text_of(get(item, "title")), F.lit("?"))
+        address = lambda name: filled(text_of(F.try_variant_get(item, f"$.image.{name}", "variant")))
+        both = F.struct(title.alias("title"), address("full_url").alias("full"), address("thumbnail_url").alias("thumb"))
+        kinds = lambda x: F.array(found(x["title"], F.lit("source"), x.full, none), found(x["title"], F.lit("thumbnail"), F.coalesce(x.thumb, x.full), none))
+        return let(both, lambda x: F.filter(kinds(x), lambda k: k.url.isNotNull()))
+
+    def told(v: Column, faults: Column) -> Column:
+        missing = F.when(filled(F.trim(F.coalesce("document", F.lit("")))).isNull(), "no cached manifest").when(v.isNull(), "invalid JSON").when(F.size(faults) > 0, F.concat(F.lit("invalid manifest: "), F.get(faults, F.lit(0))))
+        items = F.flatten(F.transform(F.try_variant_get(v, "$.items", "array<variant>"), shown))
+        return let(missing, lambda error: F.when(error.isNotNull(), F.array(found(F.lit("(manifest)"), F.lit("manifest"), F.lit(""), error))).otherwise(items))
+
+    # a document is parsed and checked once, for both kinds of rows
+    rows = let(F.try_parse_json("document"), lambda v: let(manifest_faults_of(v), lambda faults: told(v, faults)))
+    each = documents.select("label", F.explode_outer(rows).alias("x")).select("label", "x.*").filter("kind is not null")
     host = F.regexp_extract("url", r"^https?://(?:[^/?#@]*@)?([^/?#:]+|\[[^\]]*\])", 1)
-    return each.withColumn("error", F.when(~F.coalesce(V.public_host(host), F.lit(False)), "not a public address")).unionByName(bad)
+    return each.withColumn("error", F.when(F.col("kind") == "manifest", F.col("error")).when(~F.coalesce(V.public_host(host), F.lit(False)), "not a public address"))
 
 
 def availability(status: Column, kind: Column, size: Column, edge: Column, least_edge: int = 350, least_bytes: int = 1) -> Column:

@@ -177,7 +177,11 @@ def manifest(by_default: Column) -> Rule:
     )
 
 
+def manifest_faults_of(v: Column) -> Column:
+    """The faults of a parsed manifest, in order; an empty list if it is valid."""
+    return manifest(filled(get(v, "default_license")))(v, None)
+
+
 def manifest_faults(document: Column) -> Column:
     """The faults of a manifest's JSON text, in order; an empty list if it is valid."""
-    checked = lambda v: manifest(filled(get(v, "default_license")))(v, None)
-    return let(F.try_parse_json(document), checked)
+    return let(F.try_parse_json(document), manifest_faults_of)
