@@ -36,6 +36,21 @@ def test_one_of_each_work(spark, seed):
         assert sorted((r.key, r.place, r.first) for r in got if r.collection == g) == loop(rows), g
 
 
+def test_works_in_slabs(spark, monkeypatch):
+    """Cut into slabs of place, with rows that die in between, the loop gives the same; of many copies few rows go into the rounds."""
+    rng, sizes = random.Random(8), []
+    monkeypatch.setattr(A, "SLAB", 10)
+    settled = A._settled
+    monkeypatch.setattr(A, "_settled", lambda rows: sizes.append(rows.count()) or settled(rows))
+    score = {f"u{i}": i % 5 for i in range(9)}
+    rows = [(g, p, *rng.choice([(u, k) for u in score for k in "abcdefgh"])) for g in ("g1", "g2") for p in range(400)]
+    rows = [(*r, score[r[2]]) for r in rows]
+    got = A.one_of_each_work(spark.createDataFrame(rows, "collection string, place int, url string, key string, score int"), "collection", "place", "url", "key", "score").collect()
+    for g in ("g1", "g2"):
+        assert sorted((r.key, r.place, r.first) for r in got if r.collection == g) == loop([r[1:] for r in rows if r[0] == g]), g
+    assert len(sizes) > 3 and max(sizes) < 400
+
+
 def test_assembly_like_a_loop(spark):
     rng = random.Random(5)
     make = lambda n, base: [(c, i, f"k{rng.randrange(30)}", f"{base}{rng.randrange(40)}", rng.choice(["t", "t", "", None]), rng.random() < 0.5, 0, rng.choice("xyz"), rng.choice([True, False, None])) for c in ("a", "b", "c") for i in range(n)]

@@ -22,6 +22,10 @@ FLOOR, OLD_FLOOR, TARGET = 3840, 2160, 20
 SHAPES, EDGE, MOVED_FAR = ("16:9", "9:16", "4:3", "3:4"), 0.002, 0.15
 
 
+#: Rows of the first slab of a loop that is settled by slabs of place, and how many times larger each next one is.
+SLAB, GROWTH = 50_000, 4
+
+
 def budget(target: Column, queries: Column) -> Column:
     """How many rows a collection asks of each of its queries."""
     return F.greatest(F.lit(6), F.floor(target / F.greatest(queries, F.lit(1))) + 4)
@@ -41,14 +45,35 @@ def one_of_each_work(items: DataFrame, group: str, place: str, url: str, key: st
     The loop passes over a row whose address stands in the list already, takes the first row of a key, and lets a row with a higher score
     take the place of the one that stands, whose address is free again from then on. Rows without an address or key are left out.
 
-    What a row does depends on rows before it only, so rounds settle it: taken rows are guessed, two windows (the best taken score of
-    the key so far; whether the address's last taken row still stands) correct them, and each round the rows up to the first wrong one
-    are right for good. A score is the address's, so where an address belongs to one key alone, its first row stands for all."""
+    What a row does depends on rows before it only, so the rows are taken in slabs of place, each several times as large as the one before.
+    What earlier slabs left standing goes on into the next, and rows that can't be taken any more are dropped first (see ``_alive``). In a slab rounds
+    settle it (see ``_settled``). A score is the address's, so where an address belongs to one key alone, its first row stands for all."""
     given = items.filter(F.col(url).isNotNull() & F.col(key).isNotNull()).withColumnsRenamed({group: "__g", place: "__p", url: "__u", key: "__k", score: "__s"})
     ours = given.select("__g", "__p", "__u", "__k", F.coalesce("__s", F.lit(0)).alias("__s"))
     shared = ours.groupBy("__g", "__u").agg(F.min("__k").alias("__lo"), F.max("__k").alias("__hi")).filter("__lo <> __hi").select("__g", "__u")
     alone = ours.join(shared, ["__g", "__u"], "left_anti").groupBy("__g", "__u", "__k").agg(F.min("__p").alias("__p"), F.min_by("__s", "__p").alias("__s"))
-    rows = alone.unionByName(ours.join(shared, ["__g", "__u"], "left_semi")).withColumn("taken", F.lit(True))
+    rest = checkpoint(alone.unionByName(ours.join(shared, ["__g", "__u"], "left_semi")).select("__g", "__p", "__u", "__k", "__s"))
+    size, cuts = rest.count(), []
+    while size > SLAB * GROWTH ** len(cuts):
+        cuts.append(1.0 / GROWTH ** (len(cuts) + 1))
+    bounds = sorted(set(rest.agg(F.percentile_approx("__p", cuts, 10_000).alias("q")).first()["q"])) if cuts and size else []
+    taken = None
+    for bound in [*bounds, None]:
+        slab = rest if bound is None else rest.filter(F.col("__p") <= bound)
+        rows = slab.withColumn("__known", F.lit(False))
+        taken = _settled(rows if taken is None else rows.unionByName(taken.withColumn("__known", F.lit(True))))
+        if bound is not None:
+            rest = _alive(rest.filter(F.col("__p") > bound), taken)
+    chosen = taken.groupBy("__g", "__k").agg(F.max("__p").alias("__p"), F.min("__p").alias("first"))
+    return given.join(chosen, ["__g", "__k", "__p"]).withColumnsRenamed({"__g": group, "__p": place, "__u": url, "__k": key, "__s": score})
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """The rows that the loop takes, of all rows up to some place; those that are ``__known`` to be taken come before the others.
+
+    Taken rows are guessed, two windows (the best taken score of the key so far; whether the address's last taken row still stands) correct
+    them, and each round the rows up to the first wrong one are right for good."""
+    rows = rows.withColumn("taken", F.lit(True))
     by_key, by_url = Window.partitionBy("__g", "__k").orderBy("__p"), Window.partitionBy("__g", "__u").orderBy("__p")
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     later = by_key.rowsBetween(1, Window.unboundedFollowing)
@@ -58,14 +83,34 @@ def one_of_each_work(items: DataFrame, group: str, place: str, url: str, key: st
         marked = rows.withColumns({"__best": best, "__mine": F.when(F.col("taken"), F.struct("__p", ends.alias("end")))})
         last = F.last("__mine", ignorenulls=True).over(earlier(by_url))
         stands = last.isNotNull() & (last["end"].isNull() | (last["end"] > F.col("__p")))
-        taken = ~F.coalesce(stands, F.lit(False)) & (F.col("__best").isNull() | (F.col("__s") > F.col("__best")))
-        after = checkpoint(marked.withColumn("__new", taken).select("__g", "__p", "__u", "__k", "__s", "taken", "__new"))
+        taken = F.col("__known") | (~F.coalesce(stands, F.lit(False)) & (F.col("__best").isNull() | (F.col("__s") > F.col("__best"))))
+        after = checkpoint(marked.withColumn("__new", taken).select("__g", "__p", "__u", "__k", "__s", "__known", "taken", "__new"))
         settled = after.filter("taken <> __new").isEmpty()
-        rows = after.select("__g", "__p", "__u", "__k", "__s", F.col("__new").alias("taken"))
+        rows = after.select("__g", "__p", "__u", "__k", "__s", "__known", F.col("__new").alias("taken"))
         if settled:
+            return rows.filter("taken").select("__g", "__p", "__u", "__k", "__s")
+
+
+def _alive(rest: DataFrame, taken: DataFrame) -> DataFrame:
+    """Of later rows those that may still be taken, given what is taken of all rows before them.
+
+    A row isn't taken if its key has a score as high, nor if its address stands for a key of which no living row has a higher score: that stands for
+    good. Rows that die may make other addresses stand for good, so this is asked again until nothing changes, on one row for each key and address."""
+    best = taken.groupBy("__g", "__k").agg(F.max("__s").alias("__best"))
+    # scores of a key rise, so its best taken row is the one that stands
+    standing = taken.join(best, ["__g", "__k"]).filter(F.col("__s") == F.col("__best")).select("__g", "__u", "__k", "__best")
+    kinds = rest.groupBy("__g", "__k", "__u").agg(F.max("__s").alias("__s")).join(best, ["__g", "__k"], "left")
+    kinds = checkpoint(kinds.filter("__best is null or __s > __best").select("__g", "__k", "__u", "__s"))
+    left = kinds.count()
+    while True:
+        hopes = kinds.groupBy("__g", "__k").agg(F.lit(True).alias("__hope"))
+        for_good = standing.join(hopes, ["__g", "__k"], "left_anti").select("__g", "__u")
+        kinds = checkpoint(kinds.join(for_good, ["__g", "__u"], "left_anti"))
+        before, left = left, kinds.count()
+        if left == before:
             break
-    chosen = rows.filter("taken").groupBy("__g", "__k").agg(F.max("__p").alias("__p"), F.min("__p").alias("first"))
-    return given.join(chosen, ["__g", "__k", "__p"]).withColumnsRenamed({"__g": group, "__p": place, "__u": url, "__k": key, "__s": score})
+    living = rest.join(kinds.select("__g", "__k", "__u"), ["__g", "__k", "__u"], "left_semi").join(best, ["__g", "__k"], "left")
+    return checkpoint(living.filter("__best is null or __s > __best").select("__g", "__p", "__u", "__k", "__s"))
 
 
 def assemble(picks: DataFrame, found: DataFrame, specs: DataFrame) -> DataFrame:
