@@ -79,3 +79,20 @@ def test_liveness(spark, tmp_path):
 
 def test_spans():
     assert E.millis("30 minutes") == 1_800_000 and E.moment(1_704_103_200_000) == pd.Timestamp("2024-01-01 10:00:00")
+
+
+def test_rows_of_a_key_are_plain(monkeypatch):
+    """A Series for each row took most of the time of a stream."""
+    class Held:
+        kept = None
+        get = lambda self: self.kept
+        update = lambda self, x: setattr(self, "kept", x)
+        getValueState = lambda self, *a: self  # noqa: E731, N815
+        registerTimer = deleteTimer = lambda self, at: None  # noqa: E731, N815
+
+    monkeypatch.setattr(pd.DataFrame, "iterrows", None)
+    form = E.Playback(5000, 0)
+    form.init(Held())
+    rows = pd.DataFrame({"ts": pd.to_datetime([at("10:00:00"), at("10:00:01")]), "shuffle": False, "direction": [1, None], "ids": [[7, 8]] * 2, "weights": [None] * 2})
+    told = pd.concat(list(form.handleInputRows(("d", 1), iter([rows]), None)))
+    assert list(told["artwork_id"]) == [7, 8] and list(told["place"]) == [0, 1]

@@ -36,7 +36,7 @@ class Kept(StatefulProcessor):
         self.state = handle.getValueState("kept", f"until long, {self.schema}")
 
     @abstractmethod
-    def step(self, key: tuple, held: tuple | None, until: int | None, row: pd.Series, at: int) -> tuple[int | None, tuple | None, list[tuple]]:
+    def step(self, key: tuple, held: tuple | None, until: int | None, row: dict, at: int) -> tuple[int | None, tuple | None, list[tuple]]:
         """What a row at a time (in milliseconds) makes of the state that is held until a time: until when it lives (None: it goes), the state, and rows to tell."""
 
     def ended(self, key: tuple, held: tuple, until: int) -> list[tuple]:
@@ -46,7 +46,8 @@ class Kept(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         until, held = self._read()
         before, told = until, []
-        for _, row in pd.concat(list(rows)).sort_values("ts", kind="stable").iterrows():
+        ordered = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        for row in ordered.to_dict("records"):  # plain values: a Series for each row costs more than the step
             at = row["ts"].value // 1_000_000
             if held is not None and at >= until:
                 told += self.ended(key, held, until)
@@ -131,19 +132,19 @@ class Playback(Kept):
 
     def step(self, key, held, until, row, at):
         place, bag, drawn = held or (-1, [], 0)
-        members = list(row["members"] if row["members"] is not None else [])
-        if not members:
+        ids = row["ids"]
+        if ids is None or not len(ids):
             return at + self.ttl, (place, list(bag), drawn), []
-        ids = [int(m["artwork_id"]) for m in members]
         if row["shuffle"]:
-            weights = {int(m["artwork_id"]): max(0.1, m["weight"]) for m in members}
+            ids = [int(x) for x in ids]
+            weights = {x: max(0.1, w) for x, w in zip(ids, row["weights"], strict=True)}
             left = [x for x in bag if x in weights] or list(ids)
             chosen = random.Random(f"{self.seed}.{key}.{drawn}").choices(left, [weights[x] for x in left])[0]
             left.remove(chosen)
             bag, drawn, index = left, drawn + 1, ids.index(chosen)
         else:
             index = place = (place + (1 if pd.isna(row["direction"]) else int(row["direction"]))) % len(ids)
-            chosen = ids[index]
+            chosen = int(ids[index])
         return at + self.ttl, (place, list(bag), drawn), [(*key, row["ts"], chosen, index)]
 
 
@@ -155,8 +156,9 @@ def playback(requests: DataFrame, members: DataFrame, ttl: str = "30 days", late
     moves by ``direction`` (1 if null) around the playlist. ``members`` (playlist_id, artwork_id, display_order, weight) is a table; a request
     carries its own playlist's list, which a curator makes by hand. An empty playlist gives nothing. Displays that ask nothing for ``ttl`` start anew."""
     row = F.struct("display_order", "artwork_id", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"))
-    lists = members.groupBy("playlist_id").agg(F.array_sort(F.collect_list(row)).alias("members"))
-    asked = requests.withWatermark("ts", late).join(lists, "playlist_id", "left").select("display_id", "playlist_id", "ts", "shuffle", "direction", "members")
+    lists = members.groupBy("playlist_id").agg(F.array_sort(F.collect_list(row)).alias("m")).select("playlist_id", F.col("m.artwork_id").cast("array<long>").alias("ids"), F.col("m.weight").alias("weights"))
+    weights = F.when(F.col("shuffle"), F.col("weights")).alias("weights")  # only a draw needs them
+    asked = requests.withWatermark("ts", late).join(lists, "playlist_id", "left").select("display_id", "playlist_id", "ts", "shuffle", "direction", "ids", weights)
     told = "display_id string, playlist_id long, ts timestamp, artwork_id long, place long"
     return asked.groupBy("display_id", "playlist_id").transformWithStateInPandas(Playback(millis(ttl), seed), told, "append", "eventTime")
 
