@@ -90,3 +90,9 @@ def test_pixel_statistics(spark):
 def test_address_stands_once(spark):
     """Written out, the steps of an address repeat it so often that compiling the condition takes longer than the rows."""
     assert str(V.public_host(F.col("marked"))).count("marked") == 1
+
+
+def test_accents_stay_in_the_jvm(spark, monkeypatch):
+    """Batches of whole texts filled Python's memory; only letters that become several need it."""
+    monkeypatch.setattr(X, "_unaccented", lambda c, form: F.when(c.isNotNull(), F.raise_error(F.lit("sent to Python")).cast("string")))
+    assert [r[0] for r in spark.createDataFrame([("Café Ünïon á ñ",), ("plain",), (None,)], "t string").select(X.unaccented(F.col("t"), "NFKD")).collect()] == ["Cafe Union a n", "plain", None]

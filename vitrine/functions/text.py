@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import cache, reduce
 from html import unescape
 
 import pandas as pd
@@ -44,14 +44,33 @@ def item_key(title: Column, agent: Column) -> Column:
     return F.concat_ws("|", plain(title), plain(agent))
 
 
+def _plain(t: str, form: str) -> str:
+    return "".join(c for c in unicodedata.normalize(form, t) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(T.StringType())
 def _unaccented(texts: pd.Series, form: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize(f, t) if not unicodedata.combining(c)) for t, f in zip(texts, form, strict=True)], dtype=object)
+    return pd.Series([t if t is None else _plain(t, f) for t, f in zip(texts, form, strict=True)], dtype=object)
+
+
+@cache
+def _letters(form: str) -> tuple[str, str, str]:
+    """Letters of the basic plane that become one letter or none: these letters and what they become, those that become none last; and the letters that become several."""
+    became = {c: _plain(c, form) for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)])}
+    one = sorted((c for c, d in became.items() if d != c and len(d) < 2), key=lambda c: not became[c])
+    return "".join(one), "".join(became[c] for c in one), "".join(c for c, d in became.items() if len(d) > 1)
 
 
 def unaccented(c: Column, form: str = "NFD") -> Column:
-    """Without combining marks, after a Unicode decomposition. No built-in function decomposes."""
-    return _unaccented(c, F.lit(form))
+    """Without combining marks, after a Unicode decomposition. No built-in function decomposes.
+
+    Marks are dropped, so each letter becomes something by itself, mostly one letter, and those are translated in place. Only texts with
+    a letter that becomes several, or one beyond the basic plane, go to Python: batches of whole texts would fill its memory."""
+    old, new, several = _letters(form)
+    other = (F.octet_length(F.translate(c, several, "")) < F.octet_length(c)) | c.rlike("[^\\x{0}-\\x{FFFF}]")
+    ascii_ = F.octet_length(c) == F.length(c)
+    asked = _unaccented(F.when(~ascii_ & other, c), F.lit(form))
+    return F.when(ascii_, c).otherwise(F.coalesce(asked, F.translate(c, old, new)))
 
 
 def match_form(c: Column) -> Column:
