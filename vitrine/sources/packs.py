@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.catalog import filled
 from vitrine.operators.core import numbered
+from vitrine.operators.lineage import checkpoint
 from vitrine.operators.manifests import VERSION, manifest_faults
 
 #: Items that a reader takes of one manifest, and the version of packs.
@@ -46,6 +47,7 @@ def pack_index(found: DataFrame, default: str | None = None) -> DataFrame:
 
 def write_pack(found: DataFrame, path: str, default: str | None = None) -> None:
     """Writes manifests, each a folder of its name with one document, and the index. A manifest that isn't valid is an error, and then nothing is written."""
+    found = checkpoint(found)  # read for the check, the documents and the index
     bad = found.withColumn("f", manifest_faults(F.col("document"))).filter(F.size("f") > 0).select("id", "f").head(1)
     if bad:
         raise ValueError(f"manifest {bad[0]['id']}: {bad[0]['f'][0]}")
