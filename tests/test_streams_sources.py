@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine import plans
 from vitrine.operators import catalog as C
 from vitrine.sources import catalog as S
 from vitrine.sources.catalog import all_sources
@@ -51,6 +52,31 @@ def test_museum_rules(spark):
         rows("other", good)
 
 
+def test_payloads_are_parsed_once(spark, capsys):
+    """Each list of addresses stands once in a source's plan: neither a filter nor a second use parses it again."""
+    given = spark.createDataFrame([("{}",)], "payload string")
+    for source in ("rijksmuseum", "smithsonian", "loc"):
+        S.normalised(given, source).explain(True)
+        plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert plan.count(S.FIELDS[source][2]) == 1, plan
+
+
+def test_payloads_are_dealt_out(spark, tmp_path):
+    """A file of one row group would be one task for each source."""
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    placed = plans.QUERIES["s13_s16_s19_payloads"](spark, str(tmp_path)).select("source_api", F.spark_partition_id().alias("p"))
+    assert all(r.n > 1 for r in placed.groupBy("source_api").agg(F.countDistinct("p").alias("n")).collect())
+
+
+def test_odd_linked_art(spark):
+    """Texts that look like lists or nodes, and lists of other things."""
+    iiif = "https://i/x/full/max/0/d.jpg"
+    creators = ["[not a list", " [\"in a list\"]", [{"@id": "i"}], {"title": "plain"}, {"title": ["u", {"@language": "en", "@value": ""}], "@id": "j"}, 7, None, []]
+    rows = [(k, json.dumps({"title": str(k), "creator": c, "relation": [1, None, "[", {"@id": iiif}]})) for k, c in enumerate(creators)]
+    got = S.normalised(spark.createDataFrame(rows, "id int, payload string"), "rijksmuseum", keep=("id",)).orderBy("id").collect()
+    assert [r.proposed_artist for r in got] == ["[not a list", "in a list", "i", "plain", "j", "7", "Unknown Artist", "[]"] and {r.source_url for r in got} == {iiif}
+
+
 def streamed(spark, tmp_path, name, batches, form, mode):
     """What a form gives after each of a few batches, each a file."""
     folder = tmp_path / name

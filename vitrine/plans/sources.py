@@ -67,7 +67,9 @@ def _(t):
     tile = F.concat(F.lit("https://tile.loc.gov/storage-services/service/"), i)
     loc = text(F.when(i % 6 == 0, "Virtual Orientation").otherwise(F.col("p_name")).alias("title"), F.array(F.lit("SOME name")).alias("creator"), F.array(F.lit("https://www.loc.gov/x.svg"), F.concat(tile, F.lit("_150px.jpg")), F.concat(tile, F.lit(".tif"))).alias("image_url"))
     made = {"rijksmuseum": rijks, "smithsonian": smith, "nasa": nasa, "wikimedia": wiki, "loc": loc}
-    shaped = [S.normalised(t.part.select(i.alias("id"), c.alias("payload")), name, keep=("id",)) for name, c in made.items()]
+    # one row group is one task, and a file may have no more; parsing takes far longer than reading, so parts are dealt out first
+    part = t.part.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    shaped = [S.normalised(part.select(i.alias("id"), c.alias("payload")), name, keep=("id",)) for name, c in made.items()]
     out = shaped[0]
     for more in shaped[1:]:
         out = out.unionByName(more)

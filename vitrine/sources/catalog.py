@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.functions.text import let
 from vitrine.functions.values import first_filled
 from vitrine.operators.core import numbered
 
@@ -65,46 +66,62 @@ def author_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _listed(text: Column) -> Column:
-    """The elements of a JSON array, each as its own text; null if it is no array."""
-    return F.from_json(text, "array<string>")
+    """The elements of a JSON array, each as its own text; null if it is no array. Other texts aren't parsed, as each failure is an exception."""
+    return let(text, lambda t: F.when(t.rlike(r"^\s*\["), F.from_json(t, "array<string>")))
 
 
-def _linked_id(node: Column) -> Column:
+def _member(text: Column, name: str) -> Column:
+    """A member of a JSON object; null for anything else, which isn't parsed."""
+    return let(text, lambda t: F.when(t.rlike(r"^\s*\{"), F.get_json_object(t, f"$.{name}")))
+
+
+def _filled(text: Column) -> Column:
+    return let(text, lambda t: first_filled(t))
+
+
+def _linked_id(given: Column) -> Column:
     """The id of a Linked-Art node, or the first id in a list of nodes."""
-    ids = F.filter(F.transform(_listed(node), lambda x: F.get_json_object(x, "$.@id")), lambda x: x.isNotNull())
-    return F.coalesce(F.get_json_object(node, "$.@id"), F.get(ids, F.lit(0)))
+    first = lambda node: F.get(F.filter(F.transform(_listed(node), lambda x: _member(x, "@id")), lambda x: x.isNotNull()), F.lit(0))
+    return let(given, lambda node: F.coalesce(_member(node, "@id"), first(node)))
 
 
 def _linked_label(given: Column) -> Column:
     """The label of a Linked-Art node (of the first in a list): its text, its English title, its first title, or its id."""
-    node = F.coalesce(F.get(_listed(given), F.lit(0)), given)
-    title = F.get_json_object(node, "$.title")
-    titles = _listed(title)
-    english = F.get(F.filter(titles, lambda x: F.get_json_object(x, "$.@language") == "en"), F.lit(0))
-    first = F.coalesce(english, F.get(titles, F.lit(0)))
-    of_title = F.coalesce(F.get_json_object(first, "$.@value"), first, title)
-    return F.when(node.startswith("{"), F.coalesce(first_filled(of_title), F.get_json_object(node, "$.@id"))).otherwise(node)
 
+    def titled(title: Column) -> Column:
+        english = lambda titles: F.get(F.filter(titles, lambda x: _member(x, "@language") == "en"), F.lit(0))
+        first = let(_listed(title), lambda titles: F.coalesce(english(titles), F.get(titles, F.lit(0))))
+        return let(first, lambda x: F.coalesce(_member(x, "@value"), x, title))
+
+    def label(node: Column) -> Column:
+        of_title = _filled(let(_member(node, "title"), titled))
+        return F.when(node.startswith("{"), F.coalesce(of_title, _member(node, "@id"))).otherwise(node)
+
+    return let(let(given, lambda x: F.coalesce(F.get(_listed(x), F.lit(0)), x)), label)
 
-def _images(source: str, column: str, image: Column, thumb: Column) -> tuple[Column, Column]:
+
+def _pair(image: Column, thumb: Column) -> Column:
+    return F.struct(image.alias("image"), thumb.alias("thumb"))
+
+
+def _images(source: str, column: str, image: Column, thumb: Column) -> Column:
     """Addresses of image and thumbnail; sources that list several have a rule for which."""
     if source == "rijksmuseum":
-        url = _linked_id(image)
-        return url, F.replace(url, F.lit("/full/max/"), F.lit("/full/400,/"))
+        return let(_linked_id(image), lambda url: _pair(url, F.replace(url, F.lit("/full/max/"), F.lit("/full/400,/"))))
     if source == "smithsonian":
-        shown = F.get(F.filter(_listed(image), lambda x: F.get_json_object(x, "$.type") == "Images"), F.lit(0))
-        return F.get_json_object(shown, "$.content"), F.get_json_object(shown, "$.thumbnail")
+        shown = F.get(F.filter(_listed(image), lambda x: _member(x, "type") == "Images"), F.lit(0))
+        return let(shown, lambda x: _pair(_member(x, "content"), _member(x, "thumbnail")))
     if source == "loc":
         # only files of the storage service are the item itself; the small ones are thumbnails
         tiles = F.filter(F.coalesce(_listed(image), F.array().cast("array<string>")), lambda u: u.contains(LOC_TILES))
-        small, big = (F.filter(tiles, f) for f in (lambda u: u.contains("150px"), lambda u: ~u.contains("150px")))
-        return F.coalesce(F.try_element_at(big, F.lit(-1)), F.try_element_at(tiles, F.lit(-1))), F.coalesce(F.get(small, F.lit(0)), F.get(tiles, F.lit(0)))
+        of_size = lambda t, small: F.filter(t, lambda u: u.contains("150px") == F.lit(small))
+        return let(tiles, lambda t: _pair(F.coalesce(F.try_element_at(of_size(t, False), F.lit(-1)), F.try_element_at(t, F.lit(-1))), F.coalesce(F.get(of_size(t, True), F.lit(0)), F.get(t, F.lit(0)))))
     if source == "nasa":
         # the stored asset list if there is one, else the links of the answer
-        hrefs = F.transform(_listed(F.get_json_object(column, "$.links")), lambda x: F.get_json_object(x, "$.href"))
+        hrefs = F.transform(_listed(F.get_json_object(column, "$.links")), lambda x: _member(x, "href"))
         assets = F.coalesce(_listed(F.get_json_object(column, "$.assets")), hrefs)
-        return F.coalesce(best_asset(F.filter(assets, lambda u: F.lower(u).rlike(r"\.(jpg|jpeg|png)$"))), image), thumb
-    return image, thumb
+        return _pair(F.coalesce(best_asset(F.filter(assets, lambda u: F.lower(u).rlike(r"\.(jpg|jpeg|png)$"))), image), thumb)
+    return _pair(image, thumb)
 
 
 def _shown(source: str, column: str) -> Column:
@@ -117,24 +134,31 @@ def _shown(source: str, column: str) -> Column:
     edge = F.greatest(*[F.coalesce(at(f"$.{k}").try_cast("long"), F.lit(0)) for k in ("width", "height")])
     terms = F.lower(F.concat_ws(" ", *[at(f"$.extmetadata.{k}.value") for k in ("LicenseShortName", "License", "UsageTerms")]))
     free = terms.rlike("public domain|cc0|pd-") | F.lower(F.trim(at("$.extmetadata.Copyrighted.value"))).isin("false", "no")
-    return at("$.mime").startswith("image/") & ~at("$.mime").contains("svg") & (edge >= MIN_DISPLAY_EDGE) & free
+    return let(at("$.mime"), lambda kind: kind.startswith("image/") & ~kind.contains("svg")) & (edge >= MIN_DISPLAY_EDGE) & free
 
 
 def normalised(payloads: DataFrame, source: str, column: str = "payload", keep: tuple = ()) -> DataFrame:
     """A source's payloads in the common shape, after the columns in ``keep``. Rows without an image are left out, as they can't be shown."""
     title, artist, image, thumb = (F.get_json_object(column, p) for p in FIELDS[source])
-    image, thumb = _images(source, column, image, thumb)
     artist = _linked_label(artist) if source == "rijksmuseum" else artist
     if source == "loc":
         named = F.coalesce(artist, F.get_json_object(column, "$.creator"))
-        artist = F.initcap(F.coalesce(F.get(_listed(named), F.lit(0)), named))
-    url = F.regexp_replace(image, "^//", "https://")
-    return payloads.filter(_shown(source, column)).select(
-        *keep, url.alias("source_url"), F.coalesce(first_filled(thumb), url).alias("thumbnail_url"),
-        F.coalesce(first_filled(title), F.lit("Unknown")).alias("proposed_title"),
-        F.coalesce(first_filled(F.regexp_replace(artist, "<[^>]+>", "")), F.lit("Unknown Artist")).alias("proposed_artist"),
-        F.lit(source).alias("source_api"), F.col(column).alias("context_hints"),
-    ).filter(first_filled(F.col("source_url")).isNotNull())
+        artist = F.initcap(let(named, lambda x: F.coalesce(F.get(_listed(x), F.lit(0)), x)))
+
+    def row(url: Column, thumb: Column) -> Column:
+        return F.struct(
+            url.alias("source_url"), F.coalesce(first_filled(thumb), url).alias("thumbnail_url"),
+            F.coalesce(_filled(title), F.lit("Unknown")).alias("proposed_title"),
+            F.coalesce(_filled(F.regexp_replace(artist, "<[^>]+>", "")), F.lit("Unknown Artist")).alias("proposed_artist"),
+        )
+
+    def shaped(x: Column) -> Column:
+        """The row of an image; title and artist are only looked for where there is one."""
+        return let(F.regexp_replace(x.image, "^//", "https://"), lambda url: F.when(first_filled(url).isNotNull(), F.array(row(url, x.thumb))))
+
+    # one expression, each step computed once: a filter would be pushed below the payload and compute gate, address and payload again
+    found = F.when(_shown(source, column), let(_images(source, column, image, thumb), shaped))
+    return payloads.select(*keep, F.inline(found), F.lit(source).alias("source_api"), F.col(column).alias("context_hints"))
 
 
 def all_sources(payloads: dict[str, DataFrame], wanted: list[str] | None = None) -> DataFrame:
@@ -153,8 +177,9 @@ PAGED, FREE_ONLY = frozenset({"aic", "harvard"}), frozenset({"aic"})
 
 def best_asset(links: Column) -> Column:
     """Of an array of addresses the first with the best known end, upper case or lower; the last one if none has any."""
-    place = lambda u: reduce(lambda rest, k: F.when(F.lower(u).endswith(ASSET_ENDS[k]), k).otherwise(rest), reversed(range(len(ASSET_ENDS))), F.lit(len(ASSET_ENDS)))
-    rank = lambda u, i: F.struct(place(u).alias("p"), F.when(place(u) == len(ASSET_ENDS), -i).otherwise(i).alias("i"), u.alias("u"))
+    none = len(ASSET_ENDS)
+    place = lambda u: let(F.lower(u), lambda low: reduce(lambda rest, k: F.when(low.endswith(ASSET_ENDS[k]), k).otherwise(rest), reversed(range(none)), F.lit(none)))
+    rank = lambda u, i: let(place(u), lambda p: F.struct(p.alias("p"), F.when(p == none, -i).otherwise(i).alias("i"), u.alias("u")))
     return F.array_min(F.transform(links, rank)).u
 
 
